@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from zoomloom.llm.crowds import crowd_members, describe_crowds
+from zoomloom.llm.packing import pack
 from zoomloom.llm.percentiles import multi_select, read_summaries, sorted_runs, summarize
+from zoomloom.llm.tokenizer import count_tokens, encode_corpus
 from zoomloom.llm.topn import top_n
 from zoomloom.session import materialize, table
 
@@ -59,11 +62,53 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(_counting_games(spark, d), "home_team", GAME_ORDER, 3).select("home_team", "game_id")
 
 
+def _placed_dots(spark: SparkSession, d: str) -> DataFrame:
+    dots = table(spark, d, "bbox_dots_pushdown_uniform_toplayer0")
+    return dots.where(~((F.col("cx") == 0) & (F.col("cy") == 0))).select("id", F.col("cx").alias("x"), F.col("cy").alias("y"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Members of every crowd of at least 20 dots linked within 40 units."""
+    return crowd_members(_placed_dots(spark, d), 40.0, 20)
+
+
+def p4_crowds(spark: SparkSession, d: str) -> DataFrame:
+    """Size, centre, radius and most typical dots of every crowd."""
+    return describe_crowds(p4_found(spark, d), _placed_dots(spark, d))
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_corpus(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Which piece of which document lies in which container, for every container size.
+
+    A container takes a segment for each 16 tokens of its capacity at most; every token after the first of a text bears loss.
+    """
+    kinds = [r for r in table(spark, d, "context_sizes").collect() if r["set_name"] and r["tokenizer"] and r["capacity"]]  # a few rows at any size
+    names = sorted({r["tokenizer"] for r in kinds})
+    sizes = materialize(count_tokens(table(spark, d, "documents"), "doc_id", "text", names))
+    out = None
+    for r in kinds:
+        n = f"n_{r['tokenizer']}"
+        items = sizes.withColumn("loss", F.greatest(F.col(n) - 1, F.lit(0)))
+        packed = pack(items, "doc_id", n, r["capacity"], most_segments=max(4, r["capacity"] // 16), loss="loss", most_loss=r["capacity"])
+        packed = packed.select(F.lit(r["set_name"]).alias("set_name"), "container_id", "doc_id", "piece_no", "start_token", "n_tokens")
+        out = packed if out is None else out.unionByName(packed)
+    return out
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_percentiles": p2_percentiles,
     "p2_from_days": p2_from_days,
+    "p4_found": p4_found,
+    "p4_crowds": p4_crowds,
     "p5_found": p5_found,
+    "p6_ids": p6_ids,
+    "p7_containers": p7_containers,
 }
 
 _LOG = """WITH v AS (SELECT DISTINCT id, canvas_id, query_type,
