@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from zoomloom.llm.crowds import crowd_members, describe_crowds
 from zoomloom.llm.packing import pack
 from zoomloom.llm.percentiles import multi_select, read_summaries, sorted_runs, summarize
+from zoomloom.llm.sentences import sentence_units
 from zoomloom.llm.tokenizer import count_tokens, encode_corpus
 from zoomloom.llm.topn import top_n
 from zoomloom.session import materialize, table
@@ -100,6 +101,11 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence units of every document."""
+    return sentence_units(table(spark, d, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_percentiles": p2_percentiles,
@@ -109,6 +115,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
+    "p8_found": p8_found,
 }
 
 _LOG = """WITH v AS (SELECT DISTINCT id, canvas_id, query_type,
