@@ -47,6 +47,8 @@ _MARK = re.compile(
     "((?:[   ]?[»›]|[”“\"’'」』)）\\]】》]|[⁰¹²³⁴-⁹*†‡]+(?=\\s|$)|\\[\\d{1,3}\\])*)"
 )
 _THAI_GAP = re.compile("[฀-๿”“\"»)\\]*_█▇xX…][  ]+(?=[ก-๎])")
+_THAI = re.compile("[ก-๎]")
+_CONTENT = re.compile(r"[^\W_]")
 _WORD = re.compile(r"\S+")
 _DIGITS = re.compile(r"\d+")
 _CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
@@ -57,11 +59,11 @@ _STRONG = set("!?؟।॥。！？")
 
 
 def is_header(line: str) -> bool:
-    return len(line) < 60 and any(h.fullmatch(line) for h in _HEADERS)
+    return len(line) < 60 and (line[-1].isdigit() or line[-1] in "])）頁页—–-") and any(h.fullmatch(line) for h in _HEADERS)
 
 
 def _has_content(s: str) -> bool:
-    return any(c.isalnum() for c in s)
+    return _CONTENT.search(s) is not None
 
 
 class Paragraph:
@@ -100,7 +102,7 @@ def paragraphs(text: str) -> list[Paragraph]:
             lines.append((a, a + len(t), t))
     if not lines:
         return []
-    gaps = [bool(_BLANK_GAP.search(text, a[1], b[0])) for a, b in zip(lines, lines[1:])]
+    gaps = [b[0] - a[1] > 1 and bool(_BLANK_GAP.search(text, a[1], b[0])) for a, b in zip(lines, lines[1:])]
     # blank lines around page headers say nothing about the layout of the rest
     head = [is_header(t) for _, _, t in lines]
     apart = [g for g, a, b in zip(gaps, head, head[1:]) if not a and not b]
@@ -109,7 +111,7 @@ def paragraphs(text: str) -> list[Paragraph]:
     widest = max(widths)
     out: list[Paragraph] = []
     for i, (a, b, t) in enumerate(lines):
-        kind = "mark" if not _has_content(t) else "header" if is_header(t) else "note" if len(t) < 80 and _NOTE.search(t) else "text"
+        kind = "header" if head[i] else "mark" if not _has_content(t) else "note" if len(t) < 80 and _NOTE.search(t) else "text"
         if i and not gaps[i - 1] and kind != "header" and out[-1].kind == "text" and (kind == "text" or spaced):
             before = lines[i - 1][2]
             word = _WORD.match(t).group()
@@ -121,8 +123,10 @@ def paragraphs(text: str) -> list[Paragraph]:
                 continue
         out.append(Paragraph(a, b, kind))
     for p in out:
-        if p.kind == "text" and 1 < p.lines <= 3 and is_header(" ".join(text[p.start : p.end].split())):
-            p.kind = "header"  # a header that was wrapped itself
+        if p.kind == "text" and 1 < p.lines <= 3 and p.end - p.start < 60:
+            words = text[p.start : p.end].split()
+            if is_header(" ".join(words)) or is_header(" ".join(words[:-1]) + "  " + words[-1]):
+                p.kind = "header"  # a header that was wrapped itself
     return out
 
 
@@ -176,6 +180,11 @@ def _shape(tok: str) -> str:
     return "ll" if letters[0].islower() else "oo"
 
 
+def _plain(w: str) -> str:
+    w = w.rstrip(",;:.)]”»“")
+    return w if w.isalpha() else _DIGITS.sub("0", w)
+
+
 def _start_token(after: str) -> tuple[str, str]:
     """Normal form of the first and second token of what follows."""
     after = after.lstrip()
@@ -190,8 +199,7 @@ def _start_token(after: str) -> tuple[str, str]:
     parts = rest[:60].split(None, 2)
     if not parts:
         return lead, ""
-    norm = lambda w: _DIGITS.sub("0", w.rstrip(",;:.)]”»“"))
-    return lead + norm(parts[0])[:16], norm(parts[1])[:16] if len(parts) > 1 else ""
+    return lead + _plain(parts[0])[:16], _plain(parts[1])[:16] if len(parts) > 1 else ""
 
 
 def _end_tokens(before: str) -> tuple[str, str]:
@@ -207,19 +215,36 @@ def _end_tokens(before: str) -> tuple[str, str]:
     return parts[-1].lstrip(_LEAD)[-20:], parts[-2].lstrip(_LEAD)[-16:] if len(parts) > 1 else ""
 
 
-def features(before: str, mark: str, closers: str, gap: bool, after: str) -> list[str]:
+def _script(c: str) -> str:
+    if not c or c < "\u0370":
+        return "L"
+    return "T" if "\u0e00" <= c <= "\u0e7f" else "D" if "\u0900" <= c <= "\u097f" else "A" if "\u0600" <= c <= "\u06ff" else "C" if _CJK.match(c) else "G" if c <= "\u03ff" else "R" if c <= "\u04ff" else "L"
+
+
+def left_features(before: str, mark: str) -> tuple[list[str], str, str, str]:
+    """Features of what stands before a mark; its normal form and shape, and the kind of the mark."""
     p, pp = _end_tokens(before)
-    n, nn = _start_token(after)
-    first = after.lstrip()[:1]
     pn, ps = _DIGITS.sub("0", p), _shape(p)
+    kind = mark if len(mark) == 1 else ".." if mark == ".." else "…"
+    return [f"p{kind}{pn}", f"s{kind}{ps}", f"q{_DIGITS.sub('0', pp)}", f"l{min(len(p), 6)}{kind}"], pn, ps, kind
+
+
+def right_features(after: str) -> tuple[list[str], str, str, str]:
+    """Features of what follows a mark; its normal form and shape, and its script."""
+    n, nn = _start_token(after)
     lead = n[:1] if n[:1] in _LEAD else ""
     ns = (lead and "q") + _shape(n[len(lead) :])
-    kind = mark if len(mark) == 1 else ".." if mark == ".." else "…"
-    script = "T" if "฀" <= first <= "๿" else "D" if "ऀ" <= first <= "ॿ" else "A" if "؀" <= first <= "ۿ" else "C" if _CJK.match(first or " ") else "G" if "Ͱ" <= first <= "Ͽ" else "R" if "Ѐ" <= first <= "ӿ" else "L"
-    return [
-        "b", f"m{kind}{script}", f"p{kind}{pn}", f"s{kind}{ps}", f"q{_DIGITS.sub('0', pp)}", f"n{n}", f"t{ns}", f"u{nn}", f"st{ps}{ns}",
-        f"pt{pn}|{ns}", f"sn{ps}|{n}", f"c{closers[-1:]}{ns}", f"g{gap}{ps}{ns}", f"l{min(len(p), 6)}{kind}", f"nu{n}|{nn}",
-    ]
+    return [f"n{n}", f"t{ns}", f"u{nn}", f"nu{n}|{nn}"], n, ns, _script(after.lstrip()[:1])
+
+
+def joint_features(pn: str, ps: str, kind: str, closers: str, gap: bool, n: str, ns: str, script: str) -> list[str]:
+    return ["b", f"m{kind}{script}", f"st{ps}{ns}", f"pt{pn}|{ns}", f"sn{ps}|{n}", f"c{closers[-1:]}{ns}", f"g{gap}{ps}{ns}"]
+
+
+def features(before: str, mark: str, closers: str, gap: bool, after: str) -> list[str]:
+    left, pn, ps, kind = left_features(before, mark)
+    right, n, ns, script = right_features(after)
+    return [*left, *right, *joint_features(pn, ps, kind, closers, gap, n, ns, script)]
 
 
 class Candidate:
@@ -245,6 +270,8 @@ def candidates(body: str, inner: bool = False) -> list[Candidate]:
         if at < skip or end >= size:
             continue
         nxt = body[end]
+        if not inner and (nxt in ",;:" or nxt == " " and body[end + 1].islower()):
+            continue  # goes on beyond doubt
         blank = nxt.isspace()
         while k < len(spans) and spans[k][1] < at:
             k += 1
@@ -293,7 +320,7 @@ def candidates(body: str, inner: bool = False) -> list[Candidate]:
             out.append(Candidate(end, True, args))
             continue
         out.append(Candidate(end, None, args))
-    if "฀" <= max(body) and re.search("[ก-๎]", body):
+    if _THAI.search(body):
         k = 0
         for m in _THAI_GAP.finditer(body):
             at, end = m.start() + 1, m.end()
@@ -316,25 +343,39 @@ class Model:
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
-        self.seen: dict[tuple, bool] = {}
+        self.left: dict[tuple, tuple] = {}
+        self.right: dict[tuple, tuple] = {}
+        self.cuts: dict[tuple, list[tuple[int, int]]] = {}
 
     def boundary(self, args: tuple) -> bool:
-        p, n = _end_tokens(args[0]), _start_token(args[4])
-        key = (p, n, args[1], args[2], args[3])
-        got = self.seen.get(key)
-        if got is None:
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            w = self.weights
-            got = self.seen[key] = sum(w.get(f, 0.0) for f in features(*args)) > 0
-        return got
+        """Whether the score is positive. The parts of either side are kept by their two tokens."""
+        before, mark, closers, gap, after = args
+        w = self.weights
+        key = (*before.rsplit(None, 2)[-2:], mark)
+        left = self.left.get(key)
+        if left is None:
+            if len(self.left) > 100_000:
+                self.left.clear()
+            names, *rest = left_features(before, mark)
+            left = self.left[key] = (sum(w.get(f, 0.0) for f in names), *rest)
+        key = tuple(after.split(None, 2)[:2])
+        right = self.right.get(key)
+        if right is None:
+            if len(self.right) > 100_000:
+                self.right.clear()
+            names, *rest = right_features(after)
+            right = self.right[key] = (sum(w.get(f, 0.0) for f in names), *rest)
+        score = left[0] + right[0]
+        for f in joint_features(left[1], left[2], left[3], closers, gap, right[1], right[2], right[3]):
+            score += w.get(f, 0.0)
+        return score > 0
 
 
 def _cut_in_two(text: str, a: Paragraph, b: Paragraph, model: Model) -> bool:
     """Whether b goes on where a page header broke a off."""
     one, two = a.body(text), text[b.start : b.end]
     c = two[0]
-    if c in ",;:)]»”）」』、，。":
+    if c in ",;:)]»”）」』、，。&":
         return True
     opened = [p for p in _SPAN_CHARS.finditer(one)]
     if opened:
@@ -400,6 +441,19 @@ def assemble(text: str, model: Model) -> list[Paragraph]:
     return out
 
 
+def _cut(body: str, lines: int, model: Model) -> list[tuple[int, int]]:
+    """Units of one paragraph."""
+    out = []
+    last = 0
+    plain = lines == 1 and len(body) < 50 and not _NUMBERED.match(body) and _ends_open(body) and not "\u0e00" <= body[-1] <= "\u0e7f"
+    for at in [*(c.at for c in candidates(body) if c.sure or c.sure is None and not plain and model.boundary(c.args)), len(body)]:
+        piece = body[last:at]
+        if _has_content(piece):
+            out.append((last + len(piece) - len(piece.lstrip()), last + len(piece.rstrip())))
+            last = at
+    return out
+
+
 def units(text: str, model: Model) -> list[tuple[int, int]]:
     """[start, end) of every sentence unit of a text, in code points."""
     out = []
@@ -410,22 +464,13 @@ def units(text: str, model: Model) -> list[tuple[int, int]]:
             out.append((p.start, p.end))
             continue
         body = p.body(text)
-        last = 0
-        plain = p.lines == 1 and len(body) < 50 and not _NUMBERED.match(body) and _ends_open(body) and not "\u0e00" <= body[-1] <= "\u0e7f"
-        for c in candidates(body):
-            sure = c.sure
-            if sure is None:
-                sure = not plain and model.boundary(c.args)
-            if sure:
-                piece = body[last : c.at]
-                if _has_content(piece):
-                    s = last + len(piece) - len(piece.lstrip())
-                    out.append((p.start + s, p.start + last + len(piece.rstrip())))
-                    last = c.at
-        piece = body[last:]
-        if _has_content(piece):
-            s = last + len(piece) - len(piece.lstrip())
-            out.append((p.start + s, p.start + last + len(piece.rstrip())))
+        key = (body, p.lines == 1)
+        cuts = model.cuts.get(key)
+        if cuts is None:
+            if len(model.cuts) > 20_000:
+                model.cuts.clear()
+            cuts = model.cuts[key] = _cut(body, p.lines, model)
+        out += [(p.start + a, p.start + b) for a, b in cuts]
     return out
 
 
@@ -488,11 +533,7 @@ def fit(texts: list[str], most: int = MOST_ROWS, epochs: int = EPOCHS, seed: int
         for _ in range(2):
             good.append((*a, True, starts[int(rng.integers(len(starts)))]))
     # ends and starts of one script go together; mixed pairs teach nothing
-    def script(s: str) -> str:
-        s = s.strip()[:1]
-        return "T" if "฀" <= s <= "๿" else "D" if "ऀ" <= s <= "ॿ" else "A" if "؀" <= s <= "ۿ" else "C" if _CJK.match(s or " ") else "G" if "Ͱ" <= s <= "Ͽ" else "R" if "Ѐ" <= s <= "ӿ" else "L"
-
-    same = [a for a in good if script(a[0][-1:]) == script(a[4].lstrip(_LEAD + " ")) or a[0][-1:].isdigit()]
+    same = [a for a in good if _script(a[0][-1:]) == _script(a[4].lstrip(_LEAD + " ")[:1]) or a[0][-1:].isdigit()]
     rows = []
     for label, kind in ((1.0, same), (0.0, bad)):
         pick = rng.permutation(len(kind))[:most]
