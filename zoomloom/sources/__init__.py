@@ -1 +1 @@
-
+"""Readers, writers and synthetic sources."""
