@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoomloom.session import materialize, parallelism
+from zoomloom.session import check_names, materialize, parallelism
 
 BLOCK = 16_384
 CLOSED = 0.97
@@ -81,16 +81,17 @@ def pack(
     """
     spark = items.sparkSession
     limits = np.array([capacity, most_segments or capacity, most_loss or capacity], dtype=np.int64)
-    valid = items.where(F.col(ident).isNotNull() & (F.col(size) > 0)).select(F.col(ident), F.col(size).cast("long").alias("n"), (F.col(loss) if loss else F.col(size)).cast("long").alias("l"))
+    valid = items.where(F.col(ident).isNotNull() & (F.col(size) > 0)).select(F.col(ident), F.col(size).cast("long").alias("__n"), F.coalesce(F.col(loss) if loss else F.col(size), F.lit(0)).cast("long").alias("__l"))
     total = valid.count()
     tasks = tasks or max(min(parallelism(spark), math.ceil(total / 4_000)), math.ceil(total / ITEMS_PER_TASK), 1)
     kind = items.schema[ident].dataType.simpleString()
     cols = [ident, "piece_no", "start_token", "n_tokens", "n_loss", "container_id", "is_open"]
+    check_names(*cols)
     schema = f"`{ident}` {kind}, piece_no int, start_token long, n_tokens long, n_loss long, container_id long, is_open boolean"
 
     def cut(t: pa.Table) -> list[np.ndarray]:
         """(row, piece, start, tokens, loss) of all pieces."""
-        n, l = t["n"].to_numpy(), t["l"].to_numpy()
+        n, l = t["__n"].to_numpy(), t["__l"].to_numpy()
         parts = -(-n // capacity)
         row = np.repeat(np.arange(len(n)), parts)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)

@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zoomloom.session import check_names
+
 TRAIN_DOCS = 3_000
 MOST_ROWS = 100_000
 EPOCHS = 40
 SEED = 11
 
 _LINE = re.compile("[^\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]+")
-_BLANK_GAP = re.compile("(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ])[^\\S\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]*(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ])")
+_BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
 _HEADERS = [
     re.compile(r"[\[(（]?\s*(?:page|pg\.?|seite|pág(?:ina|\.)?|стр(?:аница|\.)?|σελ(?:ίδα|\.)?|صفحة|पृष्ठ|หน้า|p\.)\s*\d+(?:\s*(?:of|von|de|sur|из|/)\s*\d+)?\s*[\])）]?", re.I),
     re.compile(r"[—–-]\s*\d+\s*[—–-]"),
@@ -102,7 +104,7 @@ def paragraphs(text: str) -> list[Paragraph]:
             lines.append((a, a + len(t), t))
     if not lines:
         return []
-    gaps = [b[0] - a[1] > 1 and bool(_BLANK_GAP.search(text, a[1], b[0])) for a, b in zip(lines, lines[1:])]
+    gaps = [b[0] - a[1] > 1 and len(_BREAK.findall(text, a[1], b[0])) > 1 for a, b in zip(lines, lines[1:])]
     # blank lines around page headers say nothing about the layout of the rest
     head = [is_header(t) for _, _, t in lines]
     apart = [g for g, a, b in zip(gaps, head, head[1:]) if not a and not b]
@@ -576,6 +578,7 @@ def sentence_units(df: DataFrame, ident: str, text: str, model: Model | None = N
     Units have no white space at either end and do not overlap. Null, empty and blank texts, and lines without a letter or digit,
     give no rows. Texts of any length are divided whole. Without a model one is fitted on a bounded sample of the texts.
     """
+    check_names(ident, "start_char", "end_char")
     model = model or fit(training_texts(df, ident, text, train_docs))
     weights = model.weights
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zoomloom.operators.balance import expand_ranges
+from zoomloom.session import check_names
 
 FOLDER = "/opt/tokenizers"
 CHUNK = 1_000_000  # characters worked on at once
@@ -226,6 +227,7 @@ def encode_corpus(df: DataFrame, ident: str, text: str, vocabulary: str = "byte_
     own id, also where ids repeat or are null; other columns are ignored. Texts of any length are encoded whole.
     """
     out = [ident, "ids"]
+    check_names(*out)
 
     def run(batches):
         enc = _encoder((vocabulary,), folder)
@@ -242,6 +244,7 @@ def encode_corpus(df: DataFrame, ident: str, text: str, vocabulary: str = "byte_
 def count_tokens(df: DataFrame, ident: str, text: str, vocabularies: list[str], folder: str = FOLDER) -> DataFrame:
     """(ident, n_<vocabulary>...): the number of ids of each row's text by each vocabulary; 0 for null and empty texts."""
     out = [ident, *[f"n_{v}" for v in vocabularies]]
+    check_names(*out)
 
     def run(batches):
         enc = _encoder(tuple(vocabularies), folder)
