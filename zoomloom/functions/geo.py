@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -83,7 +84,7 @@ def shape_of(text: str | None, project) -> tuple[float, float, float, float]:
         return (0.0, 0.0, 0.0, 0.0)
 
 
-@F.pandas_udf("cx double, cy double, width double, height double")
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("cx", "cy", "width", "height")]))
 def geojson_albers(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([shape_of(t, albers_usa) for t in text], columns=["cx", "cy", "width", "height"])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def convex_hull(points) -> list[tuple[float, float]]:
@@ -23,14 +24,10 @@ def convex_hull(points) -> list[tuple[float, float]]:
     return chain(pts)[:-1] + chain(pts[::-1])[:-1]
 
 
-@F.pandas_udf("array<struct<x:double,y:double>>")
-def hull_of(x: pd.Series, y: pd.Series) -> list:
-    """Hull of a group of points; hulls of hulls are hulls of all, so it merges."""
-    return [{"x": a, "y": b} for a, b in convex_hull(zip(x, y))]
+POINTS = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 
 
-def hull_per_batch(batches):
-    """Map-side combine for mapInPandas over (key, x, y): only hull vertices of each key go on."""
-    for b in batches:
-        rows = [(k, x, y) for k, g in b.groupby("key", sort=False) for x, y in convex_hull(zip(g["x"], g["y"]))]
-        yield pd.DataFrame(rows, columns=["key", "x", "y"])
+@F.pandas_udf(POINTS)
+def hull_of(points: pd.Series) -> pd.Series:
+    """Hull of each array of points; hulls of hulls are hulls of all, so it merges."""
+    return points.map(lambda ps: [{"x": a, "y": b} for a, b in convex_hull((p["x"], p["y"]) for p in ps)])

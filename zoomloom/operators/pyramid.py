@@ -114,9 +114,6 @@ def _cells(x: Column, y: Column, wide: float, tall: float) -> dict[str, Column]:
     return {"u": F.floor(x / wide), "v": F.floor(y / tall)}
 
 
-_AROUND = F.array  # built lazily: Columns need a session
-
-
 def _spread(df: DataFrame) -> DataFrame:
     """Each row at its own and the eight cells around."""
     near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
@@ -203,7 +200,13 @@ def build_pyramid(df: DataFrame, spec: PyramidSpec) -> Pyramid:
         m = chain.withColumn("level", F.lit(level))
         members = m if members is None else members.unionByName(m)
         own = heads.select("id", "z", (F.col("x") / spec.zoom).alias("x"), (F.col("y") / spec.zoom).alias("y"))
-    rows = members.join(base.withColumn("__id", F.col(spec.id).cast("long")), F.col("id") == F.col("__id")).drop("__id")
+    used = [c for c in dict.fromkeys([spec.x, spec.y, spec.z, *spec.measures, *spec.dimensions]) if c != spec.id]
+    if {"level", "head"} & set(used):
+        raise ValueError("level and head are columns of the result")
+    own_rows = base.select(F.col(spec.id).cast("long").alias("__id"), *([F.col(spec.id).alias("__z")] if spec.z == spec.id else []), *[F.col(c) for c in used if c != "id"])
+    rows = members.join(own_rows, F.col("id") == F.col("__id")).drop("__id", "__z")
+    if spec.id != "id" and spec.id in (spec.x, spec.y, spec.z):
+        rows = rows.withColumn(spec.id, F.col("id"))
     return Pyramid(levels, members, cluster_aggregates(rows, list(spec.measures), list(spec.dimensions)), top_members(rows, spec), cluster_hulls(rows, spec))
 
 
@@ -236,10 +239,10 @@ def top_members(rows: DataFrame, spec: PyramidSpec) -> DataFrame:
 
 def cluster_hulls(rows: DataFrame, spec: PyramidSpec) -> DataFrame:
     """(level, head, hull) over the members' raw positions. Hulls are taken per part first, so no task holds a whole cluster."""
-    part = F.pmod(F.xxhash64("id"), F.lit(32)).alias("part")
-    first = rows.groupBy("level", "head", part).agg(hull_of(F.col(spec.x).cast("double"), F.col(spec.y).cast("double")).alias("h"))
-    points = first.select("level", "head", F.explode("h").alias("p"))
-    return points.groupBy("level", "head").agg(hull_of(F.col("p.x"), F.col("p.y")).alias("hull"))
+    part = F.pmod(F.xxhash64("id"), F.lit(256)).alias("part")
+    point = F.struct(F.col(spec.x).cast("double").alias("x"), F.col(spec.y).cast("double").alias("y"))
+    first = rows.groupBy("level", "head", part).agg(F.collect_set(point).alias("ps")).select("level", "head", F.when(F.size("ps") > 2, hull_of("ps")).otherwise(F.col("ps")).alias("ps"))
+    return first.groupBy("level", "head").agg(F.flatten(F.collect_list("ps")).alias("ps")).select("level", "head", hull_of("ps").alias("hull"))
 
 
 def measure_ranges(aggregates: DataFrame, measures: list[str]) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zoomloom.operators.balance import expand_ranges, pack_units, task_count
-from zoomloom.session import parallelism
+from zoomloom.session import check_names, parallelism
 
 ROWS_PER_TASK = 400_000
 BUCKETS_PER_TASK = 8
@@ -111,6 +111,7 @@ def near_pairs_by_key(
     records of one id never form a pair. Ids are integers or strings; other columns of df are ignored.
     An empty table gives an empty result.
     """
+    check_names(key, "id_a", "id_b")
     spark = df.sparkSession
     x0, y0, x1, y1 = extent
     types = {f.name: f.dataType for f in df.schema.fields}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from zoomloom.plans import corpus
+from zoomloom.plans import corpus, fetch, pyramids, shows
 
-MODULES = [corpus]
-FLAGSHIP = "p3_found"
+MODULES = [fetch, shows, pyramids, corpus]
+FLAGSHIP = "viewport_box"
 
 
 def queries() -> dict:

@@ -72,3 +72,9 @@ def parallelism(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def check_names(*names: str) -> None:
+    """Refuse a result that would have two columns of one name."""
+    if len({n.lower() for n in names}) < len(names):
+        raise ValueError(f"two columns of one name in {names}")
