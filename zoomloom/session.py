@@ -70,6 +70,15 @@ def parallelism(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are task slots: for costly row-wise work on a few large files.
+
+    Tables that have enough partitions, as all large ones do, are not shuffled.
+    """
+    slots = parallelism(df.sparkSession)
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
