@@ -8,7 +8,7 @@ Plan
    wanted rank becomes the pivot, kept within a bracket that the proposals' rank error guarantees.
 3. The runs count three ways (below, equal, above) around both ends of the bracket by binary search; ranges
    that cannot hold the wanted value are discarded. This repeats per group until it is found. As every round
-   divides what is left by about PROPOSALS / 2, 2 million values need about five rounds.
+   divides what is left by about PROPOSALS / 2, 2 million values need about three rounds.
 
 The first proposals alone are a *summary*: mergeable across partitions and days, with a stated error bound.
 The state of the search is a table, not driver memory: groups may be many.
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from zoomloom.session import materialize
 
 RUN = 65_536
-PROPOSALS = 32
+PROPOSALS = 128
 MAX_ROUNDS = 64
 
 
