@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoomloom.session import check_names
+from zoomloom.session import check_names, widen
 
-TRAIN_DOCS = 3_000
-MOST_ROWS = 100_000
-EPOCHS = 40
+TRAIN_DOCS = 2_000
+MOST_ROWS = 50_000
+EPOCHS = 16
+BATCH = 4096
 SEED = 11
 
 _LINE = re.compile("[^\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]+")
@@ -38,7 +39,7 @@ _HEADERS = [
     re.compile(r"[（(]?\s*第?\s*\d+\s*[頁页]\s*[)）]?"),
     re.compile(r"(?:\w{1,6}\.? )?[A-Z]{1,3} \d+/\d{4}\s*(?:\|\s*\D{0,12}\d+|\s{2,}\d+)"),
 ]
-_OPENER = re.compile(r"(?:[§¶]+\s*)?(?:[\[(（]\s*(?:\d{1,4}|[ivxlcIVXLC]{1,6}|[一二三四五六七八九十]{1,3})\s*[\])）][.、:]?|(?:\d{1,4}|[IVXLC]{1,6}|[一二三四五六七八九十]{1,3})(?:[.、．)]|(?=\s)))\s*")
+_OPENER = re.compile(r"(?:[§¶]+\s*)?(?:[\[(（]\s*(?:\d{1,4}|[ivxlcIVXLC]{1,6}|[一二三四五六七八九十]{1,3})\s*[\])）][.、:]?|(?:\d{1,4}|[IVXLC]{1,6}|[一二三四五六七八九十]{1,3})(?:[.、．)]|(?=\s+[^\sa-zß-öø-ÿ]))(?!\S*[0-9]))\s*")
 _NOTE = re.compile(r"\s{4,}|\t\t|~{3}|<\|?\w+\|?>")
 _NUMBERED = re.compile(r"(?:[§¶]+\s*\d|[\[(（]\s*\d{1,4}\s*[\])）]|\d{1,4}[.、．]?\s+\S|\d{1,4}、)")
 _PAIRS = {"“": "”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "《": "》", "【": "】", "‹": "›", "〈": "〉"}
@@ -184,7 +185,9 @@ def _shape(tok: str) -> str:
 
 def _plain(w: str) -> str:
     w = w.rstrip(",;:.)]”»“")
-    return w if w.isalpha() else _DIGITS.sub("0", w)
+    if w.isalpha():
+        return "I" if len(w) == 1 and w.isupper() else w  # initials are alike
+    return _DIGITS.sub("0", w)
 
 
 def _start_token(after: str) -> tuple[str, str]:
@@ -226,7 +229,7 @@ def _script(c: str) -> str:
 def left_features(before: str, mark: str) -> tuple[list[str], str, str, str]:
     """Features of what stands before a mark; its normal form and shape, and the kind of the mark."""
     p, pp = _end_tokens(before)
-    pn, ps = _DIGITS.sub("0", p), _shape(p)
+    pn, ps = "I" if len(p) == 1 and p.isupper() else _DIGITS.sub("0", p), _shape(p)
     kind = mark if len(mark) == 1 else ".." if mark == ".." else "…"
     return [f"p{kind}{pn}", f"s{kind}{ps}", f"q{_DIGITS.sub('0', pp)}", f"l{min(len(p), 6)}{kind}"], pn, ps, kind
 
@@ -447,7 +450,7 @@ def _cut(body: str, lines: int, model: Model) -> list[tuple[int, int]]:
     """Units of one paragraph."""
     out = []
     last = 0
-    plain = lines == 1 and len(body) < 50 and not _NUMBERED.match(body) and _ends_open(body) and not "\u0e00" <= body[-1] <= "\u0e7f"
+    plain = lines == 1 and len(body) < 50 and not _NUMBERED.match(body) and _ends_open(body) and not ("\u0e00" <= body[-1] <= "\u0e7f" and len(body) >= 30)
     for at in [*(c.at for c in candidates(body) if c.sure or c.sure is None and not plain and model.boundary(c.args)), len(body)]:
         piece = body[last:at]
         if _has_content(piece):
@@ -528,7 +531,7 @@ def fit(texts: list[str], most: int = MOST_ROWS, epochs: int = EPOCHS, seed: int
     for a in unsure:  # tokens that are common here but never end, or never start, a paragraph
         p_, n_ = _end_tokens(a[0])[0], _start_token(a[4])[0]
         never_ends = a[1] == "." and inside_of[p_] >= (4 if p_[:1].islower() else 12) and ends_of[p_] <= inside_of[p_] / 60 and _shape(p_)[0] != "d" and _shape(p_) != "num"
-        never_starts = within_of[n_] >= 12 and starts_of[n_] <= within_of[n_] / 60 and n_[:1] not in _LEAD
+        never_starts = within_of[n_] >= 12 and starts_of[n_] <= within_of[n_] / 60 and n_[:1] not in _LEAD and len(n_) > 1 and not n_[0].isdigit()
         if never_ends or never_starts:
             bad.append(a)
     for a in ends:
@@ -554,13 +557,16 @@ def fit(texts: list[str], most: int = MOST_ROWS, epochs: int = EPOCHS, seed: int
     w = np.zeros(len(names) + 1)
     speed = np.full(len(w), 1e-8)
     n = len(y)
-    for _ in range(epochs):  # full-batch Adagrad with a little ridge
-        z = w[index].sum(1)
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share / n
-        grad = np.bincount(index.ravel(), weights=np.repeat(g, width), minlength=len(w)) + 1e-7 * w
-        grad[-1] = 0
-        speed += grad * grad
-        w -= 0.3 * grad / np.sqrt(speed)
+    for _ in range(epochs):  # Adagrad over small batches
+        order = rng.permutation(n)
+        for at in range(0, n, BATCH):
+            part = order[at : at + BATCH]
+            rows_ = index[part]
+            g = (1 / (1 + np.exp(-np.clip(w[rows_].sum(1), -30, 30))) - y[part]) * share[part] / len(part)
+            grad = np.bincount(rows_.ravel(), weights=np.repeat(g, width), minlength=len(w))
+            grad[-1] = 0
+            speed += grad * grad
+            w -= 0.2 * grad / np.sqrt(speed)
     return Model({f: float(w[i]) for f, i in names.items() if math.fabs(w[i]) > 1e-4})
 
 
@@ -600,4 +606,4 @@ def sentence_units(df: DataFrame, ident: str, text: str, model: Model | None = N
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=[ident, "start_char", "end_char"])
 
     kind = df.schema[ident].dataType.simpleString()
-    return df.select(F.col(ident), F.col(text).cast("string")).mapInArrow(run, f"`{ident}` {kind}, start_char int, end_char int")
+    return widen(df.select(F.col(ident), F.col(text).cast("string"))).mapInArrow(run, f"`{ident}` {kind}, start_char int, end_char int")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zoomloom.operators.balance import expand_ranges
-from zoomloom.session import check_names
+from zoomloom.session import check_names, widen
 
 FOLDER = "/opt/tokenizers"
 CHUNK = 1_000_000  # characters worked on at once
@@ -238,7 +238,7 @@ def encode_corpus(df: DataFrame, ident: str, text: str, vocabulary: str = "byte_
                 yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))], names=out)
 
     kind = df.schema[ident].dataType.simpleString()
-    return df.select(F.col(ident), F.col(text).cast("string")).mapInArrow(run, f"`{ident}` {kind}, ids array<int>")
+    return widen(df.select(F.col(ident), F.col(text).cast("string"))).mapInArrow(run, f"`{ident}` {kind}, ids array<int>")
 
 
 def count_tokens(df: DataFrame, ident: str, text: str, vocabularies: list[str], folder: str = FOLDER) -> DataFrame:
@@ -255,4 +255,4 @@ def count_tokens(df: DataFrame, ident: str, text: str, vocabularies: list[str],
                 yield pa.RecordBatch.from_arrays([ids[lo:hi], *[pa.array(c.astype(np.int64)) for c in counts]], names=out)
 
     kind = df.schema[ident].dataType.simpleString()
-    return df.select(F.col(ident), F.col(text).cast("string")).mapInArrow(run, f"`{ident}` {kind}, " + ", ".join(f"`{c}` long" for c in out[1:]))
+    return widen(df.select(F.col(ident), F.col(text).cast("string"))).mapInArrow(run, f"`{ident}` {kind}, " + ", ".join(f"`{c}` long" for c in out[1:]))
