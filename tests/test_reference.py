@@ -224,6 +224,7 @@ def test_pyramid_invariants(spark):
     for row in p.members.collect():
         own.setdefault((row["level"], row["head"]), []).append((rows[row["id"]][1], rows[row["id"]][2]))
     assert hull == {k: convex_hull(v) for k, v in own.items()}
+    assert {(r["level"], r["head"]): (r["minx"], r["maxy"]) for r in pyramid.hover_box(p.hulls).collect()} == {k: (min(a for a, _ in v), max(b for _, b in v)) for k, v in own.items()}
     merged = pyramid.merge_aggregates(p.aggregates, ["level"], ["m"]).collect()
     assert all(row["avg_m"] == pytest.approx(np.mean([v[5] for v in rows[:300]])) for row in merged)
     keys = pyramid.cluster_keys(p.aggregates, ["d"], ["m"], ["avg"]).first()["cluster_agg"]
@@ -266,11 +267,20 @@ def test_table_numbers(spark):
 def test_charts():
     rects = charts.treemap([6, 6, 4, 3, 2, 2, 1], 6, 4)
     assert sum(w * h for _, _, w, h in rects) == pytest.approx(24)
+    radii = [5, 4, 4, 3, 2, 1, 1]
+    at = charts.pack_circles(radii)
+    assert all(((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5 >= (p + q) * (1 - 1e-6) for i, (a, p) in enumerate(zip(at, radii)) for b, q in list(zip(at, radii))[:i])
     assert charts.domain_keys([["a", "b"], ["x"]]) == [("a", "x"), ("b", "x")]
     with pytest.raises(ValueError):
         charts.measure_column("SUM(a) FROM x")
 
 
+def test_colors(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("b",)], "k string")
+    got = {(r["k"], r["color"]) for r in charts.ordinal_colors(df, "k", ["red", "blue"]).collect()}
+    assert got == {(None, "red"), ("a", "blue"), ("b", "red"), ("c", "blue")}
+
+
 def test_shapes():
     import json
 
@@ -304,6 +314,10 @@ def test_engine(spark, tmp_path):
     assert e.centroid("top", 0, e.predicate("top", 0, f"(id='{one['id']}')")) == (one["cx"], one["cy"])
     with pytest.raises(ValueError):
         e.centroid("top", 0, Everything())
+    some = e.trigger_predicate("top", "v", {0: f"(id='{one['id']}')"})[0]
+    assert some.count() <= 1 and e.trigger_pan("v", one["cx"] - 50, one["cy"] - 50)[0].count() == 1
+    j = e.project.add_jump(Jump("top", "low", "semantic_zoom", predicates=lambda row: {"layer0": {"==": ["id", str(row["id"])]}}, viewport=lambda row: {"centroid": {"layer0": {"==": ["id", str(row["id"])]}}}))
+    assert [r["id"] for r in e.trigger_jump(j, "v", {"id": one["id"]})[0].collect()] == [one["id"]]
     e.update("low", 0, spark.createDataFrame([(one["id"], 5)], "id long, x int"), ["id"])
     assert e.layer("low", 0).where(F.col("id") == one["id"]).first()["x"] == 5 and e.layer("low", 0).count() == 3000
     e.flush_log()

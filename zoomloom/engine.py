@@ -26,7 +26,9 @@ class Engine:
         self.spark, self.folder, self.log = spark, folder.rstrip("/"), log
         self.project: Project | None = None
         self._tiles: OrderedDict = OrderedDict()
-        self._held: dict[tuple, tuple[Box, DataFrame]] = {}
+        self._held: dict[tuple, tuple[Box, dict[int, DataFrame]]] = {}
+        self._predicates: dict[tuple, dict[int, Predicate]] = {}
+        self._at: dict[str, tuple[str, float, float]] = {}
         self._entries: list[tuple] = []
         self._listeners: dict[str, list] = {}
 
@@ -87,10 +89,11 @@ class Engine:
         v = self.project.views[view]
         w, h = self.size(canvas)
         key = (canvas, view)
+        self._at[view] = (canvas, mx, my)
         held = self._held.get(key)
         if held is not None and not viewport.needs_fetch(mx, my, v.width, v.height, held[0], w, h):
             return held[1]
-        box, new = self.dynamic_box(canvas, mx, my, view, old=held[0] if held else None)
+        box, new = self.dynamic_box(canvas, mx, my, view, self._predicates.get(key), old=held[0] if held else None)
         layers = self.project.canvases[canvas].layers
         state = {i: (viewport.incremental(df, held[1][i], box) if held and layers[i].delta else df) for i, df in new.items()}
         self._held[key] = (box, state)
@@ -153,6 +156,28 @@ class Engine:
     def object_data(self, canvas: str, view: str, i: int, p: Predicate | None = None) -> DataFrame:
         return self.render_data(canvas, view)[i].where(to_column(p or Everything())).dropDuplicates()
 
+    def trigger_predicate(self, canvas: str, view: str, predicates: dict[int, str]) -> dict[int, DataFrame]:
+        """Load a view again under predicates in wire form, one a layer; layers not named keep everything."""
+        self._predicates[(canvas, view)] = {i: self.predicate(canvas, i, w) for i, w in predicates.items()}
+        return self.re_render(view)
+
+    def trigger_pan(self, view: str, x: float, y: float) -> dict[int, DataFrame]:
+        return self.pan(self._at[view][0], x, y, view)
+
+    def trigger_jump(self, j, view: str, row: dict) -> dict[int, DataFrame]:
+        """Follow a jump and fetch where it leads; without a viewport the corner stays where it is."""
+        t = self.jump(j, view, row)
+        self._predicates[(t.canvas, view)] = dict(enumerate(t.predicates))
+        self._held.pop((t.canvas, view), None)
+        corner = t.corner or self._at.get(view, ("", 0.0, 0.0))[1:]
+        return self.pan(t.canvas, *corner, view)
+
+    def re_render(self, view: str) -> dict[int, DataFrame]:
+        """Fetch a view afresh."""
+        canvas, x, y = self._at[view]
+        self._held.pop((canvas, view), None)
+        return self.pan(canvas, x, y, view)
+
     def on(self, event: str, f) -> None:
         if event not in ("pan", "zoom", "jumpstart", "jumpend"):
             raise ValueError(f"unknown event {event!r}")

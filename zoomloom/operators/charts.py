@@ -122,3 +122,41 @@ def radar_points(df: DataFrame, key: list[str], measures: dict[str, tuple[float,
     cells = [F.struct(F.lit(m).alias("measure"), F.lit(math.pi / 2 + 2 * math.pi * i / n).alias("angle"), ((F.col(m) - F.lit(float(lo))) / F.lit(float(hi - lo)) * F.lit(float(radius))).alias("r")) for i, (m, (lo, hi)) in enumerate(measures.items())]
     out = df.select(*key, F.explode(F.array(*cells)).alias("p")).select(*key, "p.*")
     return out.withColumns({"px": F.col("r") * F.cos("angle"), "py": -F.col("r") * F.sin("angle")})
+
+
+def pack_circles(radii: list[float]) -> list[tuple[float, float]]:
+    """Centres of circles that touch without overlapping, placed one after another next to the origin, on the driver (a chart has 150 at most)."""
+    out: list[tuple[float, float]] = []
+    for i, r in enumerate(radii):
+        if i == 0:
+            out.append((0.0, 0.0))
+            continue
+        if i == 1:
+            out.append((radii[0] + r, 0.0))
+            continue
+        best = None
+        for a in range(i):
+            for b in range(a):
+                (xa, ya), (xb, yb) = out[a], out[b]
+                da, db, d = radii[a] + r, radii[b] + r, math.hypot(xb - xa, yb - ya)
+                if d == 0 or d > da + db:
+                    continue
+                along = (da * da - db * db + d * d) / (2 * d)
+                aside = math.sqrt(max(0.0, da * da - along * along))
+                for sign in (1, -1):
+                    x = xa + along * (xb - xa) / d - sign * aside * (yb - ya) / d
+                    y = ya + along * (yb - ya) / d + sign * aside * (xb - xa) / d
+                    if all(math.hypot(x - u, y - v) >= r + q - 1e-9 * (r + q) for (u, v), q in zip(out, radii)):
+                        far = math.hypot(x, y)
+                        if best is None or far < best[0] - 1e-12:
+                            best = (far, x, y)
+        out.append((best[1], best[2]))
+    return out
+
+
+def ordinal_colors(df: DataFrame, column: str, palette: list[str]) -> DataFrame:
+    """A colour for each value, in the order of the values, around the palette. Only the distinct values are ranked."""
+    values = df.select(column).distinct().withColumn("__i", F.row_number().over(W.orderBy(column)))
+    color = F.element_at(F.array(*map(F.lit, palette)), (F.pmod(F.col("__i") - 1, F.lit(len(palette))) + 1).cast("int"))
+    picked = values.select(F.col(column).alias("__v"), color.alias("color"))
+    return df.join(picked, df[column].eqNullSafe(F.col("__v")), "left").drop("__v")

@@ -288,3 +288,9 @@ def merge_along_splits(heads: DataFrame, splits: list[float], wide: float, tall:
 
     schema = T.StructType(border.schema.fields)
     return marked.where(F.col("split").isNull()).unionByName(border.groupBy("split").applyInPandas(sweep, schema)).drop("split")
+
+
+def hover_box(hulls: DataFrame) -> DataFrame:
+    """(level, head, minx, miny, maxx, maxy): the box around each hull, as a boundary to show on hover."""
+    xs, ys = F.transform("hull", lambda p: p["x"]), F.transform("hull", lambda p: p["y"])
+    return hulls.select("level", "head", F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"), F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
