@@ -178,7 +178,8 @@ def crowd_members(points: DataFrame, reach: float, least: int, tasks: int | None
 
     Two points are linked if they are at most `reach` apart; a crowd is all points linked directly or through others, with
     at least `least` different ids; cluster_id is its smallest id. Rows with a null id or a null or NaN coordinate take no
-    part. Rows repeated unchanged are one record. An empty table gives an empty result.
+    part. Rows repeated unchanged are one record. An empty table gives an empty result. A task holds the distinct positions of at
+    least one square of four reaches, however crowded; rows at one position never meet in a task.
     """
     spark = points.sparkSession
     valid = points.select("id", "x", "y").where(F.col("id").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))

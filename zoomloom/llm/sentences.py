@@ -30,6 +30,7 @@ MOST_ROWS = 50_000
 EPOCHS = 16
 BATCH = 4096
 SEED = 11
+DEPTH = 50  # an opening sign counts as long as fewer than so many others wait for their closing sign
 
 _LINE = re.compile("[^\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]+")
 _BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
@@ -52,6 +53,7 @@ _MARK = re.compile(
 _THAI_GAP = re.compile("[฀-๿”“\"»)\\]*_█▇xX…][  ]+(?=[ก-๎])")
 _THAI = re.compile("[ก-๎]")
 _CONTENT = re.compile(r"[^\W_]")
+_GLUED = re.compile(r"^.*[^\W\d_A-Z]{4,}[.!?]")
 _WORD = re.compile(r"\S+")
 _DIGITS = re.compile(r"\d+")
 _CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
@@ -143,6 +145,8 @@ def _spans(body: str) -> list[tuple[int, int]]:
             want = "„" if c == "“" else '"'
         elif c in _PAIRS or c in "„\"":
             stack.append((c, at))
+            if len(stack) > DEPTH:
+                del stack[0]
             continue
         elif c == "”" and not any(o == "“" for o, _ in stack) and any(o == "„" for o, _ in stack):
             want = "„"
@@ -217,6 +221,8 @@ def _end_tokens(before: str) -> tuple[str, str]:
     parts = tail.split()
     if not parts:
         return "", ""
+    if "." in parts[-1]:
+        parts[-1] = _GLUED.sub("", parts[-1])
     return parts[-1].lstrip(_LEAD)[-20:], parts[-2].lstrip(_LEAD)[-16:] if len(parts) > 1 else ""
 
 
@@ -265,13 +271,19 @@ def candidates(body: str, inner: bool = False) -> list[Candidate]:
     inner: also those inside brackets and quotations, which are never boundaries (for training).
     """
     spans = _spans(body)
+    opens = {a for a, _ in spans}
     opener = _OPENER.match(body)
     skip = opener.end() if opener else 0
     out = []
     k = 0
     size = len(body)
     for m in _MARK.finditer(body):
-        at, mark, end = m.start(), m.group(1), m.end()
+        at, mark, end, closers = m.start(), m.group(1), m.end(), m.group(2)
+        if closers and opens:  # a sign that opens what follows does not close this
+            for j in range(m.start(2), end):
+                if j in opens and body[j] in '“"':
+                    end, closers = j, body[m.start(2) : j]
+                    break
         if at < skip or end >= size:
             continue
         nxt = body[end]
@@ -282,7 +294,7 @@ def candidates(body: str, inner: bool = False) -> list[Candidate]:
             k += 1
         inside = k < len(spans) and spans[k][0] < at and spans[k][1] >= end
         if mark == ";":
-            if not ("Ͱ" <= body[max(0, at - 1)] <= "Ͽ" or "ἀ" <= body[max(0, at - 1)] <= "῿" or body[max(0, at - 1)].isdigit() and re.search("[Ͱ-Ͽ]", body[max(0, at - 60) : at])) or not blank:
+            if not ("Ͱ" <= body[max(0, at - 1)] <= "Ͽ" or "ἀ" <= body[max(0, at - 1)] <= "῿" or body[max(0, at - 1)].isdigit() and re.search("[Ͱ-Ͽ]", body[max(0, at - 60) : at])) or not (blank or nxt.isupper()):
                 continue
         if inside:
             if inner and blank and mark != ";":
@@ -293,7 +305,6 @@ def candidates(body: str, inner: bool = False) -> list[Candidate]:
         if not ahead:
             continue
         c = ahead[0]
-        closers = m.group(2)
         before = body[max(0, at - 48) : at]
         args = (before, mark, closers, blank, rest)
         if c in _GOES_ON and not (c in "-–—" and blank and len(ahead) > 1 and ahead[1].isalpha()):
@@ -317,7 +328,7 @@ def candidates(body: str, inner: bool = False) -> list[Candidate]:
                 continue
             elif not (c.isupper() or c in _OPENING or c in "¿¡") and not (c.isalpha() and not c.isupper()):
                 continue
-            elif mark == "." and (len(_end_tokens(before)[0]) < 3 or "." in _end_tokens(before)[0] or len(ahead) < 2 or not (ahead[1].islower() or ahead[1] in " '’")) and c.isupper():
+            elif mark == "." and (len(_end_tokens(before)[0]) < 3 or "." in _end_tokens(before)[0] or len(ahead) < 2 or not (ahead[1].islower() or ahead[1] in " '’.")) and c.isupper():
                 continue
             elif c.isalpha() and not c.isupper() and (mark == "." and len(_end_tokens(before)[0]) < 3):
                 continue
@@ -415,6 +426,8 @@ def _open_at_end(body: str) -> str:
             stack.pop()
         elif c in _PAIRS or c == "„":
             stack.append(c)
+            if len(stack) > DEPTH:
+                del stack[0]
         elif stack and (_CLOSE.get(c) == stack[-1] or c == "”" and stack[-1] == "„"):
             stack.pop()
     return "" if not stack else "“" if stack[-1] == "„" else _PAIRS[stack[-1]]
