@@ -13,7 +13,7 @@ from zoomloom.llm import plans
 from zoomloom.llm.crowds import Features, crowd_members, describe_crowds, linked_features, ward
 from zoomloom.llm.packing import fill, pack
 from zoomloom.llm.percentiles import multi_select, read_summaries, sorted_runs, summarize
-from zoomloom.llm.sentences import Model, fit, paragraphs, sentence_units, units
+from zoomloom.llm.sentences import Model, fit, labelled, paragraphs, sentence_units, training_texts, units
 from zoomloom.llm.tokenizer import Encoder, count_tokens, encode_corpus, load_vocabulary
 from zoomloom.llm.topn import LoserTree, top_n
 from zoomloom.session import materialize
@@ -319,3 +319,19 @@ def test_held_out_boundaries(spark, model):
     bodies = [p.body(t) for t in ends for p in paragraphs(t) if p.kind == "text" and len(p.body(t)) > 80 and p.body(t)[-1] == "."]
     right = [model.boundary((a[:-1][-48:], ".", "", True, " " + b[:50])) for a, b in zip(bodies, bodies[1:]) if b[:1].isupper()]
     assert len(right) >= 20 and np.mean(right) > 0.95
+
+
+def test_scripts_with_a_small_share(spark):
+    """The sample holds all texts of a rare script, and none of its paragraph ends is lost to starts of other scripts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    thai = {r["text"] for r in docs.where(F.length(F.regexp_replace("text", "[^ก-๎]+", "")) > F.length("text") / 2).collect()}
+    sample = training_texts(docs, "doc_id", "text", 100)
+    assert len(thai) > 10 and thai <= set(sample)
+    rows = labelled(sample, np.random.default_rng(0))
+    parts = [(t, paragraphs(t)) for t in sample]
+    bodies = [p.body(t) for t, ps in parts for p, q in zip(ps, ps[1:]) if p.kind == q.kind == "text"]
+    ends = [b for b in bodies if len(b) >= 60 and "ก" <= b[-1] <= "๎"]
+    paired = [a for a in rows["T", True] if a[1] == " "]
+    assert len(ends) > 10 and len(paired) >= 2 * len(ends)
+    assert all("ก" <= next(c for c in a[4] if c.isalpha()) <= "๎" for a in paired)
+    assert {s for s, label in rows if label} == set("LTDACGR")

@@ -9,11 +9,13 @@ Plan
    tokens, their case, length, digits and script.
 4. The model is fitted on reliable boundaries of the corpus itself: paragraph ends set against paragraph starts, and sure marks,
    against candidates followed by lower case, those inside brackets, and those after tokens that never end or before tokens that
-   never start a paragraph. The fit uses a bounded sample (TRAIN_DOCS documents); every document is segmented whole.
+   never start a paragraph. Ends are paired with starts of their own script. The fit uses a bounded sample (TRAIN_DOCS
+   documents, and of a script with fewer than SCRIPT_DOCS among them up to SCRIPT_DOCS); every document is segmented whole.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from zoomloom.session import check_names, widen
 
 TRAIN_DOCS = 2_000
+SCRIPT_DOCS = 500  # a script with a small share of the texts is sampled up to so many
+SCRIPT_HEAD = 400  # code points of a text that tell its script, for the sample
 MOST_ROWS = 50_000
 EPOCHS = 16
 BATCH = 4096
@@ -232,6 +236,17 @@ def _script(c: str) -> str:
     return "T" if "\u0e00" <= c <= "\u0e7f" else "D" if "\u0900" <= c <= "\u097f" else "A" if "\u0600" <= c <= "\u06ff" else "C" if _CJK.match(c) else "G" if c <= "\u03ff" else "R" if c <= "\u04ff" else "L"
 
 
+_SCRIPTS = {"T": "ก-๎", "D": "\u0900-\u097f", "A": "\u0600-\u06ff", "C": "぀-ヿ㐀-鿿豈-﫿", "G": "Ͱ-Ͽ", "R": "\u0400-\u04ff"}
+
+
+def _script_at(s: str) -> str:
+    """Script of the first letter of s; marks and digits belong to no script."""
+    for c in s:
+        if c.isalpha():
+            return _script(c)
+    return "L"
+
+
 def left_features(before: str, mark: str) -> tuple[list[str], str, str, str]:
     """Features of what stands before a mark; its normal form and shape, and the kind of the mark."""
     p, pp = _end_tokens(before)
@@ -492,11 +507,10 @@ def units(text: str, model: Model) -> list[tuple[int, int]]:
     return out
 
 
-def fit(texts: list[str], most: int = MOST_ROWS, epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """Maximum-entropy model from reliable boundaries of the texts; at most `most` labelled rows of either label."""
-    rng = np.random.default_rng(seed)
+def labelled(texts: list[str], rng: np.random.Generator, most: int = MOST_ROWS) -> dict[tuple[str, bool], list[tuple]]:
+    """Arguments of reliable boundaries (True) and of places that are none (False) by (script, label), at most `most` of each."""
     ends: list[tuple] = []  # (before, mark, closers) of paragraph ends
-    starts: list[str] = []
+    starts: dict[str, list[str]] = {}
     good: list[tuple] = []
     bad: list[tuple] = []
     unsure: list[tuple] = []
@@ -517,7 +531,7 @@ def fit(texts: list[str], most: int = MOST_ROWS, epochs: int = EPOCHS, seed: int
                 continue
             lead = body[m.end() :] if m else body
             if not cut_before:
-                starts.append(lead[:60])
+                starts.setdefault(_script_at(lead[:60]), []).append(lead[:60])
                 starts_of[_start_token(lead)[0]] += 1
             if cut_after:
                 pass
@@ -547,26 +561,40 @@ def fit(texts: list[str], most: int = MOST_ROWS, epochs: int = EPOCHS, seed: int
         never_starts = within_of[n_] >= 12 and starts_of[n_] <= within_of[n_] / 60 and n_[:1] not in _LEAD and len(n_) > 1 and not n_[0].isdigit()
         if never_ends or never_starts:
             bad.append(a)
-    for a in ends:
-        for _ in range(2):
-            good.append((*a, True, starts[int(rng.integers(len(starts)))]))
     # ends and starts of one script go together; mixed pairs teach nothing
-    same = [a for a in good if _script(a[0][-1:]) == _script(a[4].lstrip(_LEAD + " ")[:1]) or a[0][-1:].isdigit()]
-    rows = []
-    for label, kind in ((1.0, same), (0.0, bad)):
-        pick = rng.permutation(len(kind))[:most]
-        rows += [(features(*kind[i]), label) for i in pick]
-    if not rows:
+    good = [a for a in good if _script_at(a[0][::-1]) == _script_at(a[4])]
+    for a in ends:
+        own = starts.get(_script_at(a[0][::-1]), [])
+        good += [(*a, True, own[int(rng.integers(len(own)))]) for _ in range(2 if own else 0)]
+    kinds: dict[tuple[str, bool], list[tuple]] = {}
+    for label, rows in ((True, good), (False, bad)):
+        for a in rows:
+            kinds.setdefault((_script_at(a[0][::-1]), label), []).append(a)
+    return {k: [v[i] for i in rng.permutation(len(v))[:most]] for k, v in kinds.items()}
+
+
+def fit(texts: list[str], most: int = MOST_ROWS, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+    """Maximum-entropy model from reliable boundaries of the texts; at most `most` labelled rows of either label in every script."""
+    rng = np.random.default_rng(seed)
+    kinds = labelled(texts, rng, most)
+    if not kinds:
         return Model({"b": -1.0})
-    count = Counter(f for fs, _ in rows for f in fs)
-    names = {f: i for i, f in enumerate(f for f, c in count.items() if c > 1)}
-    width = max(len(fs) for fs, _ in rows)
-    index = np.full((len(rows), width), len(names), dtype=np.int32)
-    for r, (fs, _) in enumerate(rows):
-        for k, f in enumerate(fs):
-            index[r, k] = names.get(f, len(names))
-    y = np.array([label for _, label in rows])
-    share = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    code: dict[str, int] = {}
+    rows = [[code.setdefault(f, len(code)) for f in features(*a)] for v in kinds.values() for a in v]
+    index = np.array(rows, dtype=np.int32)
+    y = np.array([float(label) for (_, label), v in kinds.items() for _ in v])
+    of = Counter()  # both labels weigh alike in every script, so that the rows of one do not shift another
+    for (s, _), v in kinds.items():
+        of[s] += len(v)
+    weight = [0.5 * of[s] / len(v) for (s, _), v in kinds.items() for _ in v]
+    del rows, kinds
+    often = np.bincount(index.ravel()) > 1
+    names = {f: i for i, f in enumerate(f for f, c in code.items() if often[c])}
+    place = np.full(len(code), len(names), dtype=np.int32)
+    place[often] = np.arange(len(names))
+    index = place[index]
+    width = index.shape[1]
+    share = np.array(weight)
     w = np.zeros(len(names) + 1)
     speed = np.full(len(w), 1e-8)
     n = len(y)
@@ -584,11 +612,26 @@ def fit(texts: list[str], most: int = MOST_ROWS, epochs: int = EPOCHS, seed: int
 
 
 def training_texts(df: DataFrame, ident: str, text: str, docs: int = TRAIN_DOCS) -> list[str]:
-    """About `docs` texts, at most 2 * docs, picked by a hash of the id; the bound of the fit."""
-    total = max(1, df.count())
-    step = max(1, total // docs)
-    rows = df.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(ident), F.lit(step)) == 0)).select(text).limit(2 * docs)
-    return [t for t in sorted(rows.toArrow()[text].to_pylist()) if t.strip()]
+    """About `docs` texts and, of every script with fewer than SCRIPT_DOCS among them, about SCRIPT_DOCS (all, if there are no more).
+
+    Picked by a hash of the id, at most twice as many; the bound of the fit.
+    """
+    body = F.col(text).cast("string")
+    head = F.substring(body, 1, SCRIPT_HEAD)
+    most = F.greatest(*[F.struct(F.length(F.regexp_replace(head, f"[^{span}]+", "")).alias("n"), F.lit(s).alias("s")) for s, span in _SCRIPTS.items()])
+    script = F.when(F.octet_length(head) < 1.3 * F.length(head), "L").otherwise(F.when(most["n"] > 0, most["s"]).otherwise("L"))
+    some = df.where(body.isNotNull())
+    count = {r["s"]: r["count"] for r in some.groupBy(script.alias("s")).count().collect()}
+    total = sum(count.values())
+    want = {s: max(SCRIPT_DOCS, docs * n // total) for s, n in count.items()}
+    if not want:
+        return []
+    step = {s: max(1, n // want[s]) for s, n in count.items()}
+    chance = F.xxhash64(ident)
+    any_ = functools.reduce(lambda a, b: a | b, [F.pmod(chance, F.lit(k)) == 0 for k in sorted(set(step.values()))])  # cheap, so first
+    own = F.element_at(F.create_map(*[F.lit(x) for pair in step.items() for x in pair]), script)
+    rows = some.where(any_).where(F.pmod(chance, own) == 0).select(body.alias("t")).limit(2 * sum(want.values()))
+    return [t for t in sorted(rows.toArrow()["t"].to_pylist()) if t.strip()]
 
 
 def sentence_units(df: DataFrame, ident: str, text: str, model: Model | None = None, train_docs: int = TRAIN_DOCS) -> DataFrame:
