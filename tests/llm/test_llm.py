@@ -13,7 +13,7 @@ from zoomloom.llm import plans
 from zoomloom.llm.crowds import Features, crowd_members, describe_crowds, linked_features, ward
 from zoomloom.llm.packing import fill, pack
 from zoomloom.llm.percentiles import multi_select, read_summaries, sorted_runs, summarize
-from zoomloom.llm.sentences import Model, fit, labelled, paragraphs, sentence_units, training_texts, units
+from zoomloom.llm.sentences import Model, _open_at_end, _spans, fit, labelled, paragraphs, sentence_units, training_texts, units
 from zoomloom.llm.tokenizer import Encoder, count_tokens, encode_corpus, load_vocabulary
 from zoomloom.llm.topn import LoserTree, top_n
 from zoomloom.session import materialize
@@ -335,3 +335,10 @@ def test_scripts_with_a_small_share(spark):
     assert len(ends) > 10 and len(paired) >= 2 * len(ends)
     assert all("ก" <= next(c for c in a[4] if c.isalpha()) <= "๎" for a in paired)
     assert {s for s, label in rows if label} == set("LTDACGR")
+
+
+def test_deep_nesting(model):
+    text = "8 The witness said: “I saw the van. " + "(a [b " * 40 + "It was grey. Who drove it?” and then left the box. We think not."
+    assert len(cut(text, model)) == 2
+    assert _spans("(" * 80 + "x" + ")" * 80) == [(0, 160)] and _open_at_end("“" + "(" * 60 + ")" * 60) == "”"
+    assert len(_spans("(“" * 200_000 + ")" * 3)) == 1

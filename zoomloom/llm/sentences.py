@@ -34,7 +34,6 @@ MOST_ROWS = 50_000
 EPOCHS = 16
 BATCH = 4096
 SEED = 11
-DEPTH = 50  # an opening sign counts as long as fewer than so many others wait for their closing sign
 
 _LINE = re.compile("[^\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]+")
 _BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
@@ -141,26 +140,25 @@ def paragraphs(text: str) -> list[Paragraph]:
 
 def _spans(body: str) -> list[tuple[int, int]]:
     """(open, close) of quotations and brackets that do close; in order of opening, outermost only."""
-    stack: list[tuple[str, int]] = []
+    waits: dict[str, list[int]] = {c: [] for c in (*_PAIRS, "„", '"')}  # a stack a sign: no search, so no bound on the depth
     found = []
     for m in _SPAN_CHARS.finditer(body):
         c, at = m.group(), m.start()
-        if c == "“" and any(o == "„" for o, _ in stack) or c == '"' and any(o == '"' for o, _ in stack):
+        if c == "“" and waits["„"] or c == '"' and waits['"']:
             want = "„" if c == "“" else '"'
-        elif c in _PAIRS or c in "„\"":
-            stack.append((c, at))
-            if len(stack) > DEPTH:
-                del stack[0]
+        elif c in waits:
+            waits[c].append(at)
             continue
-        elif c == "”" and not any(o == "“" for o, _ in stack) and any(o == "„" for o, _ in stack):
+        elif c == "”" and not waits["“"] and waits["„"]:
             want = "„"
         else:
             want = _CLOSE.get(c)
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == want:
-                found.append((stack[k][1], at))
-                del stack[k:]
-                break
+        if want and waits[want]:
+            start = waits[want].pop()
+            found.append((start, at))
+            for w in waits.values():  # what opened inside and still waits never closes
+                while w and w[-1] > start:
+                    w.pop()
     found.sort()
     outer = []
     for a, b in found:
@@ -441,8 +439,6 @@ def _open_at_end(body: str) -> str:
             stack.pop()
         elif c in _PAIRS or c == "„":
             stack.append(c)
-            if len(stack) > DEPTH:
-                del stack[0]
         elif stack and (_CLOSE.get(c) == stack[-1] or c == "”" and stack[-1] == "„"):
             stack.pop()
     return "" if not stack else "“" if stack[-1] == "„" else _PAIRS[stack[-1]]
