@@ -66,6 +66,16 @@ def test_summaries_combine(spark):
         assert abs(place - row["share"] * row["n"]) <= row["rank_error"] + 1 and row["rank_error"] <= row["n"] / 20
 
 
+@pytest.mark.parametrize("proposals", [2, 32])
+def test_percentiles_infinite(spark, proposals):
+    inf = math.inf
+    groups = {"all": [inf] * 40, "top": [float(i) for i in range(50)] + [inf] * 30, "low": [-inf] * 30 + [1.0, 2.0, inf], "both": [-inf] * 20 + [inf] * 20}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, m double").repartition(3)
+    shares = [0.0, 0.25, 0.5, 0.95, 1.0]
+    got = {(r["g"], r["share"]): (r["n"], r["value"]) for r in multi_select(materialize(sorted_runs(df, ["g"], ["m"])), ["g"], [("m", s) for s in shares], proposals).collect()}
+    assert got == {(g, s): (len(vs), exact(vs, s)) for g, vs in groups.items() for s in shares}
+
+
 def test_percentiles_empty(spark):
     runs = materialize(sorted_runs(spark.createDataFrame([], "g string, m double"), ["g"], ["m"]))
     assert multi_select(runs, ["g"], [("m", 0.5)]).count() == 0

@@ -141,8 +141,8 @@ def multi_select(runs: DataFrame, keys: list[str], targets: list[tuple[str, floa
     spark = runs.sparkSession
     wanted = spark.createDataFrame([(m, float(s)) for m, s in targets], "measure string, share double")
     state = runs.groupBy(*keys, "measure").agg(F.sum("n").alias("n")).join(F.broadcast(wanted), "measure")  # one row a target
-    # the values in question: lo < v < hi, or v == a bound that is still open (see _counted)
-    state = state.select(*keys, "measure", "share", "n", _rank(F.col("n"), F.col("share")).alias("rank"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(0).cast("long").alias("below"), F.lit(None).cast("double").alias("value"))
+    # the values in question: lo < v < hi; a null bound is none, as infinite values count like any other
+    state = state.select(*keys, "measure", "share", "n", _rank(F.col("n"), F.col("share")).alias("rank"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(0).cast("long").alias("below"), F.lit(None).cast("double").alias("value"))
     cols = state.columns
     done: DataFrame | None = None
     for _ in range(MAX_ROUNDS):
@@ -176,12 +176,12 @@ def _pivots(runs: DataFrame, state: DataFrame, keys: list[str], most: int) -> Da
 
     def propose(batches):
         for b in batches:
-            lo, hi = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("lo", "hi"))
+            lo, hi = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("lo", "hi"))  # null as NaN
             vals = b.column(b.schema.get_field_index("vals"))
             rows, vs, ws, slack = [], [], [], []
             for i in range(b.num_rows):
                 v = vals[i].values.to_numpy()
-                v = v[np.searchsorted(v, lo[i], "right") : np.searchsorted(v, hi[i], "left")]
+                v = v[0 if np.isnan(lo[i]) else np.searchsorted(v, lo[i], "right") : len(v) if np.isnan(hi[i]) else np.searchsorted(v, hi[i], "left")]
                 p, w = local_quantiles(v, most)
                 rows.append(np.full(len(p), i))
                 vs.append(p)
@@ -241,7 +241,7 @@ def _counted(runs: DataFrame, state: DataFrame, pivots: DataFrame, keys: list[st
     for n in names:  # a cut that has the rank among its equals is the answer; else it bounds the range
         known = F.col(n).isNotNull()
         value = F.when(known & (F.col(f"lt_{n}") < rank) & (rank <= F.col(f"le_{n}")), F.col(n)).otherwise(value)
-        under = known & (F.col(f"le_{n}") < rank) & (F.col(n) > lo)
+        under = known & (F.col(f"le_{n}") < rank) & (lo.isNull() | (F.col(n) > lo))
         lo, below = F.when(under, F.col(n)).otherwise(lo), F.when(under, F.col(f"le_{n}")).otherwise(below)
-        hi = F.when(known & (F.col(f"lt_{n}") >= rank) & (F.col(n) < hi), F.col(n)).otherwise(hi)
+        hi = F.when(known & (F.col(f"lt_{n}") >= rank) & (hi.isNull() | (F.col(n) < hi)), F.col(n)).otherwise(hi)
     return t.select(*ids, "n", "rank", value.alias("value"), lo.alias("lo"), hi.alias("hi"), below.alias("below"))
