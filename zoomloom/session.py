@@ -45,9 +45,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; one of our own only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session.
+
+    Only a session on one machine (tests) may leave it unset and gets a temporary one; on a cluster each executor would write to its own disk
+    and rows would be missing, so that is refused.
+    """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         path = "file://" + tempfile.mkdtemp(prefix="zoomloom-scratch-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -57,12 +64,24 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives the loss of executors.
 
-    The schema goes along, so reading starts no job. Whoever runs many queries in one session
-    clears the folder as a checkpoint folder is cleared.
+    The schema goes along, so reading starts no job. Tables that nothing reads any more are dropped with `discard`; whoever runs many
+    queries in one session clears the folder as a checkpoint folder is cleared.
     """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that no other DataFrame reads any more."""
+    for df in tables:
+        path = getattr(df, "_written_at", None)
+        if path:
+            jvm, context = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context.hadoopConfiguration()).delete(target, True)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -73,7 +92,7 @@ def parallelism(spark: SparkSession) -> int:
 def widen(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are task slots: for costly row-wise work on a few large files.
 
-    Tables that have enough partitions, as all large ones do, are not shuffled.
+    Tables that have enough partitions, as all large ones do, are not shuffled; the rows are the same either way.
     """
     slots = parallelism(df.sparkSession)
     return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
