@@ -83,22 +83,32 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
 
 
+CONTAINER_KINDS = 1_000  # rows of context_sizes at most; it has three at any size
+LOSS_SHARE = 0.9  # of the capacity: the loss-bearing tokens a container may hold
+
+
+def _limits(capacity: int) -> tuple[int, int]:
+    """Most segments (one for each 128 tokens, four at least) and most loss-bearing tokens of a container."""
+    return max(4, capacity // 128), max(1, int(capacity * LOSS_SHARE))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """Which piece of which document lies in which container, for every container size.
 
-    A container takes a segment for each 16 tokens of its capacity at most; every token after the first of a text bears loss.
+    Loss is borne by tokens that hold a letter; blanks, digits and punctuation alone bear none. A container has at most `_limits`.
     """
-    kinds = [r for r in table(spark, d, "context_sizes").collect() if r["set_name"] and r["tokenizer"] and r["capacity"]]  # a few rows at any size
+    kinds = table(spark, d, "context_sizes").where("set_name is not null and tokenizer is not null and capacity > 0").limit(CONTAINER_KINDS + 1).collect()
+    if len(kinds) > CONTAINER_KINDS:
+        raise ValueError("too many kinds of containers")
     names = sorted({r["tokenizer"] for r in kinds})
     sizes = materialize(count_tokens(table(spark, d, "documents"), "doc_id", "text", names))
     out = None
     for r in kinds:
-        n = f"n_{r['tokenizer']}"
-        items = sizes.withColumn("loss", F.greatest(F.col(n) - 1, F.lit(0)))
-        packed = pack(items, "doc_id", n, r["capacity"], most_segments=max(4, r["capacity"] // 16), loss="loss", most_loss=r["capacity"])
-        packed = packed.select(F.lit(r["set_name"]).alias("set_name"), "container_id", "doc_id", "piece_no", "start_token", "n_tokens")
+        name, (segments, loss) = r["tokenizer"], _limits(r["capacity"])
+        packed = pack(sizes, "doc_id", f"n_{name}", r["capacity"], most_segments=segments, loss=f"letters_{name}", most_loss=loss)
+        packed = packed.select(F.lit(r["set_name"]).alias("set_name"), F.lit(r["capacity"]).alias("capacity"), "container_id", "doc_id", "piece_no", "start_token", "n_tokens", "n_loss")
         out = packed if out is None else out.unionByName(packed)
-    return out
+    return out.drop("capacity")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -104,6 +104,14 @@ class BytePairs:
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], values[order]
 
+    @functools.cached_property
+    def lettered(self) -> np.ndarray:
+        """Of each id, whether its bytes hold a letter or only part of a character."""
+        out = np.zeros(max(self.bytes_of, default=0) + 1, dtype=bool)
+        for i, t in self.bytes_of.items():
+            out[i] = any(c.isalpha() or c == "\ufffd" for c in t.decode("utf-8", "replace"))
+        return out
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths) of the words, flat and in order."""
         sizes = np.array([len(w) for w in words], dtype=np.int64)
@@ -155,6 +163,7 @@ class Encoder:
         self.flat = [np.zeros(0, dtype=np.int32) for _ in self.models]
         self.size = [np.zeros(0, dtype=np.int64) for _ in self.models]
         self.offset = [np.zeros(0, dtype=np.int64) for _ in self.models]
+        self.letters = [np.zeros(0, dtype=np.int64) for _ in self.models]  # of each word, its ids with letters
 
     def _learn(self, words) -> None:
         if len(self.index) > WORDS:
@@ -170,6 +179,9 @@ class Encoder:
             self.offset[m] = np.concatenate([self.offset[m], len(self.flat[m]) + np.cumsum(sizes) - sizes])
             self.flat[m] = np.concatenate([self.flat[m], ids.astype(np.int32)])
             self.size[m] = np.concatenate([self.size[m], sizes])
+            upto = np.concatenate([[0], np.cumsum(model.lettered[ids])])
+            ends = np.cumsum(sizes)
+            self.letters[m] = np.concatenate([self.letters[m], upto[ends] - upto[ends - sizes]])
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(word numbers, first word of each text and the end) of the texts."""
@@ -193,9 +205,9 @@ class Encoder:
         return self.flat[0][at], np.concatenate([[0], np.cumsum(size)])[edge]
 
     def counts(self, texts: list[str]) -> list[np.ndarray]:
-        """Number of ids of each text, by each vocabulary."""
+        """Number of ids of each text, by each vocabulary, and then of those with letters, by each vocabulary."""
         found, edge = self.words(texts)
-        return [np.diff(np.concatenate([[0], np.cumsum(s[found])])[edge]) for s in self.size]
+        return [np.diff(np.concatenate([[0], np.cumsum(s[found])])[edge]) for s in [*self.size, *self.letters]]
 
 
 @functools.cache
@@ -242,8 +254,9 @@ def encode_corpus(df: DataFrame, ident: str, text: str, vocabulary: str = "byte_
 
 
 def count_tokens(df: DataFrame, ident: str, text: str, vocabularies: list[str], folder: str = FOLDER) -> DataFrame:
-    """(ident, n_<vocabulary>...): the number of ids of each row's text by each vocabulary; 0 for null and empty texts."""
-    out = [ident, *[f"n_{v}" for v in vocabularies]]
+    """(ident, n_<vocabulary>..., letters_<vocabulary>...): the number of ids of each row's text by each vocabulary, and of those that
+    hold a letter (or part of a character) rather than blanks, digits or punctuation alone; 0 for null and empty texts."""
+    out = [ident, *[f"{what}_{v}" for what in ("n", "letters") for v in vocabularies]]
     check_names(*out)
 
     def run(batches):
