@@ -1,17 +1,17 @@
 """Exact percentiles per group over very many numbers: distributed multi-select with mergeable summaries.
 
 Plan
-1. Every partition sorts its values per (group, measure) once and writes them as *sorted runs* to the shared
-   folder. A run holds at most RUN values, so no row grows with the group, and no group gathers in a task.
-2. Each round, every run proposes the local quantiles (medians of equal parts) of what is still in question
-   for a target, each with the number of values it stands for. The weighted quantile of all proposals at the
-   wanted rank becomes the pivot, kept within a bracket that the proposals' rank error guarantees.
-3. The runs count three ways (below, equal, above) around both ends of the bracket by binary search; ranges
-   that cannot hold the wanted value are discarded. This repeats per group until it is found. As every round
-   divides what is left by about PROPOSALS / 2, 2 million values need about three rounds.
-
-The first proposals alone are a *summary*: mergeable across partitions and days, with a stated error bound.
-The state of the search is a table, not driver memory: groups may be many.
+1. Every partition sorts its values per (group, measure) and writes them as *sorted runs* to the shared folder, each with its local
+   quantiles. A run holds at most RUN values, so no row grows with the group, and no group gathers in a task.
+2. Each round, every run proposes the local quantiles (medians of equal parts) of what is still in question for a target, each with the
+   number of values it stands for. Proposals are merged in a tree, at most MERGED a target at any node. Their weighted quantile at the
+   wanted rank becomes the pivot, and those as far to both sides as the proposals may be off become a bracket around it.
+3. The runs count three ways (below, equal, above) around bracket and pivot by binary search; ranges that cannot hold the wanted
+   value are discarded, and what is left of the runs is written anew for the next round. This repeats per group until it is found.
+   Counts are exact, so the merged proposals only set the pace, never the result.
+
+Summaries are the proposals kept: mergeable across partitions and days, with a stated error bound. The state of the search is a
+table, not driver memory: groups may be many.
 """
 
 from __future__ import annotations
@@ -22,31 +22,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zoomloom.session import materialize
+from zoomloom.session import discard, materialize
 
 RUN = 65_536
+CHUNK = 2_000_000  # rows sorted at once
 PROPOSALS = 128
+MERGED = 1_024  # points of a merged list of proposals or summaries
+FAN_IN = 32  # lists merged by one row of the tree
 MAX_ROUNDS = 64
 
+LIST = T.ArrayType(T.DoubleType())
+COUNTS = T.ArrayType(T.LongType())
+
+
+def local_quantiles(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to `most` (value, weight) pairs of a sorted array; each value is the median of the part that it stands for."""
+    n = len(values)
+    if n <= most:
+        return values, np.ones(n, dtype=np.int64)
+    edges = np.linspace(0, n, most + 1).astype(np.int64)
+    return values[(edges[:-1] + edges[1:] - 1) // 2], np.diff(edges)
+
+
+def slack_of(weights: np.ndarray) -> int:
+    """How far ranks read from the points may be off: half the greatest weight."""
+    return int(weights.max()) // 2 if len(weights) else 0
+
+
+def merged_points(values: np.ndarray, weights: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted (values, weights) of at most `most` points and the slack this adds: a point is the weighted median of its part."""
+    order = np.argsort(values, kind="stable")
+    v, w = values[order], weights[order]
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+    v, w = v[first], np.add.reduceat(w, first) if len(v) else w
+    if len(v) <= most:
+        return v, w, 0
+    upto = np.cumsum(w)
+    part = ((upto - (w + 1) // 2) * most // upto[-1]).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(part) != 0]))
+    sums = np.add.reduceat(w, starts)
+    middle = np.searchsorted(upto, upto[starts] - w[starts] + (sums + 1) // 2, "left")
+    # a part of one point stays exact
+    return v[middle], sums, int(np.where(np.diff([*starts, len(v)]) > 1, sums, 0).max()) // 2
+
+
+def _lists(b: pa.RecordBatch, name: str):
+    """The lists of a column as arrays."""
+    c = b.column(b.schema.get_field_index(name))
+    flat, off = c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()
+    return [flat[i:j] for i, j in zip(off, off[1:])]
+
+
+def _column(b: pa.RecordBatch, name: str):
+    return b.column(b.schema.get_field_index(name))
+
+
+def _list_array(arrays: list[np.ndarray], kind) -> pa.Array:
+    off = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    flat = np.concatenate(arrays) if arrays else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(flat.astype(kind.to_pandas_dtype()), kind))
+
 
 def sorted_runs(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
-    """(keys..., measure, n, vals): sorted values of each partition, in runs of at most RUN values.
+    """(keys..., measure, n, points, weights, vals): sorted values of each partition, in runs of at most RUN values.
 
-    Null and NaN values are left out. Rows with a null key form a group of their own.
+    points and weights are the local quantiles of the run. Null and NaN values are left out. Rows with a null key form a group of their
+    own. A task sorts CHUNK rows at a time.
     """
     fields = [df.schema[k] for k in keys]
-    # one code per group within a batch of the partition; groups are told apart by their Arrow values
-    schema = T.StructType(fields + [T.StructField("measure", T.StringType()), T.StructField("n", T.LongType()), T.StructField("vals", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType(fields + [T.StructField("measure", T.StringType()), T.StructField("n", T.LongType()), T.StructField("points", LIST), T.StructField("weights", COUNTS), T.StructField("vals", LIST)])
 
-    def build(batches):
+    def chunk(held):
         import pyarrow.compute as pc
 
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got).combine_chunks()
+        t = pa.Table.from_batches(held).combine_chunks()
         code = np.zeros(t.num_rows, dtype=np.int64)
-        for k in keys:
+        for k in keys:  # one code per group within the chunk; groups are told apart by their Arrow values
             d = t[k].combine_chunks().dictionary_encode(null_encoding="encode")
             code = code * (len(d.dictionary) + 1) + d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             code = np.unique(code, return_inverse=True)[1]
@@ -55,76 +106,160 @@ def sorted_runs(df: DataFrame, keys: list[str], measures: list[str]) -> DataFram
             at = np.flatnonzero(~np.isnan(v))
             order = at[np.lexsort((v[at], code[at]))]
             cuts = np.flatnonzero(np.diff(code[order])) + 1
-            starts, stops = [], []
-            for lo, hi in zip([0, *cuts], [*cuts, len(order)]):
-                for s in range(lo, hi, RUN):
-                    starts.append(s)
-                    stops.append(min(s + RUN, hi))
-            if not starts:
-                continue
-            firsts = pa.array(order[starts])
-            lengths = np.array(stops) - np.array(starts)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [t[k].combine_chunks().take(firsts) for k in keys] + [pa.array([m] * len(starts)), pa.array(lengths), pa.ListArray.from_arrays(offsets, pa.array(v[order]))],
-                names=[*keys, "measure", "n", "vals"],
-            )
+            edges = [(s, min(s + RUN, hi)) for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)]) for s in range(lo, hi, RUN)]
+            for i in range(0, len(edges), 1_000):
+                some = edges[i : i + 1_000]
+                runs = [v[order[a:b]] for a, b in some]
+                proposed = [local_quantiles(r, PROPOSALS) for r in runs]
+                first = pa.array(order[[a for a, _ in some]])
+                yield pa.RecordBatch.from_arrays(
+                    [t[k].combine_chunks().take(first) for k in keys]
+                    + [pa.array([m] * len(some)), pa.array([b - a for a, b in some], pa.int64()), _list_array([p for p, _ in proposed], pa.float64()), _list_array([w for _, w in proposed], pa.int64()), _list_array(runs, pa.float64())],
+                    names=schema.names,
+                )
+
+    def build(batches):
+        held, rows = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+            if rows >= CHUNK:
+                yield from chunk(held)
+                held, rows = [], 0
+        if held:
+            yield from chunk(held)
 
     return df.select(*keys, *measures).mapInArrow(build, schema)
 
 
-def local_quantiles(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to `most` (value, weight) pairs of a sorted array; each value is the median of the part that it stands for."""
-    n = len(values)
-    if n <= most:
-        return values, np.ones(n, dtype=np.int64)
-    edges = np.linspace(0, n, most + 1).astype(np.int64)
-    return values[(edges[:-1] + edges[1:] - 1) // 2], np.diff(edges)
+def merge_tree(lists: DataFrame, ids: list[str], most: int, widest: int) -> DataFrame:
+    """One (ids..., points, weights, slack) a group of ids, whose lists may be many: `widest` at most in one group.
+
+    A task merges what it reads, then about FAN_IN lists of a group at a time, level by level, each cut down to `most` points. slack
+    bounds the error of ranks read from the result: that of the lists and of all merges, added up.
+    """
+    fields = [lists.schema[k] for k in ids]
+    schema = T.StructType([*fields, T.StructField("points", LIST), T.StructField("weights", COUNTS), T.StructField("slack", T.LongType()), T.StructField("part", T.IntegerType())])
+
+    def fold(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        held: dict[tuple, list] = {}
+        size = 0
+
+        def give():
+            entries = [(k, *merged_points(np.concatenate(v), np.concatenate(w), most), s) for k, (v, w, s) in held.items()]
+            for i in range(0, len(entries), 1_000):
+                some = entries[i : i + 1_000]
+                keys = [pa.array([e[0][c] for e in some], type=kinds[c]) for c in range(len(ids))]
+                yield pa.RecordBatch.from_arrays([*keys, _list_array([e[1] for e in some], pa.float64()), _list_array([e[2] for e in some], pa.int64()), pa.array([e[3] + e[4] for e in some], pa.int64()), pa.array([part] * len(some), pa.int32())], names=schema.names)
+
+        kinds = None
+        for b in batches:
+            kinds = [_column(b, k).type for k in ids]
+            for key, v, w, s in zip(zip(*[_column(b, k).to_pylist() for k in ids]), _lists(b, "points"), _lists(b, "weights"), _column(b, "slack").to_pylist()):
+                one = held.setdefault(key, [[], [], 0])
+                one[0].append(v)
+                one[1].append(w)
+                one[2] += s
+                size += len(v)
+            if size > 1_000_000:  # cut down, or, with very many groups, give away what is held
+                size = 0
+                for key, (v, w, s) in held.items():
+                    v, w, more = merged_points(np.concatenate(v), np.concatenate(w), most)
+                    held[key] = [[v], [w], s + more]
+                    size += len(v)
+                if size > 500_000:
+                    yield from give()
+                    held, size = {}, 0
+        if held:
+            yield from give()
+
+    now = lists.select(*ids, "points", "weights", "slack").mapInArrow(fold, schema)
+    while True:
+        widest = -(-widest // FAN_IN)
+        now = now.groupBy(*ids, F.pmod(F.xxhash64("part"), F.lit(widest)).cast("int").alias("part")).agg(F.flatten(F.collect_list("points")).alias("points"), F.flatten(F.collect_list("weights")).alias("weights"), F.sum("slack").alias("slack"))
+        now = now.mapInArrow(lambda batches: _cut_down(batches, ids, most), schema)
+        if widest <= 1:
+            return now.drop("part")
+
+
+def _cut_down(batches, ids: list[str], most: int):
+    for b in batches:
+        out = [merged_points(v, w, most) for v, w in zip(_lists(b, "points"), _lists(b, "weights"))]
+        slack = _column(b, "slack").to_numpy() + np.array([s for _, _, s in out], dtype=np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [*[_column(b, k) for k in ids], _list_array([v for v, _, _ in out], pa.float64()), _list_array([w for _, w, _ in out], pa.int64()), pa.array(slack), _column(b, "part")],
+            names=[*ids, "points", "weights", "slack", "part"],
+        )
 
 
 def summarize(runs: DataFrame, keys: list[str], points: int = 1000) -> DataFrame:
-    """Mergeable summaries (keys..., measure, n, slack, value, weight lists) with at most `points` points for each run.
+    """Mergeable summaries (keys..., measure, n, slack, points, weights) with at most `points` points for each run.
 
     A point is the median of the values it stands for, so in one run the rank of any value is off by at most half the
     largest weight, the slack. Read from a union of summaries it is off by at most the sum of their slacks: a share of
     1 / (2 * points) of all values; summaries of runs of up to `points` values are exact.
     """
-    schema = T.StructType([runs.schema[k] for k in keys] + [T.StructField("measure", T.StringType()), T.StructField("n", T.LongType()), T.StructField("slack", T.LongType()), T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("weights", T.ArrayType(T.LongType()))])
+    schema = T.StructType([runs.schema[k] for k in keys] + [T.StructField("measure", T.StringType()), T.StructField("n", T.LongType()), T.StructField("slack", T.LongType()), T.StructField("points", LIST), T.StructField("weights", COUNTS)])
 
     def build(batches):
         for b in batches:
-            vals = b.column(b.schema.get_field_index("vals"))
-            vs, ws, slack = [], [], []
-            for i in range(b.num_rows):
-                v, w = local_quantiles(vals[i].values.to_numpy(), points)
-                vs.append(v)
-                ws.append(w)
-                slack.append(int(w.max()) // 2)
+            got = [local_quantiles(v, points) for v in _lists(b, "vals")]
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index(k)) for k in [*keys, "measure", "n"]] + [pa.array(slack, pa.int64()), pa.array(vs, pa.list_(pa.float64())), pa.array(ws, pa.list_(pa.int64()))],
-                names=[*keys, "measure", "n", "slack", "values", "weights"],
+                [*[_column(b, k) for k in [*keys, "measure", "n"]], pa.array([slack_of(w) for _, w in got], pa.int64()), _list_array([v for v, _ in got], pa.float64()), _list_array([w for _, w in got], pa.int64())], names=schema.names
             )
 
-    return runs.mapInArrow(build, schema)
+    return runs.select(*keys, "measure", "n", "vals").mapInArrow(build, schema)
 
 
-def read_summaries(summaries: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
+def read_summaries(summaries: DataFrame, by: list[str], shares: list[float], most: int = 4 * MERGED) -> DataFrame:
     """Percentiles of the union of summaries per (by..., measure): (by..., measure, share, n, value, rank_error).
 
-    rank_error bounds how many values may lie between the value given and the exact one. Summaries of days,
-    partitions or runs combine by simply being read together; this is a weighted window, so nothing gathers unboundedly:
-    points are merged per distinct value first.
+    rank_error bounds how many values may lie between the value given and the exact one. Summaries of days, partitions or runs combine in
+    a tree (merge_tree), so no row or task holds all points of a group; each merge adds at most its share of 1 / (2 * most).
     """
-    from pyspark.sql import Window as W
-
-    totals = summaries.groupBy(*by, "measure").agg(F.sum("n").alias("n"), F.sum("slack").alias("rank_error"))
-    points = summaries.select(*by, "measure", F.explode(F.arrays_zip("values", "weights")).alias("p")).groupBy(*by, "measure", F.col("p.values").alias("value")).agg(F.sum("p.weights").alias("w"))
-    running = points.withColumn("upto", F.sum("w").over(W.partitionBy(*by, "measure").orderBy("value")))
+    ids = [*by, "measure"]
+    totals = materialize(summaries.groupBy(*ids).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("lists")))
+    widest = totals.agg(F.max("lists")).first()[0] or 1
+    merged = merge_tree(summaries, ids, most, widest)
     wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
-    asked = totals.select(*by, "measure", "n", "rank_error", wanted)
-    same = [running[k].eqNullSafe(asked[k]) for k in [*by, "measure"]]
-    hit = asked.join(running, [*same, running["upto"] >= _rank(asked["n"], asked["share"])])
-    return hit.groupBy(*[asked[k] for k in [*by, "measure", "share", "n", "rank_error"]]).agg(F.min("value").alias("value"))
+    asked = totals.select(*ids, "n", wanted).withColumn("need", _rank(F.col("n"), F.col("share")))
+    both = _beside(asked, merged, ids)
+    return _read(both, [*ids, "share", "n"], least=True)
+
+
+def _beside(left: DataFrame, right: DataFrame, ids: list[str]) -> DataFrame:
+    """Inner join on ids, nulls alike, that keeps the ids of the left."""
+    r = right.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(ids)], *[c for c in right.columns if c not in ids])
+    cond = [F.col(k).eqNullSafe(F.col(f"__r{i}")) for i, k in enumerate(ids)]
+    return left.join(r, cond).drop(*[f"__r{i}" for i in range(len(ids))])
+
+
+def _read(both: DataFrame, keep: list[str], least: bool = False) -> DataFrame:
+    """Read the needed rank from the points of each row: value and rank_error, or left, pivot and right (null: none)."""
+    out = ["value"] if least else ["left", "pivot", "right"]
+    schema = T.StructType([both.schema[c] for c in keep] + [T.StructField(c, T.DoubleType()) for c in out] + ([T.StructField("rank_error", T.LongType())] if least else []))
+
+    def read(batches):
+        for b in batches:
+            need, slack = _column(b, "need").to_numpy(), _column(b, "slack").to_numpy()
+            cols = [[] for _ in out]
+            for v, w, r, s in zip(_lists(b, "points"), _lists(b, "weights"), need.tolist(), slack.tolist()):
+                upto = np.cumsum(w)
+                at = min(int(np.searchsorted(upto, r, "left")), len(v) - 1)
+                if least:
+                    cols[0].append(float(v[at]))
+                    continue
+                lo, hi = int(np.searchsorted(upto, r - s, "right")) - 1, int(np.searchsorted(upto, r + s, "left"))
+                cols[0].append(float(v[lo]) if lo >= 0 else None)
+                cols[1].append(float(v[at]))
+                cols[2].append(float(v[hi]) if hi < len(v) else None)
+            yield pa.RecordBatch.from_arrays([*[_column(b, c) for c in keep], *[pa.array(c, pa.float64()) for c in cols], *([pa.array(slack)] if least else [])], names=schema.names)
+
+    return both.mapInArrow(read, schema)
 
 
 def _rank(n, share):
@@ -135,113 +270,95 @@ def _rank(n, share):
 def multi_select(runs: DataFrame, keys: list[str], targets: list[tuple[str, float]], proposals: int = PROPOSALS) -> DataFrame:
     """Exact percentiles: (keys..., measure, share, n, value) for every group and every (measure, share) of targets.
 
-    value is the smallest v such that at least the share of the group's values of that measure are <= v. Groups
-    without a value of the measure give no row. Ties and repeated values count as often as they occur.
+    value is the smallest v such that at least the share of the group's values of that measure are <= v; infinite values count
+    like any other. Groups without a value of the measure give no row. Ties and repeated values count as often as they occur. A target
+    that got lost on the way is an error, never a missing row.
     """
     spark = runs.sparkSession
-    wanted = spark.createDataFrame([(m, float(s)) for m, s in targets], "measure string, share double")
-    state = runs.groupBy(*keys, "measure").agg(F.sum("n").alias("n")).join(F.broadcast(wanted), "measure")  # one row a target
-    # the values in question: lo < v < hi; a null bound is none, as infinite values count like any other
-    state = state.select(*keys, "measure", "share", "n", _rank(F.col("n"), F.col("share")).alias("rank"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(0).cast("long").alias("below"), F.lit(None).cast("double").alias("value"))
+    wanted = spark.createDataFrame([(m, float(s)) for m, s in dict.fromkeys(targets)], "measure string, share double")
+    ids = [*keys, "measure"]
+    sizes = runs.groupBy(*ids).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("lists"))
+    none = F.lit(None).cast("double")
+    state = sizes.join(F.broadcast(wanted), "measure")  # one row a target
+    # the values in question: lo < v < hi; a null bound is none
+    state = materialize(state.select(*ids, "share", "n", "lists", _rank(F.col("n"), F.col("share")).alias("rank"), none.alias("lo"), none.alias("hi"), F.lit(0).cast("long").alias("below"), none.alias("value")))
     cols = state.columns
-    done: DataFrame | None = None
+    at = ids  # the columns that tell the rows of `source` apart: all targets of a group share its runs at first
+    source = runs.select(*ids, "points", "weights", (F.array_max("weights") / 2).cast("long").alias("slack"), "vals")
+    told = state.agg(F.count(F.lit(1)), F.max("lists")).first()
+    total, widest = told[0], told[1] or 1
+    done = None
     for _ in range(MAX_ROUNDS):
-        state = materialize(state)
-        found = state.where(F.col("value").isNotNull())
+        if not total:
+            return (state if done is None else done).where(F.col("value").isNotNull()).select(*ids, "share", "n", "value")
+        merged = merge_tree(source, at, 8 * proposals, widest)
+        asked = _beside(state.where(F.col("value").isNull()).withColumn("need", F.col("rank") - F.col("below")), merged, at)
+        pivots = materialize(_read(asked, cols))
+        fresh = materialize(_counted(source, pivots, at, cols))
+        found = fresh.where(F.col("value").isNotNull())
         done = found if done is None else done.unionByName(found)
-        open_ = state.where(F.col("value").isNull())
-        if open_.isEmpty():
-            return done.select(*keys, "measure", "share", "n", "value")
-        pivots = materialize(_pivots(runs, open_, keys, proposals))
-        state = _counted(runs, open_, pivots, keys).select(*cols)
+        told = fresh.agg(F.count(F.lit(1)), F.count("value")).first()
+        if told[0] != total:
+            raise RuntimeError(f"{total - told[0]} percentiles got lost")
+        total = told[0] - told[1]
+        if total:
+            narrowed = materialize(_narrowed(source, fresh.where(F.col("value").isNull()), at, proposals))
+            discard(source)
+            source, at = narrowed, [*ids, "share"]
+        discard(pivots)
+        state = fresh
     raise RuntimeError("multi_select did not end")
 
 
-def _joined(runs: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs with the open targets of their group. Spark broadcasts the state where its size allows, else shuffles."""
-    r = runs.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("measure").alias("r_measure"), "vals")
-    cond = [F.col(f"r_{k}").eqNullSafe(F.col(k)) for k in [*keys, "measure"]]
-    return r.join(state, cond).drop(*[f"r_{k}" for k in [*keys, "measure"]])
+def _counted(source: DataFrame, pivots: DataFrame, at: list[str], cols: list[str]) -> DataFrame:
+    """Count below, equal and above of left, pivot and right, and keep the range that holds the wanted rank."""
+    cuts = F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array("left", "pivot", "right")))))
+    both = _beside(source.select(*at, "vals"), pivots.groupBy(*at).agg(F.array_sort(cuts).alias("cuts")), at)
+    schema = T.StructType([source.schema[c] for c in at] + [T.StructField("cut", T.DoubleType()), T.StructField("lt", T.LongType()), T.StructField("le", T.LongType())])
 
+    def count(batches):
+        for b in batches:
+            cuts, lt, le = _lists(b, "cuts"), [], []
+            for v, c in zip(_lists(b, "vals"), cuts):
+                lt.append(np.searchsorted(v, c, "left"))
+                le.append(np.searchsorted(v, c, "right"))
+            row = pa.array(np.repeat(np.arange(b.num_rows), [len(c) for c in cuts]))
+            flat = [np.concatenate(x) if x else np.zeros(0) for x in (cuts, lt, le)]
+            yield pa.RecordBatch.from_arrays([*[_column(b, c).take(row) for c in at], pa.array(flat[0], pa.float64()), pa.array(flat[1].astype(np.int64)), pa.array(flat[2].astype(np.int64))], names=schema.names)
+
+    counts = both.mapInArrow(count, schema).groupBy(*at, "cut").agg(F.sum("lt").alias("lt"), F.sum("le").alias("le"))
+    each = pivots.select(*cols, F.explode(F.array_distinct(F.array_compact(F.array("left", "pivot", "right")))).alias("cut"))
+    told = _beside(each, counts, [*at, "cut"]).withColumns({"lt": F.col("lt") + F.col("below"), "le": F.col("le") + F.col("below")})
+    rank = F.col("rank")
+    under = F.max(F.when(F.col("le") < rank, F.struct("cut", "le")))  # the greatest cut below the wanted value
+    over = F.min(F.when(F.col("lt") >= rank, F.col("cut")))
+    hit = F.max(F.when((F.col("lt") < rank) & (rank <= F.col("le")), F.col("cut")))
+    now = told.groupBy(*[c for c in cols if c != "value"]).agg(hit.alias("value"), under.alias("u"), over.alias("o"))
+    return now.withColumns({"lo": F.coalesce("u.cut", "lo"), "below": F.coalesce("u.le", "below"), "hi": F.coalesce("o", "hi")}).select(*cols)
 
-def _pivots(runs: DataFrame, state: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Bracket (left, right) around the wanted rank from the runs' proposals.
 
-    The weighted quantile of the proposals at the wanted rank is off by at most the sum of the weights that
-    straddle it, one a run; going that far to both sides makes the bracket certain.
-    """
-    id_cols = [*keys, "measure", "share", "rank", "below"]
-    fields = [state.schema[c] for c in id_cols]
-    schema = T.StructType(fields + [T.StructField("v", T.DoubleType()), T.StructField("w", T.LongType()), T.StructField("slack", T.LongType())])
+def _narrowed(source: DataFrame, state: DataFrame, at: list[str], most: int) -> DataFrame:
+    """What each run still has in question, a row for each open target: (ids..., share, points, weights, slack, vals)."""
+    open_ = state.groupBy(*at).agg(F.collect_list(F.struct(F.col("share").alias("s"), "lo", "hi")).alias("targets")) if "share" not in at else state.select(*at, F.array(F.struct(F.col("share").alias("s"), "lo", "hi")).alias("targets"))
+    both = _beside(source.select(*at, "vals"), open_, at)
+    ids = [c for c in at if c != "share"]
+    schema = T.StructType([source.schema[c] for c in ids] + [T.StructField("share", T.DoubleType()), T.StructField("points", LIST), T.StructField("weights", COUNTS), T.StructField("slack", T.LongType()), T.StructField("vals", LIST)])
 
-    def propose(batches):
+    def narrow(batches):
         for b in batches:
-            lo, hi = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("lo", "hi"))  # null as NaN
-            vals = b.column(b.schema.get_field_index("vals"))
-            rows, vs, ws, slack = [], [], [], []
-            for i in range(b.num_rows):
-                v = vals[i].values.to_numpy()
-                v = v[0 if np.isnan(lo[i]) else np.searchsorted(v, lo[i], "right") : len(v) if np.isnan(hi[i]) else np.searchsorted(v, hi[i], "left")]
-                p, w = local_quantiles(v, most)
-                rows.append(np.full(len(p), i))
-                vs.append(p)
-                ws.append(w)
-                s = np.zeros(len(p), dtype=np.int64)
-                if len(p):
-                    s[0] = w.max() // 2 + 1 if len(v) > most else 0
-                slack.append(s)
-            take = pa.array(np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64))
-            cat = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)).take(take) for c in id_cols] + [cat(vs, np.float64), cat(ws, np.int64), cat(slack, np.int64)], names=[*id_cols, "v", "w", "slack"])
-
-    # map-side sums of equal proposals, then one sorted list a target: at most `most` values a run
-    proposals = _joined(runs, state, keys).select(*id_cols, "lo", "hi", "vals").mapInArrow(propose, schema)
-    per_value = proposals.groupBy(*id_cols, "v").agg(F.sum("w").alias("w"), F.sum("slack").alias("slack"))
-    from pyspark.sql import Window as W
-
-    target = W.partitionBy(*keys, "measure", "share")
-    ranked = per_value.withColumn("upto", F.sum("w").over(target.orderBy("v"))).withColumn("slack", F.sum("slack").over(target))
-    need = F.col("rank") - F.col("below")
-    low_ok = F.col("upto") <= need - F.col("slack")  # surely at most the wanted value
-    high_ok = F.col("upto") >= need + F.col("slack")  # surely at least the wanted value
-    return ranked.groupBy(*keys, "measure", "share").agg(
-        F.max(F.when(low_ok, F.col("v"))).alias("left"),
-        F.min(F.when(high_ok, F.col("v"))).alias("right"),
-        F.min(F.when(F.col("upto") >= need, F.col("v"))).alias("pivot"),
-    )
-
-
-def _counted(runs: DataFrame, state: DataFrame, pivots: DataFrame, keys: list[str]) -> DataFrame:
-    """Count below, equal and above of left, pivot and right, and keep the range that holds the wanted rank."""
-    ids = [*keys, "measure", "share"]
-    p = pivots.select(*[F.col(k).alias(f"p_{k}") for k in ids], "left", "pivot", "right")
-    s = state.join(p, [F.col(f"p_{k}").eqNullSafe(F.col(k)) for k in ids]).drop(*[f"p_{k}" for k in ids])
-    names = ("left", "pivot", "right")
-    schema = T.StructType([state.schema[c] for c in ids] + [T.StructField(f"{a}_{c}", T.LongType()) for a in ("lt", "le") for c in names])
+            rows, shares, parts = [], [], []
+            for i, (v, ts) in enumerate(zip(_lists(b, "vals"), _column(b, "targets").to_pylist())):
+                for t in ts:
+                    left = v[0 if t["lo"] is None else np.searchsorted(v, t["lo"], "right") : len(v) if t["hi"] is None else np.searchsorted(v, t["hi"], "left")]
+                    if len(left):
+                        rows.append(i)
+                        shares.append(t["s"])
+                        parts.append(left)
+            got = [local_quantiles(v, most) for v in parts]
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[_column(b, c).take(take) for c in ids], pa.array(shares, pa.float64()), _list_array([v for v, _ in got], pa.float64()), _list_array([w for _, w in got], pa.int64()), pa.array([slack_of(w) for _, w in got], pa.int64()), _list_array(parts, pa.float64())],
+                names=schema.names,
+            )
 
-    def count(batches):
-        for b in batches:
-            cuts = {c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names}
-            vals = b.column(b.schema.get_field_index("vals"))
-            out = {f"{a}_{c}": np.zeros(b.num_rows, dtype=np.int64) for a in ("lt", "le") for c in names}
-            for i in range(b.num_rows):
-                v = vals[i].values.to_numpy()
-                for c in names:
-                    if not np.isnan(cuts[c][i]):
-                        out[f"lt_{c}"][i] = np.searchsorted(v, cuts[c][i], "left")
-                        out[f"le_{c}"][i] = np.searchsorted(v, cuts[c][i], "right")
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ids] + [pa.array(out[f.name]) for f in schema.fields[len(ids) :]], names=schema.names)
-
-    counts = _joined(runs, s, keys).select(*ids, *names, "vals").mapInArrow(count, schema).groupBy(*ids).agg(*[F.sum(f"{a}_{c}").alias(f"{a}_{c}") for a in ("lt", "le") for c in names])
-    c = counts.select(*[F.col(k).alias(f"c_{k}") for k in ids], *[f"{a}_{n}" for a in ("lt", "le") for n in names])
-    t = s.join(c, [F.col(f"c_{k}").eqNullSafe(F.col(k)) for k in ids])
-    rank = F.col("rank")
-    value = F.lit(None).cast("double")
-    lo, hi, below = F.col("lo"), F.col("hi"), F.col("below")
-    for n in names:  # a cut that has the rank among its equals is the answer; else it bounds the range
-        known = F.col(n).isNotNull()
-        value = F.when(known & (F.col(f"lt_{n}") < rank) & (rank <= F.col(f"le_{n}")), F.col(n)).otherwise(value)
-        under = known & (F.col(f"le_{n}") < rank) & (lo.isNull() | (F.col(n) > lo))
-        lo, below = F.when(under, F.col(n)).otherwise(lo), F.when(under, F.col(f"le_{n}")).otherwise(below)
-        hi = F.when(known & (F.col(f"lt_{n}") >= rank) & (hi.isNull() | (F.col(n) < hi)), F.col(n)).otherwise(hi)
-    return t.select(*ids, "n", "rank", value.alias("value"), lo.alias("lo"), hi.alias("hi"), below.alias("below"))
+    return both.mapInArrow(narrow, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,6 +49,17 @@ def p2_from_days(spark: SparkSession, d: str) -> DataFrame:
     return read_summaries(summaries, KEYS, [0.5, 0.95])
 
 
+def p2_days_bound(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each percentile read from the daily summaries keeps its stated rank error, counted over all values."""
+    read = materialize(p2_from_days(spark, d))
+    log = _valid_log(spark, d)
+    values = functools.reduce(DataFrame.unionByName, [log.where(F.col(m).isNotNull()).select(*KEYS, F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in MEASURES])
+    seen = values.join(read, [*KEYS, "measure"]).groupBy(*KEYS, "measure", "share", "n", "value", "rank_error")
+    told = seen.agg(F.sum((F.col("x") < F.col("value")).cast("long")).alias("lt"), F.sum((F.col("x") <= F.col("value")).cast("long")).alias("le"))
+    want = F.ceil(F.col("n") * F.col("share") - F.lit(1e-9))
+    return told.select(*KEYS, "measure", "share", "n", ((F.col("lt") - F.col("rank_error") < want) & (want <= F.col("le") + F.col("rank_error")) & (F.col("rank_error") <= F.col("n") / 100)).alias("within"))
+
+
 def _counting_games(spark: SparkSession, d: str) -> DataFrame:
     """The last sent row of each game, if it is complete; the home team in its plain form."""
     t = table(spark, d, "games").where(F.col("game_id").isNotNull())
@@ -120,6 +133,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_percentiles": p2_percentiles,
     "p2_from_days": p2_from_days,
+    "p2_days_bound": p2_days_bound,
     "p4_found": p4_found,
     "p4_crowds": p4_crowds,
     "p5_found": p5_found,
@@ -140,6 +154,8 @@ HAVING (measure = 'fetch_time_ms' AND quantile_disc(x, 0.95) > 500) OR (measure
     "p2_percentiles": _LOG + """SELECT canvas_id, query_type, measure, CAST(share AS DOUBLE) AS share, n, value FROM
   (SELECT canvas_id, query_type, measure, count(*) AS n, quantile_disc(x, [0.25, 0.5, 0.75, 0.95, 0.99]) AS q FROM m GROUP BY ALL),
   LATERAL (SELECT unnest([0.25, 0.5, 0.75, 0.95, 0.99]) AS share, unnest(q) AS value)""",
+    "p2_days_bound": _LOG + """SELECT canvas_id, query_type, measure, CAST(share AS DOUBLE) AS share, n, TRUE AS within FROM
+  (SELECT canvas_id, query_type, measure, count(*) AS n FROM m GROUP BY ALL), LATERAL (SELECT unnest([0.5, 0.95]) AS share)""",
     "p5_found": r"""WITH last AS (SELECT game_id, arg_max({'t': home_team, 'r': agg_rank, 'h': home_score, 'a': away_score}, id) AS g FROM games WHERE game_id IS NOT NULL GROUP BY game_id),
 c AS (SELECT upper(regexp_replace(g.t, '^\s+|\s+$', '', 'g')) AS home_team, game_id, g.r AS r, g.h AS h, g.a AS a FROM last WHERE g.r IS NOT NULL AND g.h IS NOT NULL AND g.a IS NOT NULL AND g.t IS NOT NULL)
 SELECT home_team, game_id FROM c QUALIFY row_number() OVER (PARTITION BY home_team ORDER BY r, h + a DESC, h DESC, game_id) <= 3""",
