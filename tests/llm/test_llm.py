@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from zoomloom.llm import plans
-from zoomloom.llm.crowds import Features, crowd_members, describe_crowds, linked_features, ward
+from zoomloom.llm.crowds import FeatureTree, crowd_members, describe_crowds, feature_leaves, nearest_and_farthest, ward
 from zoomloom.llm.packing import fill, pack
 from zoomloom.llm.percentiles import multi_select, read_summaries, sorted_runs, summarize
 from zoomloom.llm.sentences import Model, _open_at_end, _spans, fit, labelled, paragraphs, sentence_units, training_texts, units
@@ -169,14 +169,24 @@ def test_encoding_edges(spark):
 # packing
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.lists(st.integers(1, 20), max_size=60), st.integers(1, 6))
-def test_fill(sizes, segments):
-    demand = np.array([(s, 1, max(0, s - 1)) for s in sizes], dtype=np.int64).reshape(-1, 3)
-    limits = np.array([20, segments, 15 if max(sizes, default=1) <= 16 else 20])
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 20), st.integers(0, 20)), max_size=60), st.integers(1, 6))
+def test_fill(items, segments):
+    limits = np.array([20, segments, 15])
+    demand = np.array([(n, 1, min(l, n, 15)) for n, l in items], dtype=np.int64).reshape(-1, 3)
     where = fill(demand, limits)
     used = {c: demand[where == c].sum(0) for c in set(where.tolist())}
     assert -1 not in used and all((u <= limits).all() for u in used.values())
+    for i, c in enumerate(where):  # an item would not have fitted into a container filled before its own
+        assert all(((used[e] + demand[i]) > limits).any() for e in range(c))
+
+
+def containers(rows):
+    out = {}
+    for r in rows:
+        n, k, l = out.get(r["container_id"], (0, 0, 0))
+        out[r["container_id"]] = (n + r["n_tokens"], k + 1, l + r["n_loss"])
+    return out
 
 
 def test_pack(spark):
@@ -184,13 +194,12 @@ def test_pack(spark):
     rows = [(i, rng.choice([3, 40, 99, 100, 101, 250, 730, 0, None]), "x") for i in range(3000)] + [(None, 5, "x"), (7, 12, "x")]
     df = spark.createDataFrame(rows, "id long, n long, container_id string")
     got = pack(df, "id", "n", 100, most_segments=12, tasks=20).collect()
-    full, count, tokens = {}, {}, {}
+    used = containers(got)
+    tokens = {}
     for r in got:
-        full[r["container_id"]] = full.get(r["container_id"], 0) + r["n_tokens"]
-        count[r["container_id"]] = count.get(r["container_id"], 0) + 1
         tokens[r["id"]] = tokens.get(r["id"], 0) + r["n_tokens"]
         assert r["start_token"] == 100 * r["piece_no"]
-    assert max(full.values()) <= 100 and max(count.values()) <= 12
+    assert all(n <= 100 and k <= 12 for n, k, _ in used.values())
     want = {}
     for i, n, _ in rows:
         if i is not None and n:
@@ -198,10 +207,43 @@ def test_pack(spark):
     assert tokens == want
     whole = {r["id"] for r in got if r["piece_no"]}
     assert whole == {i for i, n, _ in rows if n and n > 100}
-    assert len(full) <= 1.05 * sum(want.values()) / 100 + 2
+    assert len(used) <= 1.05 * sum(want.values()) / 100 + 2
     assert pack(df.limit(0), "id", "n", 100).count() == 0
 
 
+def test_pack_limits_bind(spark):
+    """Each limit closes containers; a piece with too many loss-bearing tokens is placed, with the surplus masked."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(4000):
+        n = rng.choice([2, 3, rng.randint(10, 90), rng.randint(100, 250)])
+        rows.append((i, n, rng.randint(n // 2, n)))
+    df = spark.createDataFrame(rows, "id long, n long, l long")
+    got = pack(df, "id", "n", 100, most_segments=6, loss="l", most_loss=80, tasks=3).collect()
+    used = containers(got)
+    assert all(n <= 100 and k <= 6 and l <= 80 for n, k, l in used.values())
+    assert any(n == 100 for n, _, _ in used.values()) and any(k == 6 and n < 97 for n, k, _ in used.values()) and any(l == 80 and n < 97 for n, _, l in used.values())
+    given = {i: (n, l) for i, n, l in rows}
+    for r in got:
+        n, l = given[r["id"]]
+        assert r["n_loss"] == min(80, l if n <= 100 else -(-l * r["n_tokens"] // n))
+    assert sum(r["n_tokens"] for r in got) == sum(n for _, n, _ in rows)
+
+
+def test_pack_without_partners(spark):
+    """Items of 55 to 90 % of the capacity fit no container together: all close in the task that saw them first, none gather in a last one."""
+    df = spark.range(100_000).select("id", (F.pmod(F.xxhash64("id"), F.lit(180)) + 282).alias("n"))
+    got = pack(df, "id", "n", 512, tasks=20)
+    assert got.where(F.shiftright("container_id", 56) > 0).isEmpty()
+    load = [r["count"] for r in got.groupBy(F.shiftright("container_id", 32)).count().collect()]
+    assert sum(load) == 100_000 and len(load) == 20 and max(load) <= 1.1 * 5_000
+    one = spark.createDataFrame([(7, 282 + i % 180) for i in range(20_000)], "id long, n long")  # one id throughout: still dealt out evenly
+    assert max(r["count"] for r in pack(one, "id", "n", 512, tasks=10).groupBy(F.shiftright("container_id", 32)).count().collect()) <= 2_200
+    mixed = spark.range(20_000).select("id", F.when(F.col("id") % 400 == 0, F.lit(3)).otherwise(F.pmod(F.xxhash64("id"), F.lit(180)) + 282).alias("n"))
+    levels = [r[0] for r in pack(mixed, "id", "n", 512, tasks=10).select(F.shiftright("container_id", 56)).distinct().collect()]
+    assert max(levels) <= 1, "a level that gains nothing is the last"
+
+
 # crowds
 
 
@@ -245,11 +287,22 @@ def test_crowds(spark, tasks):
 
 
 @pytest.mark.parametrize("seed", range(5))
-def test_features_and_ward(seed):
+def test_feature_trees(seed):
+    """Trees of two partitions merge to the tree of all, levels keep the sums, and linked leaves agglomerate to the link components."""
     r = np.random.default_rng(seed)
     x, y, n = r.uniform(0, 60, 150), r.uniform(0, 60, 150), r.integers(1, 4, 150)
-    f = Features(x, y, n, 4 / np.sqrt(2))
-    label = ward(f.n, f.sx, f.sy, *linked_features(f, x, y, 4.0))[0][f.leaf]
+    whole = FeatureTree.of_points(x, y, 2.0, n)
+    both = FeatureTree.of_points(x[:70], y[:70], 2.0, n[:70]).merge(FeatureTree.of_points(x[70:], y[70:], 2.0, n[70:]))
+    for t in (both, whole.parents(), whole.parents().parents()):
+        assert t.n.sum() == n.sum() and t.ss.sum() == pytest.approx(whole.ss.sum()) and t.x0.min() == x.min() and t.y1.max() == y.max()
+    assert all(np.allclose(both.columns()[c], whole.columns()[c]) for c in whole.columns()) and len(whole.parents()) < len(whole)
+    pairs = {(i, j) if i < j else (j, i) for i, j in zip(*map(np.ndarray.tolist, whole.neighbours(3)))}
+    assert pairs == {(i, j) for j in range(len(whole)) for i in range(j) if abs(whole.cell_x[i] - whole.cell_x[j]) <= 3 and abs(whole.cell_y[i] - whole.cell_y[j]) <= 3}
+    tiny = FeatureTree.of_points(x, y, 1e-6, n)  # one position a leaf, so bounds are exact
+    a, b = np.triu_indices(len(tiny), 1)
+    box = (tiny.x0, tiny.y0, tiny.x1, tiny.y1)
+    close = nearest_and_farthest([v[a] for v in box], [v[b] for v in box])[1] <= 16
+    label = ward(tiny.n, tiny.sx, tiny.sy, a[close], b[close])[0][tiny.leaf]
     near = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= 16
     while True:
         more = near @ near
@@ -257,8 +310,40 @@ def test_features_and_ward(seed):
             break
         near = more
     assert ((label[:, None] == label) == near).all()
-    half = Features(x[:70], y[:70], n[:70], 4 / np.sqrt(2)), Features(x[70:], y[70:], n[70:], 4 / np.sqrt(2))
-    assert sum(h.n.sum() for h in half) == f.n.sum() and sum(h.ss.sum() for h in half) == pytest.approx(f.ss.sum())
+
+
+def test_leaves_of_partitions_merge(spark):
+    rows = [(float(i % 7), float(i % 5)) for i in range(700)]
+    df = spark.createDataFrame(rows, "x double, y double").repartition(6)
+    got = {(r["kx"], r["ky"]): (r["n"], r["sx"], r["x0"], r["y1"]) for r in feature_leaves(df, 3.0).collect()}
+    want = {}
+    for x, y in rows:
+        want.setdefault((x // 3, y // 3), []).append((x, y))
+    assert got == {k: (len(v), sum(x for x, _ in v), min(x for x, _ in v), max(y for _, y in v)) for k, v in want.items()}
+
+
+def test_exact_check_refines(spark):
+    """Clusters whose bounds leave the link open: rings of positions just within, or just beyond, the link distance."""
+    rows = []
+    for c, gap in enumerate((10.0, 10.0 + 1 / 8)):
+        for i in range(40):
+            dx, dy = (i % 5) * 0.5, (i // 5) * 0.5
+            rows += [(len(rows), 300 * c + 0.0 - dx, dy), (len(rows) + 1, 300 * c + gap + dx, dy)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    got = {tuple(r) for r in crowd_members(df, 10.0, 5).collect()}
+    assert got == brute_crowds(rows, 10.0, 5) and len({c for c, _ in got}) == 3
+
+
+def test_ward_tells_the_parts(spark):
+    """Two dense places joined by a chain are one crowd of two parts; its typical members lie in the larger one, not at the centre between."""
+    r = random.Random(3)
+    rows = [(i, r.gauss(0, 6), r.gauss(0, 6)) for i in range(120)] + [(200 + i, r.gauss(200, 6), r.gauss(0, 6)) for i in range(60)] + [(300 + i, 10.0 * i, 0.0) for i in range(21)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    one = describe_crowds(crowd_members(df, 15.0, 20), df).collect()
+    assert len(one) == 1 and one[0]["size"] == len(rows) and 2 <= one[0]["parts"] <= 3
+    assert all(abs(dict((a, b) for a, b, _ in rows)[i]) < 15 for i in one[0]["typical"]) and 40 < one[0]["center_x"] < 120
+    round_ = describe_crowds(crowd_members(df.where("id < 200"), 15.0, 20), df).collect()
+    assert [x["parts"] for x in round_] != [2] or abs(round_[0]["main_x"]) < 6
 
 
 # sentences

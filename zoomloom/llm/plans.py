@@ -86,9 +86,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return crowd_members(_placed_dots(spark, d), 40.0, 20)
 
 
+def _described(spark: SparkSession, d: str) -> DataFrame:
+    return describe_crowds(materialize(p4_found(spark, d)), _placed_dots(spark, d))
+
+
 def p4_crowds(spark: SparkSession, d: str) -> DataFrame:
-    """Size, centre, radius and most typical dots of every crowd."""
-    return describe_crowds(p4_found(spark, d), _placed_dots(spark, d))
+    """Size, centre and radius of every crowd."""
+    return _described(spark, d).select("cluster_id", "size", *[F.round(c, 4).alias(c) for c in ("center_x", "center_y", "radius")])
+
+
+def p4_typical(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of every crowd by Ward's dendrogram, the centre of the main one, and the most typical dots."""
+    return _described(spark, d).select("cluster_id", "parts", "main_x", "main_y", "typical")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -136,6 +145,7 @@ QUERIES = {
     "p2_days_bound": p2_days_bound,
     "p4_found": p4_found,
     "p4_crowds": p4_crowds,
+    "p4_typical": p4_typical,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
@@ -148,7 +158,17 @@ _LOG = """WITH v AS (SELECT DISTINCT id, canvas_id, query_type,
 m AS (SELECT canvas_id, query_type, 'fetch_time_ms' AS measure, a AS x FROM v WHERE a IS NOT NULL UNION ALL SELECT canvas_id, query_type, 'rows_fetched', b FROM v WHERE b IS NOT NULL)
 """
 
+_CROWDS = """WITH RECURSIVE d AS (SELECT DISTINCT id, cx, cy FROM bbox_dots_pushdown_uniform_toplayer0 WHERE id IS NOT NULL AND abs(cx) < 'inf'::DOUBLE AND abs(cy) < 'inf'::DOUBLE AND NOT (cx = 0 AND cy = 0)),
+n AS (SELECT id, cx, cy, floor(cx / 40) + i AS u, floor(cy / 40) + j AS v FROM d, unnest([-1, 0, 1]) AS a(i), unnest([-1, 0, 1]) AS b(j)),
+e AS (SELECT DISTINCT d.id AS a, n.id AS b FROM d JOIN n ON floor(d.cx / 40) = n.u AND floor(d.cy / 40) = n.v WHERE (d.cx - n.cx) ** 2 + (d.cy - n.cy) ** 2 <= 1600),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT a AS id, min(b) AS cluster_id FROM r GROUP BY a HAVING count(*) >= 20)
+"""
+
 ORACLE = {
+    "p4_found": _CROWDS + "SELECT cluster_id, id FROM m",
+    "p4_crowds": _CROWDS + """SELECT cluster_id, count(*) AS size, round(avg(cx), 4) AS center_x, round(avg(cy), 4) AS center_y, round(sqrt(greatest(0, var_pop(cx) + var_pop(cy))), 4) AS radius
+FROM m JOIN d USING (id) GROUP BY cluster_id""",
     "p2_found": _LOG + """SELECT canvas_id, query_type, measure FROM m GROUP BY ALL
 HAVING (measure = 'fetch_time_ms' AND quantile_disc(x, 0.95) > 500) OR (measure = 'rows_fetched' AND quantile_disc(x, 0.5) > 4000)""",
     "p2_percentiles": _LOG + """SELECT canvas_id, query_type, measure, CAST(share AS DOUBLE) AS share, n, value FROM
