@@ -94,6 +94,25 @@ def test_loser_tree(runs, n):
     assert got == want
 
 
+def test_seek_touches_the_group_only():
+    """Runs without the finished group are not looked at: the work does not grow with their number."""
+
+    class Counting(LoserTree):
+        plays = 0
+
+        def _play(self, i):
+            self.plays += 1
+            super()._play(i)
+
+    done = []
+    for k in (200, 400):
+        runs = [[(g, g * k + i) for _ in range(3)] for g in range(100) for i in range(2)] + [[(1000, 1)]] * (k - 200)
+        t = Counting([sorted(r) for r in runs])
+        picked = list(t.merge(1))
+        done.append((len(picked), t.plays - k))
+    assert done[0][0] == 100 and done[1][0] == 101 and done[1][1] - done[0][1] <= 210
+
+
 def test_top_n(spark):
     rng = random.Random(1)
     rows = [("big" if i % 3 else f"t{rng.randint(0, 40)}", rng.randint(0, 5), None if i % 50 == 0 else rng.randint(0, 3), i, "c") for i in range(4000)] + [(None, 1, 1, 9999, "c")]

@@ -4,9 +4,9 @@ Plan
 1. Every partition becomes one sorted run: rows ordered by (group, score terms). As no run can add more than N rows of
    a group to the result, a run keeps only the first N of each group; so a group of any size reaches a task
    as at most N rows a run.
-2. Runs are cut into buckets by a hash of the group and stored bucket by bucket (the shuffle).
-3. Each bucket merges its runs with a loser tree. After N outputs of a group, every run seeks by binary search to the
-   next group; rows in between are never compared.
+2. Runs are stored in the shared folder and read by bucket, a hash of the group; the rows stored tell how many buckets there are.
+3. Each bucket merges its runs with a loser tree. After N outputs of a group, each run that comes up with that group again seeks
+   by binary search to its next group; rows in between are never compared, and runs without the group are not touched.
 """
 
 from __future__ import annotations
@@ -18,7 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from zoomloom.operators.balance import task_count
+from zoomloom.session import materialize, parallelism
+
 _GROUP, _RUN, _BUCKET = "__group", "__run", "__bucket"
+ROWS_PER_BUCKET = 200_000
 
 
 class LoserTree:
@@ -69,22 +73,20 @@ class LoserTree:
                 self.at[w] += 1
                 self._play(w)
             else:
-                self.seek(group)
-
-    def seek(self, group) -> None:
-        """Move every run past the group and set the tournament up again."""
-        for i, run in enumerate(self.runs):
-            lo, step = self.at[i], 1
-            while lo + step < len(run) and run[lo + step - 1][0] <= group:  # gallop, then bisect
-                lo, step = lo + step, step * 2
-            hi = min(lo + step, len(run))
-            while lo < hi:
-                mid = (lo + hi) // 2
-                lo, hi = (mid + 1, hi) if run[mid][0] <= group else (lo, mid)
-            self.at[i] = lo
-        self.tree = [-1] * self.k
-        for i in range(len(self.runs)):
-            self._play(i)
+                self.seek(w, group)
+
+    def seek(self, i: int, group) -> None:
+        """Move run i, the winner, past the group and let it play again."""
+        run = self.runs[i]
+        lo, step = self.at[i], 1
+        while lo + step < len(run) and run[lo + step - 1][0] <= group:  # gallop, then bisect
+            lo, step = lo + step, step * 2
+        hi = min(lo + step, len(run))
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if run[mid][0] <= group else (lo, mid)
+        self.at[i] = lo
+        self._play(i)
 
 
 def _ordered(t: pa.Table, order: list[tuple[str, str]]) -> pa.Array:
@@ -98,12 +100,9 @@ def top_n(df: DataFrame, group: str, order: list[tuple[str, str]], n: int, bucke
     but n of them at most. Rows with a null group are left out; null scores come last either way. All columns of df
     come out, unchanged. Groups with fewer rows give all they have; an empty table gives an empty result.
     """
-    spark = df.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.where(F.col(group).isNotNull()).withColumns({_GROUP: F.col(group), **{f"__o{i}": F.expr(e) for i, (e, _) in enumerate(order)}})
     out_schema = df.schema
-    run_schema = T.StructType(keyed.schema.fields + [T.StructField(_RUN, T.LongType()), T.StructField(_BUCKET, T.IntegerType())])
-    with_bucket = keyed.withColumn(_RUN, F.lit(0).cast("long")).withColumn(_BUCKET, F.pmod(F.xxhash64(_GROUP), F.lit(buckets)).cast("int"))
+    run_schema = T.StructType(keyed.schema.fields + [T.StructField(_RUN, T.LongType())])
 
     def build(batches):
         from pyspark import TaskContext
@@ -151,5 +150,7 @@ def top_n(df: DataFrame, group: str, order: list[tuple[str, str]], n: int, bucke
         picked = np.fromiter((cuts[r] + p for r, p in tree.merge(n)), dtype=np.int64)
         yield from t.select(out_schema.names).take(pa.array(by[picked])).to_batches(max_chunksize=10_000)
 
-    stored = with_bucket.mapInArrow(build, run_schema).repartitionById(buckets, F.col(_BUCKET))
-    return stored.mapInArrow(merge, out_schema)
+    stored = materialize(keyed.withColumn(_RUN, F.lit(0).cast("long")).mapInArrow(build, run_schema))
+    buckets = buckets or task_count(stored.count(), parallelism(df.sparkSession), ROWS_PER_BUCKET)
+    bucketed = stored.withColumn(_BUCKET, F.pmod(F.xxhash64(_GROUP), F.lit(buckets)).cast("int")).repartitionById(buckets, F.col(_BUCKET))
+    return bucketed.mapInArrow(merge, out_schema)
