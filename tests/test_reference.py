@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from zoomloom.engine import Engine
 from zoomloom.functions import geo, scales
-from zoomloom.functions.hull import convex_hull
+from zoomloom.functions.hull import convex_hull, hull_points
 from zoomloom.operators import charts, mutations, pyramid, tables, viewport
 from zoomloom.operators.placement import Placement, place
 from zoomloom.operators.pyramid import PyramidSpec, build_pyramid, choose_heads, greedy_sequence, join_heads, mark_size, overlap_threshold
@@ -192,8 +192,8 @@ def test_heads_equal_sequential(spark, seed, chain):
     z, i, x, y = cloud(60 if chain else 200, seed, chain)
     df = spark.createDataFrame([(int(a), float(b), float(c), float(e)) for a, b, c, e in zip(i, z, x, y)], "id long, z double, x double, y double")
     want = set(i[greedy_sequence(z, i, x, y, 15.0, 20.0)].tolist())
-    for one_task, rounds in ((10_000, 30), (20, 3)):
-        heads = choose_heads(df, 15.0, 20.0, one_task=one_task, max_rounds=rounds)
+    for prefix, tile_rows, side in ((8, 100_000, 256), (1, 20, 4), (3, 50, 6)):
+        heads = choose_heads(df, 15.0, 20.0, prefix, tile_rows, side)
         assert {r["id"] for r in heads.collect()} == want
     member = {r["id"]: r["head"] for r in join_heads(df, heads, 15.0, 20.0).collect()}
     order = {int(k): n for n, k in enumerate(i[np.lexsort((i, z))])}
@@ -202,6 +202,29 @@ def test_heads_equal_sequential(spark, seed, chain):
         assert member[k] == min(near)[2]
 
 
+def test_long_chain_and_crowded_cell(spark):
+    """A chain of 3 000 points that each depend on the one before, and 2 000 points in one cell, over many tiles."""
+    z, i, x, y = cloud(3000, 0, True)
+    r = np.random.default_rng(1)
+    x, y = np.concatenate([x, 20_000 + r.uniform(0, 30, 2000)]), np.concatenate([y, r.uniform(0, 30, 2000)])
+    i, z = np.arange(5000), np.concatenate([z, r.uniform(0, 3000, 2000)])
+    df = spark.createDataFrame([(int(a), float(b), float(c), float(e)) for a, b, c, e in zip(i, z, x, y)], "id long, z double, x double, y double")
+    want = set(i[greedy_sequence(z, i, x, y, 15.0, 20.0)].tolist())
+    assert {r["id"] for r in choose_heads(df, 15.0, 20.0, tile_rows=1000).collect()} == want
+
+
+def test_pyramid_of_nothing(spark):
+    df = spark.createDataFrame([(1, None, 2.0, 3.0)], "id long, x double, y double, z double")
+    p = build_pyramid(df, PyramidSpec("id", "x", "y", "z", (0, 100), (0, 100), levels=1))
+    assert p.levels.count() == p.aggregates.count() == p.hulls.count() == p.members.count() == p.top.count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_hull_points(seed):
+    xy = np.random.default_rng(seed).integers(0, 40, (400, 2)).astype(float)
+    assert [tuple(p) for p in hull_points(xy).tolist()] == convex_hull(xy.tolist())
+
+
 def test_pyramid_invariants(spark):
     r = np.random.default_rng(4)
     rows = [(int(i), float(a), float(b), float(c), "uv"[i % 2], float(v)) for i, (a, b, c, v) in enumerate(r.uniform(0, 100, (300, 4)))] + [(900, None, 1.0, 1.0, "u", 1.0)]

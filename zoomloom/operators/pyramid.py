@@ -1,14 +1,17 @@
 """Cluster pyramids of scatterplots: non-overlapping heads per zoom level, with mergeable aggregates.
 
 A level's heads are the greedy choice in rank order: a point becomes a head unless an earlier head lies within theta (normalised
-Chebyshev distance); all others join their nearest earlier head. Cells of side theta hold one head at most, so a
-round needs no pairs of points: each cell's first open point becomes a head if it precedes those of the eight cells around it, then
-open points within theta of a new head are settled. What few points stay open are finished in one task. The result equals the
-sequential one exactly.
+Chebyshev distance); all others join their nearest earlier head. Cells of side theta hold one head at most, so only the first few open points
+of a cell can matter next. A round sends these, tile by tile with the cells around, through the sequential choice; what depends on points the
+tile does not see stays open, points near a new head are settled, and the next round goes on with the rest on tiles laid otherwise. The first
+open point of all is always decided, so the rounds end; the result equals the sequential one exactly, at any number of tiles.
+
+The rows themselves are aggregated once, at the bottom. All levels above merge the aggregates, top lists and hulls of the one below.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass, field
 
@@ -19,11 +22,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zoomloom.functions.hull import hull_of
+from zoomloom.functions.hull import hull_points
 from zoomloom.operators.placement import canvas_position
-from zoomloom.session import materialize
+from zoomloom.session import discard, materialize
 
-ONE_TASK = 200_000
+PREFIX = 8  # open points of a cell that a round looks at
+TILE_ROWS = 100_000
+TILE_SIDE = 256  # cells; with PREFIX the bound of a tile however crowded it is
 MODES = ("custom", "circle", "contour", "heatmap", "radar", "pie", "dot")
 FUNCTIONS = ("count", "sum", "avg", "min", "max", "sqrsum")
 
@@ -63,21 +68,27 @@ class PyramidSpec:
     mark_h: int = 100
     zoom: float = 2.0
     ascending: bool = False
-    overlap: float = 1.0
+    overlap: float | None = None
     theta: float | None = None
     topk: int = 3
     measures: tuple[str, ...] = ()
     dimensions: tuple[str, ...] = field(default=())
+    mode: str = "custom"
 
     def __post_init__(self):
-        if not 1 <= self.levels <= 50 or not 1.1 <= self.zoom <= 5 or not 0 <= self.overlap <= 1 or not 1 <= self.topk <= 8:
+        if not 1 <= self.levels <= 50 or not 1.1 <= self.zoom <= 5 or not 0 <= self.allowed_overlap <= 1 or not 1 <= self.topk <= 8:
             raise ValueError("levels 1..50, zoom 1.1..5, overlap 0..1, topk 1..8")
         if self.extent_x[0] == self.extent_x[1] or self.extent_y[0] == self.extent_y[1]:
             raise ValueError("the extent of a pyramid axis is empty")
 
+    @property
+    def allowed_overlap(self) -> float:
+        """As given, else none for contours and heat maps and full marks apart for the rest."""
+        return self.overlap if self.overlap is not None else 0.0 if self.mode in ("contour", "heatmap") else 1.0
+
     @property
     def distance(self) -> float:
-        return self.theta if self.theta is not None else overlap_threshold(self.mark_w, self.mark_h, self.overlap)
+        return self.theta if self.theta is not None else overlap_threshold(self.mark_w, self.mark_h, self.allowed_overlap)
 
 
 def extents(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -86,10 +97,10 @@ def extents(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def init_points(df: DataFrame, spec: PyramidSpec) -> DataFrame:
-    """(id, z, x, y, bx, by) of the bottom level: canvas positions there; rows with a null id or coordinate are left out."""
+    """(id, z, x, y, bx, by) of the bottom level: canvas positions there; rows with a null id or a null or NaN coordinate are left out."""
     zx = canvas_position(F.col(spec.x), *spec.extent_x, spec.top_width, spec.mark_w, spec.zoom, spec.levels)
     zy = canvas_position(F.col(spec.y), *spec.extent_y, spec.top_height, spec.mark_h, spec.zoom, spec.levels)
-    ok = df.where(F.col(spec.id).isNotNull() & F.col(spec.x).isNotNull() & F.col(spec.y).isNotNull())
+    ok = df.where(F.col(spec.id).isNotNull() & F.col(spec.x).isNotNull() & F.col(spec.y).isNotNull() & ~F.isnan(F.col(spec.x).cast("double")) & ~F.isnan(F.col(spec.y).cast("double")))
     sign = F.col(spec.z).cast("double") if spec.ascending else -F.col(spec.z).cast("double")
     return ok.select(F.col(spec.id).cast("long").alias("id"), F.coalesce(sign, F.lit(float("inf"))).alias("z"), zx.alias("x"), zy.alias("y"))
 
@@ -120,45 +131,90 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.withColumn("t", F.explode(near)).withColumns({"u": F.col("u") + F.col("t.a"), "v": F.col("v") + F.col("t.b")}).drop("t")
 
 
-def choose_heads(points: DataFrame, wide: float, tall: float, one_task: int = ONE_TASK, max_rounds: int = 30) -> DataFrame:
-    """Heads (id, z, x, y) of points (id, z, x, y); wide and tall are theta in canvas units."""
-
-    def finish(open_: DataFrame, heads: DataFrame | None) -> DataFrame:
-        both = open_.select("id", "z", "x", "y", F.lit(False).alias("head"))
-        if heads is not None:
-            both = both.unionByName(heads.select("id", "z", "x", "y", F.lit(True).alias("head")))
+def settle_tile(z, ids, x, y, u, v, place, home, wide: float, tall: float, prefix: int) -> tuple[list[int], list[int]]:
+    """(heads, undecided): rows of a tile's own cells, from the open points of the tile and of the cells around it.
 
-        def run(batches):
-            got = [b for b in batches if b.num_rows]
-            if got:
-                t = pa.Table.from_batches(got)
-                h = t["head"].to_numpy(zero_copy_only=False)
-                o = ~h
-                c = {k: t[k].to_numpy() for k in ("id", "z", "x", "y")}
-                new = np.flatnonzero(o)[greedy_sequence(c["z"][o], c["id"][o], c["x"][o], c["y"][o], wide, tall, (c["x"][h], c["y"][h]))]
-                yield from t.select(["id", "z", "x", "y"]).take(pa.array(new)).to_batches()
-
-        return both.repartition(1).mapInArrow(run, "id long, z double, x double, y double")
-
-    open_ = points
+    place is a point's number in its cell; a point numbered prefix + 1 stands for all that follow, which are not there. A point is
+    undecided if an earlier undecided one lies within theta, or if a cell around has unseen earlier points and no head.
+    """
+    heads: dict[tuple[int, int], list[tuple[float, float]]] = {}
+    waits: dict[tuple[int, int], list[tuple[float, float]]] = {}
+    unseen: set[tuple[int, int]] = set()
+    out, left = [], []
+    order = np.lexsort((ids, z)).tolist()
+    us, vs, xs, ys, own, more = (c.tolist() for c in (u, v, x, y, home, place > prefix))
+    for i in order:
+        c, a, b = (us[i], vs[i]), xs[i], ys[i]
+        if c in heads:
+            continue
+        around = [(c[0] + p, c[1] + q) for p in (-1, 0, 1) for q in (-1, 0, 1)]
+        if any(abs(a - p) <= wide and abs(b - q) <= tall for n in around for p, q in heads.get(n, ())):
+            if more[i]:
+                unseen.add(c)
+                if own[i]:
+                    left.append(i)
+            continue
+        if more[i]:
+            unseen.add(c)
+        elif own[i] and not any(n in unseen for n in around) and not any(abs(a - p) <= wide and abs(b - q) <= tall for n in around for p, q in waits.get(n, ())):
+            heads.setdefault(c, []).append((a, b))
+            out.append(i)
+            continue
+        waits.setdefault(c, []).append((a, b))
+        if own[i]:
+            left.append(i)
+    return out, left
+
+
+def choose_heads(points: DataFrame, wide: float, tall: float, prefix: int = PREFIX, tile_rows: int = TILE_ROWS, tile_side: int = TILE_SIDE) -> DataFrame:
+    """Heads (id, z, x, y) of points (id, z, x, y); wide and tall are theta in canvas units. Ids are unique."""
+    columns = "id long, z double, x double, y double"
+    open_ = points.select("id", "z", "x", "y").withColumns(_cells(F.col("x"), F.col("y"), wide, tall))
+    before: DataFrame | None = None
     heads: DataFrame | None = None
-    for _ in range(max_rounds):
-        if open_.count() <= one_task:
-            break
-        # an earliest point of every cell; map-side combined
-        first = open_.withColumns(_cells(F.col("x"), F.col("y"), wide, tall)).groupBy("u", "v").agg(F.min(F.struct("z", "id", "x", "y")).alias("p"))
-        least = _spread(first).groupBy("u", "v").agg(F.min("p").alias("q"))
-        new = materialize(first.join(least, ["u", "v"]).where(F.col("p") == F.col("q")).select("p.id", "p.z", "p.x", "p.y"))
+    turn = 0
+    while True:
+        told = open_.agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u"), F.max("u").alias("u1"), F.min("v").alias("v"), F.max("v").alias("v1")).first()
+        tiles = max(1, math.ceil(told["n"] / tile_rows))
+        wide_u, wide_v = ((told["u1"] or 0) - (told["u"] or 0) + 1), ((told["v1"] or 0) - (told["v"] or 0) + 1)
+        side = max(4, min(tile_side, math.ceil(math.sqrt(wide_u * wide_v / tiles)))) if tiles > 1 else max(4, min(tile_side, max(wide_u, wide_v)))
+        shift = (turn % 2) * (side // 2)
+        first = open_.withColumn("place", F.row_number().over(W.partitionBy("u", "v").orderBy("z", "id"))).where(F.col("place") <= prefix + 1)
+        spot = lambda c, low, d: F.floor((F.col(c) - F.lit(low or 0) + shift + d) / side)
+        near = F.array_distinct(F.flatten(F.array(*[F.array(*[F.struct(spot("u", told["u"], a).alias("tu"), spot("v", told["v"], b).alias("tv")) for a in (-1, 0, 1)]) for b in (-1, 0, 1)])))
+        home = (F.col("t.tu") == spot("u", told["u"], 0)) & (F.col("t.tv") == spot("v", told["v"], 0))
+        routed = first.withColumn("t", F.explode(near)).select("id", "z", "x", "y", "u", "v", "place", home.alias("home"), "t.tu", "t.tv")
+
+        def settle(batches):
+            got = [b for b in batches if b.num_rows]
+            if not got:
+                return
+            t = pa.Table.from_batches(got)
+            c = {k: t[k].to_numpy(zero_copy_only=False) for k in t.column_names}
+            order = np.lexsort((c["tv"], c["tu"]))
+            cuts = np.flatnonzero((np.diff(c["tu"][order]) != 0) | (np.diff(c["tv"][order]) != 0)) + 1
+            rows, is_head = [], []
+            for lo, hi in zip([0, *cuts], [*cuts, len(order)]):
+                at = order[lo:hi]
+                new, left = settle_tile(*(c[k][at] for k in ("z", "id", "x", "y", "u", "v", "place", "home")), wide, tall, prefix)
+                rows += [at[new], at[left]]
+                is_head += [np.ones(len(new), bool), np.zeros(len(left), bool)]
+            out = t.select(["id", "z", "x", "y"]).take(pa.array(np.concatenate(rows)))
+            yield from out.append_column("head", pa.array(np.concatenate(is_head))).to_batches(max_chunksize=10_000)
+
+        made = materialize(routed.repartition(tiles, "tu", "tv").mapInArrow(settle, columns + ", head boolean"))
+        new = made.where("head").drop("head")
         heads = new if heads is None else heads.unionByName(new)
+        if made.where(~F.col("head")).isEmpty():
+            if before is not None:
+                discard(before)
+            return heads
         h = _spread(new.withColumns(_cells(F.col("x"), F.col("y"), wide, tall))).select("u", "v", F.col("x").alias("hx"), F.col("y").alias("hy"))
-        o = open_.withColumns(_cells(F.col("x"), F.col("y"), wide, tall))
-        hit = (o["u"] == h["u"]) & (o["v"] == h["v"]) & (F.abs(o["x"] - h["hx"]) <= wide) & (F.abs(o["y"] - h["hy"]) <= tall)
-        open_ = materialize(o.join(h, hit, "left_anti").select("id", "z", "x", "y"))
-    if heads is None:
-        return finish(open_, None)
-    # only heads near an open point matter to what is left
-    near = heads.withColumns(_cells(F.col("x"), F.col("y"), wide, tall)).join(_spread(open_.withColumns(_cells(F.col("x"), F.col("y"), wide, tall))).select("u", "v").distinct(), ["u", "v"], "left_semi")
-    return heads.unionByName(finish(open_, near))
+        hit = (open_["u"] == h["u"]) & (open_["v"] == h["v"]) & (F.abs(open_["x"] - h["hx"]) <= wide) & (F.abs(open_["y"] - h["hy"]) <= tall)
+        now = materialize(open_.join(h, hit, "left_anti"))
+        if before is not None:
+            discard(before)
+        open_, before, turn = now, now, turn + 1
 
 
 def join_heads(points: DataFrame, heads: DataFrame, wide: float, tall: float) -> DataFrame:
@@ -171,78 +227,153 @@ def join_heads(points: DataFrame, heads: DataFrame, wide: float, tall: float) ->
     return near.groupBy("id").agg(F.min(F.struct(far.alias("d"), F.col("hz"), F.col("head"))).alias("m")).select("id", F.col("m.head").alias("head"))
 
 
-@dataclass
 class Pyramid:
-    """levels: (level, id, x, y, minx..maxy); members: (level, id, head) of base rows; aggregates, top lists and hulls by head."""
+    """The heads of all levels; aggregates, top lists, hulls and members by level and head are made when they are asked for.
+
+    The rows are aggregated once, by head of the bottom level; every level above merges these partial results along `lifts`.
+    """
+
+    def __init__(self, base: DataFrame, spec: PyramidSpec, heads: dict[int, DataFrame], steps: dict[int, DataFrame]):
+        self.spec, self._base, self._heads, self._steps = spec, base, heads, steps
+        self._wide, self._tall = spec.distance * spec.mark_w, spec.distance * spec.mark_h
 
-    levels: DataFrame
-    members: DataFrame
-    aggregates: DataFrame
-    top: DataFrame
-    hulls: DataFrame
+    @property
+    def levels(self) -> DataFrame:
+        """(level, id, x, y, minx, miny, maxx, maxy) of the heads."""
+        w, h = self._wide / 2, self._tall / 2
+        return _union([t.select(F.lit(n).alias("level"), "id", "x", "y", (F.col("x") - w).alias("minx"), (F.col("y") - h).alias("miny"), (F.col("x") + w).alias("maxx"), (F.col("y") + h).alias("maxy")) for n, t in self._heads.items()])
+
+    @functools.cached_property
+    def lifts(self) -> DataFrame:
+        """(bottom, level, head): the head on every level of each head of the bottom."""
+        bottom = self._heads[self.spec.levels]
+        chain = bottom.select(F.col("id").alias("bottom"), F.col("id").alias("head"))
+        out = [chain.select("bottom", F.lit(self.spec.levels).alias("level"), "head")]
+        for level in range(self.spec.levels - 1, -1, -1):
+            chain = materialize(chain.join(self._steps[level].toDF("head", "up"), "head").select("bottom", F.col("up").alias("head")))
+            out.append(chain.select("bottom", F.lit(level).alias("level"), "head"))
+        return _union(out)
+
+    @property
+    def members(self) -> DataFrame:
+        """(level, id, head) of every row."""
+        return self._steps[self.spec.levels].toDF("id", "bottom").join(self.lifts, "bottom").select("level", "id", "head")
+
+    @property
+    def _rows(self) -> DataFrame:
+        """The rows with the head of the bottom level that they belong to."""
+        named = self._base.withColumn("__id", F.col(self.spec.id).cast("long"))
+        return named.join(self._steps[self.spec.levels].toDF("__id", "bottom"), "__id")
+
+    @property
+    def aggregates(self) -> DataFrame:
+        measures, dimensions = list(self.spec.measures), list(self.spec.dimensions)
+        own = cluster_aggregates(self._rows, ["bottom", *dimensions], measures, self.spec.x, self.spec.y)
+        return merge_aggregates(own.join(self.lifts, "bottom"), ["level", "head", *dimensions], measures)
+
+    @property
+    def top(self) -> DataFrame:
+        """(level, head, place, id): the first spec.topk members by importance; those of merged clusters are among those of each."""
+        own = _first(self._rows.select("bottom", F.col("__id").alias("id"), F.col(self.spec.z).alias("z")), ["bottom"], self.spec)
+        return _first(own.join(self.lifts, "bottom"), ["level", "head"], self.spec).select("level", "head", "place", "id")
+
+    @property
+    def hulls(self) -> DataFrame:
+        """(level, head, hull) over the members' raw positions."""
+        own = cluster_hulls(self._rows, "bottom", self.spec.x, self.spec.y)
+        return merge_hulls(own.join(self.lifts, "bottom"), ["level", "head"]).select("level", "head", F.arrays_zip(F.col("hx").alias("x"), F.col("hy").alias("y")).alias("hull"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def build_pyramid(df: DataFrame, spec: PyramidSpec) -> Pyramid:
-    """All levels from the bottom (spec.levels) to the top (0); the points of a level are the heads of the one below."""
-    base = materialize(df)
-    points = materialize(init_points(base, spec))
+    """Heads of all levels from the bottom (spec.levels) to the top (0); the points of a level are the heads of the one below. Ids are unique."""
+    used = [c for c in dict.fromkeys([spec.x, spec.y, spec.z, *spec.measures, *spec.dimensions]) if c != spec.id]
+    if {"level", "head", "bottom"} & {c.lower() for c in [*used, spec.id]}:
+        raise ValueError("level, head and bottom are columns of the result")
+    base = df.select(spec.id, *used)
     wide, tall = spec.distance * spec.mark_w, spec.distance * spec.mark_h
-    levels, members = None, None
-    chain = points.select("id", F.col("id").alias("head"))
-    own = points
+    own = materialize(init_points(base, spec))
+    heads, steps = {}, {}
     for level in range(spec.levels, -1, -1):
-        heads = materialize(choose_heads(own, wide, tall))
-        step = join_heads(own, heads, wide, tall)
-        chain = materialize(chain.join(step.select(F.col("id").alias("head"), F.col("head").alias("up")), "head").select("id", F.col("up").alias("head")))
-        half_w, half_h = wide / 2, tall / 2
-        box = heads.select(F.lit(level).alias("level"), "id", "x", "y", (F.col("x") - half_w).alias("minx"), (F.col("y") - half_h).alias("miny"), (F.col("x") + half_w).alias("maxx"), (F.col("y") + half_h).alias("maxy"))
-        levels = box if levels is None else levels.unionByName(box)
-        m = chain.withColumn("level", F.lit(level))
-        members = m if members is None else members.unionByName(m)
-        own = heads.select("id", "z", (F.col("x") / spec.zoom).alias("x"), (F.col("y") / spec.zoom).alias("y"))
-    used = [c for c in dict.fromkeys([spec.x, spec.y, spec.z, *spec.measures, *spec.dimensions]) if c != spec.id]
-    if {"level", "head"} & set(used):
-        raise ValueError("level and head are columns of the result")
-    own_rows = base.select(F.col(spec.id).cast("long").alias("__id"), *([F.col(spec.id).alias("__z")] if spec.z == spec.id else []), *[F.col(c) for c in used if c != "id"])
-    rows = members.join(own_rows, F.col("id") == F.col("__id")).drop("__id", "__z")
-    if spec.id != "id" and spec.id in (spec.x, spec.y, spec.z):
-        rows = rows.withColumn(spec.id, F.col("id"))
-    return Pyramid(levels, members, cluster_aggregates(rows, list(spec.measures), list(spec.dimensions)), top_members(rows, spec), cluster_hulls(rows, spec))
-
+        heads[level] = choose_heads(own, wide, tall)
+        steps[level] = materialize(join_heads(own, heads[level], wide, tall))
+        own = heads[level].select("id", "z", (F.col("x") / spec.zoom).alias("x"), (F.col("y") / spec.zoom).alias("y"))
+    return Pyramid(base, spec, heads, steps)
 
-def cluster_aggregates(rows: DataFrame, measures: list[str], dimensions: list[str]) -> DataFrame:
-    """Per (level, head, dimensions): n and, of each measure, count, sum, square sum, least and greatest; averages are sum / count.
 
-    All parts merge by addition or extremes, so partial aggregates of any split agree with the whole.
-    """
-    parts = [F.count(F.lit(1)).alias("n")]
+def cluster_aggregates(rows: DataFrame, keys: list[str], measures: list[str], x: str, y: str) -> DataFrame:
+    """Per keys: n, the sums of the raw positions and their squares and, of each measure, count, sum, square sum, least and greatest; averages
+    are sum / count. All parts merge by addition or extremes, so partial aggregates of any split agree with the whole."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    parts = [F.count(F.lit(1)).alias("n"), F.sum(a).alias("sum_x"), F.sum(b).alias("sum_y"), F.sum(a * a + b * b).alias("xysqrsum")]
     for m in measures:
         v = F.col(m).cast("double")
         parts += [F.count(v).alias(f"cnt_{m}"), F.sum(v).alias(f"sum_{m}"), F.sum(v * v).alias(f"sqrsum_{m}"), F.min(v).alias(f"min_{m}"), F.max(v).alias(f"max_{m}"), (F.sum(v) / F.nullif(F.count(v), F.lit(0))).alias(f"avg_{m}")]
-    return rows.groupBy("level", "head", *dimensions).agg(*parts)
+    return rows.groupBy(*keys).agg(*parts)
 
 
 def merge_aggregates(parts: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     """Merge partial aggregates of the same keys."""
-    out = [F.sum("n").alias("n")]
+    out = [F.sum(c).alias(c) for c in ("n", "sum_x", "sum_y", "xysqrsum")]
     for m in measures:
         out += [F.sum(f"cnt_{m}").alias(f"cnt_{m}"), F.sum(f"sum_{m}").alias(f"sum_{m}"), F.sum(f"sqrsum_{m}").alias(f"sqrsum_{m}"), F.min(f"min_{m}").alias(f"min_{m}"), F.max(f"max_{m}").alias(f"max_{m}"), (F.sum(f"sum_{m}") / F.nullif(F.sum(f"cnt_{m}"), F.lit(0))).alias(f"avg_{m}")]
     return parts.groupBy(*keys).agg(*out)
 
 
-def top_members(rows: DataFrame, spec: PyramidSpec) -> DataFrame:
-    """(level, head, place, id): the first spec.topk members by importance; Spark cuts each partition down before the shuffle."""
-    z = F.asc_nulls_last(spec.z) if spec.ascending else F.desc_nulls_last(spec.z)
-    place = F.row_number().over(W.partitionBy("level", "head").orderBy(z, F.asc("id")))
-    return rows.select("level", "head", "id", spec.z).withColumn("place", place).where(F.col("place") <= spec.topk).select("level", "head", "place", "id")
-
-
-def cluster_hulls(rows: DataFrame, spec: PyramidSpec) -> DataFrame:
-    """(level, head, hull) over the members' raw positions. Hulls are taken per part first, so no task holds a whole cluster."""
-    part = F.pmod(F.xxhash64("id"), F.lit(256)).alias("part")
-    point = F.struct(F.col(spec.x).cast("double").alias("x"), F.col(spec.y).cast("double").alias("y"))
-    first = rows.groupBy("level", "head", part).agg(F.collect_set(point).alias("ps")).select("level", "head", F.when(F.size("ps") > 2, hull_of("ps")).otherwise(F.col("ps")).alias("ps"))
-    return first.groupBy("level", "head").agg(F.flatten(F.collect_list("ps")).alias("ps")).select("level", "head", hull_of("ps").alias("hull"))
+def _first(rows: DataFrame, keys: list[str], spec: PyramidSpec) -> DataFrame:
+    """(keys..., place, id, z): the first spec.topk rows by importance. Spark cuts each partition down before the shuffle."""
+    z = F.asc_nulls_last("z") if spec.ascending else F.desc_nulls_last("z")
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(z, F.asc("id")))
+    return rows.select(*keys, "id", "z").withColumn("place", place).where(F.col("place") <= spec.topk).select(*keys, "place", "id", "z")
+
+
+def _hull_batch(keys: list[pa.Array], hulls: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    off = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in hulls])]).astype(np.int32))
+    flat = np.concatenate(hulls) if hulls else np.zeros((0, 2))
+    return pa.RecordBatch.from_arrays([*keys, *[pa.ListArray.from_arrays(off, pa.array(np.ascontiguousarray(flat[:, i]))) for i in (0, 1)]], names=[*names, "hx", "hy"])
+
+
+def cluster_hulls(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(key, hx, hy): convex hulls of the members' raw positions. Tasks send one hull a cluster, so a cluster of any size is small."""
+
+    def build(batches):
+        held: dict[int, np.ndarray] = {}
+        size = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, xy = b.column(0).to_numpy(), np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()], axis=1)
+            order = np.argsort(k, kind="stable")
+            cuts = np.flatnonzero(np.diff(k[order])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(order)]):
+                i = int(k[order[lo]])
+                old = held.get(i)
+                own = xy[order[lo:hi]]
+                held[i] = hull_points(own if old is None else np.concatenate([old, own]))
+                size += len(held[i]) - (0 if old is None else len(old))
+            if size > 500_000:
+                yield _hull_batch([pa.array(list(held), pa.int64())], list(held.values()), [key])
+                held, size = {}, 0
+        if held:
+            yield _hull_batch([pa.array(list(held), pa.int64())], list(held.values()), [key])
+
+    return merge_hulls(rows.select(key, F.col(x).cast("double"), F.col(y).cast("double")).mapInArrow(build, f"{key} long, hx array<double>, hy array<double>"), [key])
+
+
+def merge_hulls(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Hulls of hulls, by keys."""
+    schema = T.StructType([*[parts.schema[k] for k in keys], parts.schema["hx"], parts.schema["hy"]])
+
+    def join(batches):
+        for b in batches:
+            xs, ys = b.column(len(keys)), b.column(len(keys) + 1)
+            x, y, off = xs.values.to_numpy(), ys.values.to_numpy(), xs.offsets.to_numpy()
+            yield _hull_batch(list(b.columns[: len(keys)]), [hull_points(np.stack([x[i:j], y[i:j]], axis=1)) for i, j in zip(off, off[1:])], keys)
+
+    return parts.groupBy(*keys).agg(F.flatten(F.collect_list("hx")).alias("hx"), F.flatten(F.collect_list("hy")).alias("hy")).mapInArrow(join, schema)
 
 
 def measure_ranges(aggregates: DataFrame, measures: list[str]) -> DataFrame:
