@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from zoomloom.engine import Engine
 from zoomloom.functions import geo, scales
 from zoomloom.functions.hull import convex_hull, hull_points
-from zoomloom.operators import charts, mutations, pyramid, tables, viewport
+from zoomloom.operators import charts, layouts, mutations, pyramid, tables, viewport
 from zoomloom.operators.placement import Placement, place
 from zoomloom.operators.pyramid import PyramidSpec, build_pyramid, choose_heads, greedy_sequence, join_heads, mark_size, overlap_threshold
 from zoomloom.operators.viewport import Box
 from zoomloom.sources import readers, sinks, synthetic
 from zoomloom.spec import navigation
-from zoomloom.spec.model import LITERAL_IN, LITERAL_OUT, Canvas, Jump, Layer, Project, SpecError, Transform, View, stale_layers, zoom_levels
+from zoomloom.spec.model import LITERAL_IN, LITERAL_OUT, Canvas, Jump, Layer, Project, SpecError, Transform, View, fingerprint, stale_layers, zoom_levels
 from zoomloom.spec.predicates import Both, Either, Equals, Everything, PredicateError, from_json, holds, parse_wire, to_column, to_wire
 from zoomloom.spec.templates import ChartTemplate, MapTemplate, PyramidTemplate, TableTemplate, add_chart, add_map, add_pyramid, add_table
 
@@ -170,9 +170,19 @@ def test_difference_covers(seed):
 
 def test_written_layer_and_static(spark, tmp_path):
     df = place(synthetic.uniform_points(spark, 2000, 1000, 1000).withColumns({"x": F.col("w"), "y": F.col("h")}), MARK)
-    viewport.write_layer(df, str(tmp_path / "l"), Box(0, 0, 1000, 1000), 4)
-    back = spark.read.parquet(str(tmp_path / "l"))
-    assert back.count() == 2000 and viewport.in_box(back, Box(100, 100, 200, 200)).count() == viewport.in_box(df, Box(100, 100, 200, 200)).count()
+    old, new = Box(100, 100, 200, 200), Box(150, 120, 330, 210)
+    want = {b: {r["id"] for r in viewport.in_box(df, b).collect()} for b in (old, new)}
+    for layout in layouts.LAYOUTS:
+        path = f"{tmp_path}/{layout}"
+        layouts.write(df, path, Box(0, 0, 1000, 1000), layout, side=64)
+        back = layouts.Written(spark, path)
+        assert sorted(r["id"] for r in back.rows().collect()) == list(range(2000)), layout
+        for b in (old, new):
+            got = [r["id"] for r in back.in_box(b).collect()]
+            assert len(got) == len(set(got)) and set(got) == want[b], layout
+        assert {r["id"] for r in back.added(new, old).collect()} == want[new] - want[old]
+    plan = layouts.Written(spark, f"{tmp_path}/box").in_box(old)._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(maxx)" in plan
     assert place(df.select("id"), None, static=True).where("minx = 0 and maxx = 0").count() == 2000
 
 
@@ -316,18 +326,25 @@ def test_shapes():
 
 
 def test_engine(spark, tmp_path):
-    synthetic.uniform_points(spark, 3000, 1000, 1000).select("id", F.col("w").alias("x"), F.col("h").alias("y")).createOrReplaceTempView("pts")
+    points = synthetic.uniform_points(spark, 3000, 1000, 1000).select("id", F.col("w").alias("x"), F.col("h").alias("y"))
+    points.write.parquet(f"{tmp_path}/pts")
+    spark.read.parquet(f"{tmp_path}/pts").createOrReplaceTempView("pts")
     e = Engine(spark, str(tmp_path), log=True)
     p = project()
+    p.canvases["low"] = Canvas("low", 2000, 2000, (Layer(Transform("SELECT * FROM pts", columns=("id", "x", "y"), base=("pts", f"{tmp_path}/pts"), reverse={"y": lambda df: df["x"] * 2}), placement=MARK, delta=False, updates=True),))
     assert len(e.load(p)) == 3 and e.load(p) == []
+    assert Engine(spark, str(tmp_path)).load(p) == [], "what an earlier session built is not built again"
     whole = e.layer("top", 0)
     seen = []
-    e.on("pan", seen.append)
+    for event in ("pan", "zoom"):
+        e.on(event, lambda c, event=event: seen.append((event, c)))
     for x, y in ((400, 400), (420, 400), (600, 500), (0, 0)):
         state = e.pan("top", x, y, "v")[0]
         box = e._held[("top", "v")][0]
-        assert state.count() == viewport.in_box(whole, box).count(), "held and new rows are those of the box"
-    assert seen and "id" in e.object_data("top", "v", 0).columns
+        ids = [r["id"] for r in state.collect()]
+        assert len(ids) == len(set(ids)) == viewport.in_box(whole, box).count(), "held and new rows are those of the box"
+        assert "Union" not in state._jdf.queryExecution().toString(), "a state is read, not computed again"
+    assert ("pan", "top") in seen and "id" in e.object_data("top", "v", 0).columns
     tile = e.tile("top", 0, 0)
     assert tile[1].num_rows == viewport.in_box(whole, Box(0, 0, 1024, 1024)).count() and e.tile("top", 0, 0) is tile
     for i in range(1, 12):
@@ -341,10 +358,131 @@ def test_engine(spark, tmp_path):
     assert some.count() <= 1 and e.trigger_pan("v", one["cx"] - 50, one["cy"] - 50)[0].count() == 1
     j = e.project.add_jump(Jump("top", "low", "semantic_zoom", predicates=lambda row: {"layer0": {"==": ["id", str(row["id"])]}}, viewport=lambda row: {"centroid": {"layer0": {"==": ["id", str(row["id"])]}}}))
     assert [r["id"] for r in e.trigger_jump(j, "v", {"id": one["id"]})[0].collect()] == [one["id"]]
-    e.update("low", 0, spark.createDataFrame([(one["id"], 5)], "id long, x int"), ["id"])
+    e.pan("top", 300, 300, "v")
+    e.zoom("v", True)
+    assert e._at["v"] == ("low", 700.0, 700.0) and ("zoom", "low") in seen
+    assert e.update("low", 0, spark.createDataFrame([(one["id"], 5)], "id long, x int"), ["id"]) == 1
     assert e.layer("low", 0).where(F.col("id") == one["id"]).first()["x"] == 5 and e.layer("low", 0).count() == 3000
+    base = spark.table("pts").where(F.col("id") == one["id"]).first()
+    assert (base["x"], base["y"]) == (5, 10) and spark.table("pts").count() == 3000, "the base table changes too, through the reverse function"
     e.flush_log()
-    assert sinks.fetch_statistics(spark.read.parquet(f"{tmp_path}/stats")).first()["fetches"] >= 1
+    log = spark.read.parquet(f"{tmp_path}/stats")
+    assert {r["query_type"] for r in log.select("query_type").distinct().collect()} == {"dynamic_box", "tile", "update"} and log.where("fetch_time_ms <= 0").isEmpty()
+    assert log.where("query_type = 'dynamic_box'").agg(F.max("rows_fetched")).first()[0] > 100
+
+
+def test_views_of_jumps(spark, tmp_path):
+    """Load goes to the view named, highlight marks what is held there, slide moves by a viewport, the first call gives the initial state."""
+    synthetic.uniform_points(spark, 500, 1000, 1000).select("id", F.col("w").alias("x"), F.col("h").alias("y")).createOrReplaceTempView("pts")
+    p = project()
+    p.add_view(View("other", 300, 300, "low", 100, 200, {"layer0": {"==": ["id", "7"]}}))
+    load = p.add_jump(Jump("top", "low", "load", source_view="v", dest_view="other", viewport=lambda row: {"constant": (row["x"], 0)}))
+    mark = p.add_jump(Jump("top", "low", "highlight", source_view="v", dest_view="other", predicates=lambda row: {"layer0": {"==": ["id", str(row["id"])]}}))
+    slide = p.add_jump(Jump("top", "low", "slide", slide_direction=0))
+    e = Engine(spark, str(tmp_path))
+    e.load(p)
+    first = e.first("other")
+    assert first["viewport"] == (100, 200) and {r["id"] for r in first["rows"][0].collect()} <= {7} and first["canvases"]["top"] == (1000, 1000)
+    e.pan("top", 0, 0, "v")
+    rows = e.trigger_jump(load, "v", {"x": 400})
+    assert e._at["other"] == ("low", 400.0, 0.0) and e._at["v"][0] == "top"
+    some = rows[0].first()
+    lit = e.trigger_jump(mark, "v", {"id": some["id"]})[0]
+    assert [r["id"] for r in lit.where("highlighted").collect()] == [some["id"]] and lit.count() == rows[0].count()
+    e.trigger_jump(slide, "v", {})
+    assert e._at["v"] == ("low", 200.0, 0.0)
+
+
+def test_templates_are_built(spark, tmp_path):
+    """Pyramid, table, chart and map: load, pan, static rows, jump."""
+    r = np.random.default_rng(2)
+    rows = [(i, float(a), float(b), float(c), "uv"[i % 2], i % 5) for i, (a, b, c) in enumerate(r.uniform(0, 100, (400, 3)))]
+    spark.createDataFrame(rows, "id long, x double, y double, z double, d string, g int").createOrReplaceTempView("rows_t")
+    square = lambda lon, lat, s: f'{{"type":"Polygon","coordinates":[[[{lon},{lat}],[{lon},{lat + s}],[{lon + s},{lat + s}],[{lon + s},{lat}],[{lon},{lat}]]]}}'
+    spark.createDataFrame([("A", 1.0, square(-100, 38, 4)), ("B", 2.0, square(-90, 35, 3)), ("bad", 0.0, "{")], "name string, rate double, geomstr string").createOrReplaceTempView("states_t")
+    spark.createDataFrame([(f"c{i}", 1.0 * i, square(-100 + i, 38, 1)) for i in range(4)], "name string, rate double, geomstr string").createOrReplaceTempView("counties_t")
+    p = Project("t")
+    spec = PyramidSpec("id", "x", "y", "z", (0, 100), (0, 100), levels=2, top_width=400, top_height=400, mark_w=30, mark_h=30, theta=1.0, measures=("z",))
+    levels = add_pyramid(p, PyramidTemplate(spec, "SELECT * FROM rows_t", functions=("sum", "avg")))
+    grid = add_table(p, TableTemplate("rows_t", ("id", "x"), "z, id", group_by=("g",)))
+    plain = add_table(p, TableTemplate("rows_t", ("id", "x"), "z desc, id"))
+    bars = add_chart(p, ChartTemplate("SELECT * FROM rows_t", "bar", ("d",), "COUNT(*)", sample=("id",)))
+    states, counties = add_map(p, MapTemplate("states_t", "rate", "counties_t", zoom_factor=4, zoom_type="jump"))
+    p.add_view(View("v", 300, 300, levels[0].id))
+    e = Engine(spark, str(tmp_path), log=True)
+    e.load(p)
+
+    want = build_pyramid(spark.table("rows_t"), spec)
+    for level, c in enumerate(levels):
+        got = {t["id"]: t for t in e.layer(c.id, 1).collect()}
+        assert set(got) == {t["id"] for t in want.levels.where(F.col("level") == level).collect()}
+        assert sum(t["cluster_agg"]["count(*)"] for t in got.values()) == 400
+        assert sum(t["cluster_agg"]["sum(z)"] for t in got.values()) == pytest.approx(sum(v[3] for v in rows))
+        assert all(t["top"] and t["hull"] and t["d"] in "uv" for t in got.values())
+    assert len(e.layer(levels[2].id, 1).collect()) > len(e.layer(levels[0].id, 1).collect())
+    told = Engine(spark, str(tmp_path))
+    told.project = p
+    assert told.pyramid_information(levels[0].id, 1)["ranges"]["0"]["rough_n"] == e.layer(levels[0].id, 1).count()
+    e.pan(levels[0].id, 50, 50, "v")
+    assert e.zoom("v", True)[1].count() == viewport.in_box(e.layer(levels[1].id, 1), e._held[levels[1].id, "v"][0]).count()
+
+    assert e.size(grid.id) == (200.0, 400 * 40 + 50) and e.size(grid.id, {0: Equals("g", "3")}) == (200.0, 80 * 40 + 50)
+    one = e.layer(grid.id, 0).where("g = 3").orderBy("rn").collect()
+    assert [t["rn"] for t in one] == list(range(1, 81)) and one[0]["cell_y"] == 70.0 and one[0]["id"] == min((v[3], v[0]) for v in rows if v[5] == 3)[1]
+    e._predicates[grid.id, "v"] = {0: e.predicate(grid.id, 0, "(g='3')")}
+    assert {t["g"] for t in e.pan(grid.id, 0, 0, "v")[0].collect()} == {3}
+    assert sorted(t["rn"] for t in e.pan(plain.id, 0, 0, "v")[0].collect())[:3] == [1, 2, 3]
+    with pytest.raises(ValueError):
+        e.size(grid.id, {0: Equals("x", "1")})
+
+    size, chart = e.canvas(bars.id, {0: Equals("d", "u")})
+    assert size == (1000.0, 1000.0) and [(t["d"], t["agg_value"]) for t in chart[0].collect()] == [("u", 200)] and [t["id"] for t in chart[1].collect()] == list(range(75))
+    with pytest.raises(ValueError):
+        e.static_layer(bars.id, 0, Equals("x", "1"))
+
+    at = {t["name"]: t for t in e.layer(states.id, 1).collect()}
+    assert 0 < at["A"]["cx"] < at["B"]["cx"] < 2000 and (at["bad"]["cx"], at["bad"]["cy"]) == (0, 0)
+    j = p.jumps[-1]
+    assert navigation.applicable(p, states.id, {}, {"layer": 1}) == [j] and not navigation.applicable(p, states.id, {}, {"layer": 0})
+    seen = e.trigger_jump(j, "v", at["A"].asDict())
+    assert e._at["v"] == (counties.id, at["A"]["cx"] * 4 - 1000, at["A"]["cy"] * 4 - 500)
+    assert set(seen) == {1, 2} and {t["name"] for t in e.layer(counties.id, 2).collect()} == {"c0", "c1", "c2", "c3"}
+    for t in e.layer(counties.id, 1).where("name <> 'bad'").collect():
+        assert (t["cx"] / 4, t["cy"] / 4) == (pytest.approx(at[t["name"]]["cx"]), pytest.approx(at[t["name"]]["cy"]))
+
+
+def test_fingerprints():
+    """Whatever a transform's function reads changes the fingerprint: names it calls, captured values, constants, globals, nested functions."""
+
+    def of(function, query="q"):
+        return stale_layers(None, (p := make(function, query))) and fingerprint(p.canvases["c"], 0, p.params)
+
+    def make(function, query):
+        p = Project("p")
+        p.add_canvas(Canvas("c", 10, 10, (Layer(Transform(query, function=function, columns=("x", "y")), placement=MARK),)))
+        return p
+
+    def captured(n):
+        return lambda df: df.where(F.col("x") > n)
+
+    pairs = [
+        (lambda df: df.agg(F.min("x")), lambda df: df.agg(F.max("x"))),
+        (captured(1), captured(2)),
+        (lambda df: df.limit(1), lambda df: df.limit(2)),
+        (lambda df: [F.col(c) for c in ("a",)], lambda df: [F.col(c) for c in ("b",)]),
+        (lambda df, k=1: df, lambda df, k=2: df),
+    ]
+    for a, b in pairs:
+        assert of(a) != of(b)
+    assert of(captured(1)) == of(captured(1)) and of(captured(1), "q") != of(captured(1), "r")
+
+
+@pytest.mark.parametrize("lon,lat,x,y", [(-122.4194, 37.7749, 107.4, 214.1), (-74.0059, 40.7128, 794.6, 176.5), (-95.9928, 36.1540, 488.8, 298.0), (-149.9003, 61.2181, 171.2, 446.9), (-157.8583, 21.3069, 298.5, 451.0)])
+def test_composite_projection(lon, lat, x, y):
+    """Published sample positions of the public composite projection at its default scale."""
+    px, py = geo.albers_usa(np.array([lon]), np.array([lat]))
+    assert px[0] == pytest.approx(x, abs=0.1) and py[0] == pytest.approx(y, abs=0.1)
+    assert np.isnan(geo.albers_usa(np.array([2.35]), np.array([48.86]))[0][0])
 
 
 def test_documents_and_csv(spark, tmp_path):

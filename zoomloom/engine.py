@@ -1,4 +1,4 @@
-"""A session over a project: builds layers and answers viewport, tile, jump and update requests."""
+"""A session over a project: builds layers and answers viewport, tile, static, jump and update requests."""
 
 from __future__ import annotations
 
@@ -8,24 +8,29 @@ from collections import OrderedDict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zoomloom.operators import mutations, viewport
+from zoomloom.operators import charts, layouts, mutations, pyramid, tables, viewport
 from zoomloom.operators.placement import place
 from zoomloom.operators.viewport import Box
-from zoomloom.sources.sinks import log_fetch
+from zoomloom.session import discard, materialize
+from zoomloom.sources import manifest
+from zoomloom.sources.sinks import load_document, log_fetch, save_document
 from zoomloom.spec import navigation
-from zoomloom.spec.model import Project, stale_layers
-from zoomloom.spec.predicates import Everything, Predicate, parse_wire, to_column
+from zoomloom.spec.model import LITERAL_IN, LITERAL_OUT, Jump, Layer, Project, fingerprints, stale_layers
+from zoomloom.spec.predicates import Everything, Predicate, check_columns, from_json, parse_wire, to_column
 
 CACHED_TILES = 10
+EVENTS = ("pan", "zoom", "jumpstart", "jumpend")
 
 
 class Engine:
-    """folder: where built layers are written. Fetches return DataFrames; the tile cache holds collected Arrow tables."""
+    """folder: where built layers, documents and the log are written. Fetches run at once: their rows lie in the shared folder, so a state is
+    never computed again, and the log has the true time and number of rows. The tile cache holds Arrow tables of single tiles."""
 
     def __init__(self, spark: SparkSession, folder: str, log: bool = False):
         self.spark, self.folder, self.log = spark, folder.rstrip("/"), log
         self.project: Project | None = None
         self._tiles: OrderedDict = OrderedDict()
+        self._layers: dict[tuple[str, int], layouts.Written] = {}
         self._held: dict[tuple, tuple[Box, dict[int, DataFrame]]] = {}
         self._predicates: dict[tuple, dict[int, Predicate]] = {}
         self._at: dict[str, tuple[str, float, float]] = {}
@@ -35,14 +40,24 @@ class Engine:
     # building
 
     def load(self, p: Project, force: bool = False) -> list[tuple[str, int]]:
-        """Check a project and build the layers that changed; returns those built."""
+        """Check a project and build the layers that changed since it was last loaded, by this or an earlier session; returns those built."""
         p.check()
-        todo = stale_layers(None if force else self.project, p)
+        kept = None if force else self.project or load_document(self.spark, f"{self.folder}/projects", p.name)
+        todo = stale_layers(kept, p)
         self.project = p
         self._tiles.clear()
-        self._held.clear()
+        self._layers.clear()
+        self._drop_held()
+        built = set()
         for canvas, i in todo:
-            self.build(canvas, i)
+            layer = p.canvases[canvas].layers[i]
+            if layer.indexer == "pyramid":
+                if layer.detail[1] not in built:  # all levels of a pyramid are built together
+                    built.add(layer.detail[1])
+                    self._build_pyramid(layer)
+            else:
+                self.build(canvas, i)
+        save_document(self.spark, f"{self.folder}/projects", p.name, fingerprints(p))
         return todo
 
     def path(self, canvas: str, i: int) -> str:
@@ -51,101 +66,250 @@ class Engine:
     def build(self, canvas: str, i: int) -> None:
         c = self.project.canvases[canvas]
         layer = c.layers[i]
-        if layer.transform is None or layer.indexer in ("chart", "sample"):
+        if layer.transform is None or layer.indexer in ("chart", "sample"):  # answered from the source
             return
-        placed = place(layer.transform.rows(self.spark), layer.placement, layer.static)
+        rows = layer.transform.rows(self.spark)
+        if layer.indexer == "numbered":
+            t = layer.detail[0]
+            rows = tables.cell_position(tables.number_rows(rows, list(t.fields), t.order, list(t.group_by)), t.cell_height, t.heads_height, 0)
+        placed = place(rows, layer.placement, layer.static)
         if layer.static:
-            placed.write.mode("overwrite").parquet(self.path(canvas, i))
-        else:
-            size = Box(0, 0, max(c.w, 1), max(c.h, 1))
-            viewport.write_layer(placed, self.path(canvas, i), size, max(1, self.spark.sparkContext.defaultParallelism))
+            manifest.save_table(placed, self.path(canvas, i), layout="static", side=0)
+            return
+        w, h = self.size(canvas)
+        self._write(canvas, i, placed, w, h)
+
+    def _write(self, canvas: str, i: int, placed: DataFrame, w: float, h: float) -> None:
+        layer = self.project.canvases[canvas].layers[i]
+        layout = "tile" if layer.fetching == "tiling" and layer.layout == "box" and not layer.updates else layer.layout
+        layouts.write(placed, self.path(canvas, i), Box(0, 0, max(w, 1), max(h, 1)), layout)
+
+    def _build_pyramid(self, layer: Layer) -> None:
+        """Clusters of every level with the columns of their heads, aggregates, hulls and first members; value ranges go to a document."""
+        t, name, _ = layer.detail
+        spec = t.spec
+        rows = materialize(layer.transform.rows(self.spark))
+        made = pyramid.build_pyramid(rows, spec)
+        aggs = materialize(made.aggregates)
+        measures, dimensions = list(spec.measures), list(spec.dimensions)
+        keys = pyramid.cluster_keys(aggs, dimensions, measures, list(t.functions))
+        top = made.top.groupBy("level", "head").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda e: e["id"]).alias("top"))
+        told = keys.join(made.hulls, ["level", "head"]).join(top, ["level", "head"])
+        heads = made.levels.select("level", F.col("id").alias("head"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+        clusters = materialize(heads.join(told, ["level", "head"]).join(rows, F.col("head") == F.col(spec.id).cast("long")))
+        ranges = {str(r["level"]): {k: v for k, v in r.asDict().items() if k != "level"} for r in pyramid.measure_ranges(aggs, measures).collect()}  # one row a level
+        save_document(self.spark, f"{self.folder}/pyramids", f"{self.project.name}/{name}", {"ranges": ranges, "levels": spec.levels, "theta": spec.distance, "mode": t.mode})
+        for canvas, c in self.project.canvases.items():
+            for i, one in enumerate(c.layers):
+                if one.indexer == "pyramid" and one.detail[1] == name:
+                    own = clusters.where(F.col("level") == one.detail[2]).drop("level", "head")
+                    self._write(canvas, i, place(own, one.placement), c.w, c.h)
+
+    def pyramid_information(self, canvas: str, i: int) -> dict:
+        """What the build of a pyramid kept: value ranges of each level, number of levels, theta, mode."""
+        return load_document(self.spark, f"{self.folder}/pyramids", f"{self.project.name}/{self.project.canvases[canvas].layers[i].detail[1]}")
+
+    # reading
+
+    def written(self, canvas: str, i: int) -> layouts.Written:
+        if (canvas, i) not in self._layers:
+            self._layers[canvas, i] = layouts.Written(self.spark, self.path(canvas, i))
+        return self._layers[canvas, i]
 
     def layer(self, canvas: str, i: int) -> DataFrame:
-        return self.spark.read.parquet(self.path(canvas, i))
+        """Every row of a layer once."""
+        w = self.written(canvas, i)
+        return w.stored if w.layout == "static" else w.rows()
 
     def predicate(self, canvas: str, i: int, wire: str) -> Predicate:
+        t = self.project.canvases[canvas].layers[i].transform
+        return parse_wire(wire, t.filter_columns([] if t.filterable or t.columns else self._columns(canvas, i)))
+
+    def _columns(self, canvas: str, i: int) -> list[str]:
         layer = self.project.canvases[canvas].layers[i]
-        return parse_wire(wire, layer.transform.filter_columns(self.layer(canvas, i).columns))
+        return layer.transform.rows(self.spark).columns if layer.indexer in ("chart", "sample") else self.layer(canvas, i).columns
+
+    def _run(self, df: DataFrame) -> tuple[DataFrame, int]:
+        out = materialize(df)
+        return out, out.count()
 
     # fetching
 
     def dynamic_box(self, canvas: str, mx: float, my: float, view: str, predicates: dict[int, Predicate] | None = None, old: Box | None = None) -> tuple[Box, dict[int, DataFrame]]:
         """The box around a viewport and the rows of each dynamic, untiled layer; only what the old box lacks for delta layers."""
-        began = time.time()
+        began, total = time.time(), 0
         c, v = self.project.canvases[canvas], self.project.views[view]
-        w, h = self.size(canvas)
+        w, h = self.size(canvas, predicates)
         box = viewport.dynamic_box(mx, my, v.width, v.height, w, h)
         out = {}
         for i, layer in enumerate(c.layers):
-            if layer.static or layer.fetching == "tiling":
+            if layer.static or layer.fetching == "tiling" or layer.transform is None:
                 continue
-            rows = self.layer(canvas, i).where(to_column((predicates or {}).get(i, Everything())))
-            out[i] = viewport.delta_exclude(rows, box, old if layer.delta else None)
-        self._note(canvas, "pan", began)
+            rows = self.written(canvas, i).added(box, old if layer.delta else None)
+            out[i], n = self._run(rows.where(to_column((predicates or {}).get(i, Everything()))))
+            total += n
+        self._note(canvas, "dynamic_box", began, total)
         return box, out
 
     def pan(self, canvas: str, mx: float, my: float, view: str) -> dict[int, DataFrame]:
         """Client state after a pan: fetched only near the edge of what is held, without duplicates."""
         v = self.project.views[view]
-        w, h = self.size(canvas)
         key = (canvas, view)
         self._at[view] = (canvas, mx, my)
         held = self._held.get(key)
-        if held is not None and not viewport.needs_fetch(mx, my, v.width, v.height, held[0], w, h):
+        if held is not None and not viewport.needs_fetch(mx, my, v.width, v.height, held[0], *self.size(canvas, self._predicates.get(key))):
             return held[1]
         box, new = self.dynamic_box(canvas, mx, my, view, self._predicates.get(key), old=held[0] if held else None)
         layers = self.project.canvases[canvas].layers
-        state = {i: (viewport.incremental(df, held[1][i], box) if held and layers[i].delta else df) for i, df in new.items()}
+        state = {i: (materialize(viewport.incremental(df, held[1][i], box)) if held and layers[i].delta else df) for i, df in new.items()}
         self._held[key] = (box, state)
+        if held:
+            discard(*held[1].values(), *[df for i, df in new.items() if df is not state[i]])
         self._fire("pan", canvas)
         return state
 
     def tile(self, canvas: str, x: int, y: int, predicates: dict[int, Predicate] | None = None) -> dict:
         """Arrow tables of the tiled layers of a tile at pixel (x, y); the last few tiles are kept."""
-        viewport.check_tile(x, y)
+        tx, ty = viewport.check_tile(x, y)
         if canvas not in self.project.canvases:
             raise ValueError(f"no canvas {canvas!r}")
         key = (self.project.name, canvas, x, y, repr(predicates))
         if key in self._tiles:
             self._tiles.move_to_end(key)
             return self._tiles[key]
-        box = Box(x, y, x + viewport.TILE, y + viewport.TILE)
-        out = {}
+        began, out = time.time(), {}
         for i, layer in enumerate(self.project.canvases[canvas].layers):
             if not layer.static and layer.fetching == "tiling":
-                out[i] = viewport.in_box(self.layer(canvas, i), box).where(to_column((predicates or {}).get(i, Everything()))).toArrow()
+                w = self.written(canvas, i)
+                rows = w.tile(tx, ty) if w.layout == "tile" else w.in_box(Box(x, y, x + viewport.TILE, y + viewport.TILE))
+                out[i] = rows.where(to_column((predicates or {}).get(i, Everything()))).toArrow()
+        self._note(canvas, "tile", began, sum(t.num_rows for t in out.values()))
         self._tiles[key] = out
         if len(self._tiles) > CACHED_TILES:
             self._tiles.popitem(last=False)
         return out
 
     def static_layer(self, canvas: str, i: int, p: Predicate | None = None) -> DataFrame:
-        return self.layer(canvas, i).where(to_column(p or Everything()))
-
-    def size(self, canvas: str, where: str = "") -> tuple[float, float]:
-        """Width and height; size queries end in a WHERE, so a checked predicate can follow."""
+        """Rows of a static layer under a predicate. Charts and samples are aggregated from their source; the predicate holds before that."""
+        layer, p = self.project.canvases[canvas].layers[i], p or Everything()
+        if layer.transform is None:
+            return self.spark.createDataFrame([], "id long")
+        if layer.indexer not in ("chart", "sample"):
+            return self.layer(canvas, i).where(to_column(p))
+        t = layer.detail[0]
+        check_columns(p, t.filterable())
+        rows = layer.transform.rows(self.spark)
+        if layer.indexer == "chart":
+            return charts.chart(rows, t.kind, list(t.dimensions), t.measure, list(t.stack), to_column(p))
+        return charts.sample_layer(rows, [*t.dimensions, *t.stack, *t.sample], list(t.sample), to_column(p))
+
+    def canvas(self, canvas: str, predicates: dict[int, Predicate] | None = None) -> tuple[tuple[float, float], dict[int, DataFrame]]:
+        """Size of a canvas and the rows of its static layers under the predicates of these layers."""
+        began, total, out = time.time(), 0, {}
+        for i, layer in enumerate(self.project.canvases[canvas].layers):
+            if layer.static and layer.transform is not None:
+                out[i], n = self._run(self.static_layer(canvas, i, (predicates or {}).get(i)))
+                total += n
+        self._note(canvas, "static", began, total)
+        return self.size(canvas, predicates), out
+
+    def size(self, canvas: str, predicates: dict[int, Predicate] | None = None) -> tuple[float, float]:
+        """Width and height; where they depend on rows, on those that fit the checked predicate of the layer they go by."""
         c = self.project.canvases[canvas]
-        run = lambda q: float(self.spark.sql(q + where).first()[0] or 0)
+
+        def run(q) -> float:
+            p = (predicates or {}).get(q.layer, Everything())
+            rows = self.spark.sql(q.query)
+            check_columns(p, list(q.filterable) or rows.columns)
+            return float(rows.where(to_column(p)).agg(F.expr(q.value)).first()[0] or 0)
+
         return (float(c.w) if c.w > 0 else run(c.w_query)), (float(c.h) if c.h > 0 else run(c.h_query))
 
     def centroid(self, canvas: str, i: int, p: Predicate) -> tuple[float, float]:
         return navigation.centroid(self.layer(canvas, i), p)
 
-    def jump(self, j, view: str, row: dict) -> navigation.Target:
+    def first(self, view: str) -> dict:
+        """What a client needs to begin: canvases and jumps, and the view's first canvas, viewport and rows."""
+        v, p = self.project.views[view], self.project
+        self._predicates[v.initial_canvas, view] = {int(k.removeprefix("layer")): from_json(tree) for k, tree in v.initial_predicates.items()}
+        rows = self.pan(v.initial_canvas, v.initial_x, v.initial_y, view)
+        return {"name": p.name, "canvases": {n: self.size(n, self._predicates.get((n, view))) if c.fixed or n == v.initial_canvas else None for n, c in p.canvases.items()}, "jumps": [(j.source, j.dest, j.type) for j in p.jumps], "canvas": v.initial_canvas, "viewport": (v.initial_x, v.initial_y), "rows": rows}
+
+    # moving
+
+    def jump(self, j: Jump, view: str, row: dict) -> navigation.Target:
         self._fire("jumpstart", j.source)
         t = navigation.follow(self.project, j, self.project.views[view], row, lambda i, p: self.centroid(j.dest, i, p))
         self._fire("jumpend", t.canvas)
         return t
 
+    def trigger_jump(self, j: Jump, view: str, row: dict) -> dict[int, DataFrame]:
+        """Follow a jump. A load goes to the view that the jump names; a highlight marks the rows held there; a slide moves by one viewport;
+        other jumps take the view itself along. Without a viewport the corner stays where it is."""
+        t = self.jump(j, view, row)
+        if j.type == "highlight":
+            held = self.render_data(t.canvas, j.dest_view)
+            return {i: navigation.highlight(df, t.predicates[i]) for i, df in held.items()}
+        dest = j.dest_view or view if j.type == "load" else view
+        self._predicates[(t.canvas, dest)] = dict(enumerate(t.predicates))
+        self._forget((t.canvas, dest))
+        corner = t.corner or self._at.get(dest, ("", 0.0, 0.0))[1:]
+        if j.type == "slide" and t.corner is None:
+            v = self.project.views[dest]
+            corner = navigation.slide(corner, (v.width, v.height), j.slide_direction)
+        return self.pan(t.canvas, *corner, dest)
+
+    def zoom(self, view: str, inward: bool, at: tuple[float, float] | None = None) -> dict[int, DataFrame]:
+        """Literal zoom of a view: the point `at` of the viewport (its middle, if none is given) stays where it is."""
+        canvas, x, y = self._at[view]
+        v, kind = self.project.views[view], LITERAL_IN if inward else LITERAL_OUT
+        j = next((j for j in self.project.jumps if j.source == canvas and j.type == kind), None)
+        if j is None:
+            raise ValueError(f"no {kind} from {canvas!r}")
+        a, b = self.project.canvases[canvas], self.project.canvases[j.dest]
+        px, py = at or (v.width / 2, v.height / 2)
+        corner = ((x + px) * b.w / a.w - px, (y + py) * b.h / a.h - py)
+        corner = tuple(min(max(0.0, c), max(0.0, whole - part)) for c, whole, part in zip(corner, (b.w, b.h), (v.width, v.height)))
+        self._forget((j.dest, view))
+        self._fire("zoom", j.dest)
+        return self.pan(j.dest, *corner, view)
+
     # changing
 
-    def update(self, canvas: str, i: int, changes: DataFrame, keys: list[str]) -> None:
-        """Change rows of a layer by key; other levels are rebuilt by load(force=True)."""
-        if not self.project.canvases[canvas].layers[i].updates:
+    def update(self, canvas: str, i: int, changes: DataFrame, keys: list[str]) -> int:
+        """Change rows of a layer by key, and those of the base table where the transform names one; the number of files of the layer rewritten.
+
+        Columns of the base come from the transform's reverse functions or have the layer's names. Other levels are rebuilt by load(force=True).
+        """
+        layer = self.project.canvases[canvas].layers[i]
+        if not layer.updates:
             raise ValueError("this layer takes no updates")
-        mutations.rewrite(self.spark, self.path(canvas, i), lambda df: mutations.update_rows(df, changes, keys))
+        began = time.time()
+        w = self.written(canvas, i)
+        if w.layout == "grid":
+            raise ValueError("packed layers take no updates")
+        changes = materialize(changes)
+        n = manifest.change_table(self.spark, w.path, lambda df: df.join(changes.select(*keys).distinct(), keys, "left_semi"), lambda df: mutations.update_rows(df, changes, keys))
+        if layer.transform.base:
+            name, path = layer.transform.base
+            base = self.spark.read.parquet(path)
+            back = changes.select(*keys, *[f(changes).alias(c) for c, f in layer.transform.reverse.items() if c not in keys], *[c for c in mutations.changed_columns(changes.columns, base) if c not in keys and c not in layer.transform.reverse])
+            mutations.rewrite(self.spark, path, lambda df: mutations.update_rows(df, back, keys))
+            self.spark.read.parquet(path).createOrReplaceTempView(name)
+        self._layers.pop((canvas, i), None)
         self._tiles.clear()
-        self._held.clear()
+        self._drop_held()
+        self._note(canvas, "update", began, changes.count())
+        return n
+
+    def _forget(self, key: tuple) -> None:
+        held = self._held.pop(key, None)
+        if held:
+            discard(*held[1].values())
+
+    def _drop_held(self) -> None:
+        for key in list(self._held):
+            self._forget(key)
 
     # embedding
 
@@ -164,22 +328,14 @@ class Engine:
     def trigger_pan(self, view: str, x: float, y: float) -> dict[int, DataFrame]:
         return self.pan(self._at[view][0], x, y, view)
 
-    def trigger_jump(self, j, view: str, row: dict) -> dict[int, DataFrame]:
-        """Follow a jump and fetch where it leads; without a viewport the corner stays where it is."""
-        t = self.jump(j, view, row)
-        self._predicates[(t.canvas, view)] = dict(enumerate(t.predicates))
-        self._held.pop((t.canvas, view), None)
-        corner = t.corner or self._at.get(view, ("", 0.0, 0.0))[1:]
-        return self.pan(t.canvas, *corner, view)
-
     def re_render(self, view: str) -> dict[int, DataFrame]:
         """Fetch a view afresh."""
         canvas, x, y = self._at[view]
-        self._held.pop((canvas, view), None)
+        self._forget((canvas, view))
         return self.pan(canvas, x, y, view)
 
     def on(self, event: str, f) -> None:
-        if event not in ("pan", "zoom", "jumpstart", "jumpend"):
+        if event not in EVENTS:
             raise ValueError(f"unknown event {event!r}")
         self._listeners.setdefault(event, []).append(f)
 
@@ -187,7 +343,7 @@ class Engine:
         for f in self._listeners.get(event, []):
             f(canvas)
 
-    def _note(self, canvas: str, kind: str, began: float, rows: int = 0) -> None:
+    def _note(self, canvas: str, kind: str, began: float, rows: int) -> None:
         if self.log:
             self._entries.append((self.project.name, canvas, kind, (time.time() - began) * 1000, rows))
             if len(self._entries) >= 100:

@@ -1,4 +1,4 @@
-"""Map projections: Web Mercator as Columns, the Albers composite and GeoJSON centroids in Arrow batches, slippy tiles."""
+"""Map projections: Web Mercator as Columns, the Albers composite, Mercator shapes and GeoJSON centroids in Arrow batches, slippy tiles."""
 
 from __future__ import annotations
 
@@ -28,42 +28,74 @@ def geo_to_canvas(lon: Column, lat: Column, center: tuple[float, float], level:
     return x * F.lit(scale) - F.lit(cx - width / 2), y * F.lit(scale) - F.lit(cy - height / 2)
 
 
-def _albers(lon, lat, lat1, lat2, lon0, lat0):
-    """Albers equal-area conic, unit sphere."""
-    s1, s2 = math.sin(math.radians(lat1)), math.sin(math.radians(lat2))
+def _conic(lon, lat, parallels: tuple[float, float], rotate: float, center: tuple[float, float]):
+    """Albers equal-area conic on the unit sphere, y upward, with `center` (rotated longitude, latitude) at the origin."""
+    s1, s2 = (math.sin(math.radians(p)) for p in parallels)
     n = (s1 + s2) / 2
     c = 1 + s1 * (2 * n - s1)
-    r0 = math.sqrt(c - 2 * n * math.sin(math.radians(lat0))) / n
-    r = np.sqrt(np.maximum(c - 2 * n * np.sin(np.radians(lat)), 0)) / n
-    t = n * np.radians(lon - lon0)
-    return r * np.sin(t), r0 - r * np.cos(t)
+
+    def raw(l, phi):
+        r = np.sqrt(np.maximum(c - 2 * n * np.sin(np.radians(phi)), 0)) / n
+        return r * np.sin(n * np.radians(l)), math.sqrt(c) / n - r * np.cos(n * np.radians(l))
+
+    x, y = raw(np.mod(lon + rotate + 180.0, 360.0) - 180.0, lat)
+    x0, y0 = raw(center[0], center[1])
+    return x - x0, y - y0
 
 
 def albers_usa(lon: np.ndarray, lat: np.ndarray, scale: float = 1070.0, width: float = 960.0, height: float = 500.0):
-    """Composite projection of the 50 states: the lower 48, with Alaska and Hawaii moved below them (an approximation; see README)."""
-    x, y = _albers(lon, lat, 29.5, 45.5, -96.0, 38.7)
-    ax, ay = _albers(lon, lat, 55.0, 65.0, -154.0, 58.5)
-    hx, hy = _albers(lon, lat, 8.0, 18.0, -157.0, 20.5)
-    alaska = lat > 50
-    hawaii = (lat < 25) & (lon < -130)
-    px = np.where(alaska, ax * 0.35 - 0.307, np.where(hawaii, hx - 0.205, x))
-    py = np.where(alaska, ay * 0.35 - 0.201, np.where(hawaii, hy - 0.212, y))
-    return px * scale + width / 2, -py * scale + height / 2
+    """The public composite projection of the 50 states: the lower 48, with Alaska (at 0.35 of the scale) and Hawaii in frames below. Points in none of the three
+    frames are NaN."""
+    lon, lat = np.asarray(lon, dtype=float), np.asarray(lat, dtype=float)
+    # fixed values: parallels, rotation, centre, share of the scale, place, and frame (left, top, right, bottom) in units of the scale
+    parts = [
+        ((29.5, 45.5), 96.0, (-0.6, 38.7), 1.0, (0.0, 0.0), (-0.455, -0.238, 0.455, 0.238)),
+        ((55.0, 65.0), 154.0, (-2.0, 58.5), 0.35, (-0.307, 0.201), (-0.425, 0.120, -0.214, 0.234)),
+        ((8.0, 18.0), 157.0, (-3.0, 19.9), 1.0, (-0.205, 0.212), (-0.214, 0.166, -0.115, 0.234)),
+    ]
+    px, py = np.full(lon.shape, np.nan), np.full(lon.shape, np.nan)
+    for parallels, rotate, center, share, (dx, dy), (x0, y0, x1, y1) in parts:
+        x, y = _conic(lon, lat, parallels, rotate, center)
+        x, y = x * share + dx, dy - y * share
+        hit = np.isnan(px) & (x >= x0) & (x <= x1) & (y >= y0) & (y <= y1)
+        px, py = np.where(hit, x, px), np.where(hit, y, py)
+    return px * scale + width / 2, py * scale + height / 2
+
+
+def mercator_shape(lon: np.ndarray, lat: np.ndarray, scale: float, width: float, height: float):
+    """Mercator with (-98.5, 39.5) in the middle."""
+    up = lambda v: np.log(np.tan(math.pi / 4 + np.radians(v) / 2))
+    return scale * np.radians(np.asarray(lon, dtype=float) + 98.5) + width / 2, height / 2 - scale * (up(np.asarray(lat, dtype=float)) - up(39.5))
+
+
+PROJECTIONS = ("albers", "mercator")
+
+
+def projection(name: str, width: float, height: float):
+    """The projection of a map canvas: lon, lat arrays to pixels."""
+    if name == "albers":
+        return lambda lon, lat: albers_usa(lon, lat, width, width, height)
+    if name == "mercator":
+        return lambda lon, lat: mercator_shape(lon, lat, 8192 / (2 * math.pi) * width / 2000, width, height)
+    raise ValueError(f"unknown projection {name!r}")
 
 
 def _rings(geometry: dict) -> list[np.ndarray]:
+    """All rings, holes among them; holes run the other way round, so they take away from area and centroid."""
     kind, c = geometry.get("type"), geometry.get("coordinates") or []
     if kind == "Polygon":
-        return [np.asarray(r, dtype=float) for r in c[:1]]
+        return [np.asarray(r, dtype=float) for r in c]
     if kind == "MultiPolygon":
-        return [np.asarray(p[0], dtype=float) for p in c if p]
-    if kind == "Point":
-        return [np.asarray([c], dtype=float)]
+        return [np.asarray(r, dtype=float) for p in c for r in p]
+    if kind in ("Point", "MultiPoint"):
+        return [np.asarray([c] if kind == "Point" else c, dtype=float)]
+    if kind == "GeometryCollection":
+        return [r for g in geometry.get("geometries") or [] for r in _rings(g)]
     return []
 
 
 def shape_of(text: str | None, project) -> tuple[float, float, float, float]:
-    """(centroid x, centroid y, width, height) of a projected GeoJSON geometry; 0 where it is bad or empty. Planar centroid."""
+    """(centroid x, centroid y, width, height) of a projected GeoJSON geometry; 0 where it is bad, empty or off the map. Edges are straight on the map."""
     try:
         g = json.loads(text or "")
         rings = _rings(g.get("geometry", g))
@@ -71,6 +103,8 @@ def shape_of(text: str | None, project) -> tuple[float, float, float, float]:
         points = []
         for r in rings:
             x, y = project(r[:, 0], r[:, 1])
+            seen = np.isfinite(x) & np.isfinite(y)
+            x, y = x[seen], y[seen]
             points.append(np.stack([x, y], 1))
             x2, y2 = np.roll(x, -1), np.roll(y, -1)
             cross = x * y2 - x2 * y
@@ -84,9 +118,15 @@ def shape_of(text: str | None, project) -> tuple[float, float, float, float]:
         return (0.0, 0.0, 0.0, 0.0)
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("cx", "cy", "width", "height")]))
-def geojson_albers(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([shape_of(t, albers_usa) for t in text], columns=["cx", "cy", "width", "height"])
+def geojson_shape(name: str, width: float, height: float):
+    """Function of a GeoJSON column: (cx, cy, width, height) on a map canvas, in Arrow batches."""
+
+    @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("cx", "cy", "width", "height")]))
+    def shape(text: pd.Series) -> pd.DataFrame:
+        project = projection(name, width, height)
+        return pd.DataFrame([shape_of(t, project) for t in text], columns=["cx", "cy", "width", "height"])
+
+    return shape
 
 
 def slippy_tiles(df: DataFrame, minx: str, miny: str, maxx: str, maxy: str, level: int) -> DataFrame:

@@ -25,14 +25,18 @@ def changed_columns(attributes: list[str], base: DataFrame) -> list[str]:
 
 
 def rewrite(spark: SparkSession, path: str, change) -> None:
-    """Replace a written table by change(table): written beside it first, then swapped, so a failure leaves the old one."""
-    fresh = f"{path}.{uuid.uuid4().hex}"
+    """Replace a Parquet table by change(table). Written beside it, then both are renamed; if that fails the old table is put back."""
+    fresh, aside = (f"{path}.{what}-{uuid.uuid4().hex}" for what in ("new", "old"))
     change(spark.read.parquet(path)).write.parquet(fresh)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, source = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
+    target, source, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh, aside))
     fs = target.getFileSystem(conf)
-    fs.delete(target, True)
-    fs.rename(source, target)
+    if not fs.rename(target, old):
+        raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(source, target):
+        fs.rename(old, target)
+        raise OSError(f"{path} could not be replaced")
+    fs.delete(old, True)
 
 
 def reverse_time(x: Column, first: str, days: int, out: tuple[float, float]) -> dict[str, Column]:

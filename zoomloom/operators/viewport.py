@@ -1,7 +1,6 @@
 """Viewport queries over placed layers: boxes, deltas, tiles, grids, slabs, strips and KD leaves.
 
-Boxes are four double columns; every test is on closed intervals. Written layers are range-partitioned and sorted
-along a Z-order, so that Parquet's min/max statistics prune them.
+Boxes are four double columns; every test is on closed intervals. Layers are written by operators.layouts.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 TILE = 1024
 CELL = 1000
+BOX_COLUMNS = ("cx", "cy", "minx", "miny", "maxx", "maxy")
 
 
 @dataclass(frozen=True)
@@ -107,8 +107,8 @@ def needs_fetch(vx: float, vy: float, vw: float, vh: float, box: Box | None, cw:
 
 
 def incremental(new: DataFrame, held: DataFrame, b: Box) -> DataFrame:
-    """Client state after a delta fetch: new rows and held rows that still touch the box, without duplicates."""
-    return new.unionByName(in_box(held, b)).dropDuplicates()
+    """Client state after a delta fetch: new rows, which do not touch the box held before, and held rows that touch the new one; disjoint."""
+    return new.unionByName(in_box(held, b))
 
 
 # tiles
@@ -146,14 +146,14 @@ def fetch_tiles(tiled: DataFrame, tiles: list[tuple[int, int]]) -> DataFrame:
     return tiled.where(cond).drop("tile_x", "tile_y").dropDuplicates()
 
 
-def tile_index(df: DataFrame, key: str, side: int = TILE) -> DataFrame:
-    """The side table (key, tile_x, tile_y) of the join layout."""
-    return assign_tiles(df.select(key, "minx", "miny", "maxx", "maxy"), side).select(key, "tile_x", "tile_y")
+def tile_index(df: DataFrame, keys: list[str], side: int = TILE) -> DataFrame:
+    """The side table (keys..., tile_x, tile_y) of the join layout; keys tell the rows apart."""
+    return assign_tiles(df.select(*keys, "minx", "miny", "maxx", "maxy"), side).select(*keys, "tile_x", "tile_y")
 
 
-def fetch_by_index(df: DataFrame, index: DataFrame, key: str, x: int, y: int) -> DataFrame:
+def fetch_by_index(df: DataFrame, index: DataFrame, keys: list[str], x: int, y: int) -> DataFrame:
     """Rows of a tile through the side table; Spark broadcasts the tile's keys where their size allows."""
-    return df.join(index.where((F.col("tile_x") == x) & (F.col("tile_y") == y)).select(key), key, "left_semi")
+    return df.join(index.where((F.col("tile_x") == x) & (F.col("tile_y") == y)).select(*keys), keys, "left_semi")
 
 
 # other layouts
@@ -232,9 +232,3 @@ def z_order(x: Column, y: Column, extent: Box, bits: int = 12) -> Column:
     for i in range(bits):
         code = code.bitwiseOR(F.shiftleft(F.shiftright(a, i).bitwiseAND(F.lit(1).cast("long")), 2 * i)).bitwiseOR(F.shiftleft(F.shiftright(b, i).bitwiseAND(F.lit(1).cast("long")), 2 * i + 1))
     return code
-
-
-def write_layer(df: DataFrame, path: str, extent: Box, files: int) -> None:
-    """Write a layer clustered for box queries: range-partitioned and sorted by Z-order of the centres. Replaces what is there."""
-    z = df.withColumn("__z", z_order(F.col("cx"), F.col("cy"), extent))
-    z.repartitionByRange(files, "__z").sortWithinPartitions("__z").drop("__z").write.mode("overwrite").parquet(path)

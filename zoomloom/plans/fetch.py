@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zoomloom.functions import scales
-from zoomloom.operators import mutations, viewport
+from zoomloom.operators import layouts, mutations, viewport
 from zoomloom.operators.placement import BOX, Placement, place, project_layer, wire_rows
 from zoomloom.operators.viewport import Box
-from zoomloom.session import table
+from zoomloom.session import shared_dir, table
 from zoomloom.spec import navigation
 from zoomloom.spec.predicates import Both, Equals, parse_wire, to_column
 
@@ -25,38 +26,51 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return place(t, MARKS)
 
 
+_written: dict[tuple, layouts.Written] = {}
+
+
+def layer(spark: SparkSession, d: str, layout: str = "box", rows=None) -> layouts.Written:
+    """lineitem as a written layer: built once a session from the whole table, then queried as a client would."""
+    key = (spark.sparkContext.applicationId, d, layout)
+    if key not in _written:
+        path = f"{shared_dir(spark)}/layer-{layout}-{uuid.uuid4().hex}"
+        layouts.write((rows or items)(spark, d), path, Box(0, 0, 10_000, 5_000), layout)
+        _written[key] = layouts.Written(spark, path)
+    return _written[key]
+
+
 def _keys(df: DataFrame) -> DataFrame:
     return df.select(*KEYS, F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
 def viewport_box(spark, d):
-    return _keys(viewport.in_box(items(spark, d), NEW))
+    return _keys(layer(spark, d).in_box(NEW))
 
 
 def viewport_box_predicate(spark, d):
     p = parse_wire("((l_returnflag='R') AND (l_linestatus='F'))", ["l_returnflag", "l_linestatus"])
-    return _keys(viewport.in_box(items(spark, d), NEW).where(to_column(p)))
+    return _keys(layer(spark, d).in_box(NEW).where(to_column(p)))
 
 
 def dynamic_box(spark, d):
-    return _keys(viewport.in_box(items(spark, d), viewport.dynamic_box(2500, 1200, 1000, 800, 10_000, 5_000)))
+    return _keys(layer(spark, d).in_box(viewport.dynamic_box(2500, 1200, 1000, 800, 10_000, 5_000)))
 
 
 def delta_exclude(spark, d):
-    return _keys(viewport.delta_exclude(items(spark, d), NEW, OLD))
+    return _keys(layer(spark, d).added(NEW, OLD))
 
 
 def delta_region(spark, d):
-    return _keys(viewport.delta_region(items(spark, d), NEW, OLD))
+    return _keys(viewport.delta_region(layer(spark, d).stored, NEW, OLD))
 
 
 def center_box(spark, d):
-    return _keys(viewport.centers_in_box(items(spark, d), NEW, 40, 20, OLD))
+    return _keys(viewport.centers_in_box(layer(spark, d).stored, NEW, 40, 20, OLD))
 
 
 def incremental_state(spark, d):
-    rows = _boxed(items(spark, d))
-    return viewport.incremental(viewport.delta_exclude(rows, NEW, OLD), viewport.in_box(rows, OLD), NEW).select(*KEYS)
+    rows = layer(spark, d)
+    return viewport.incremental(_boxed(rows.added(NEW, OLD)), _boxed(rows.in_box(OLD)), NEW).select(*KEYS)
 
 
 def _boxed(df: DataFrame) -> DataFrame:
@@ -68,14 +82,23 @@ def tile_assign(spark, d):
 
 
 def tile_fetch(spark, d):
-    rows = items(spark, d)
-    rows = rows.withColumn("tuple_id", F.xxhash64(*rows.columns))
-    return viewport.fetch_by_index(rows, viewport.tile_index(rows, "tuple_id"), "tuple_id", 2, 1).select(*KEYS)
+    return layer(spark, d, "tile").tile(2, 1).select(*KEYS)
+
+
+def tile_join(spark, d):
+    """The join layout: a side table of tiles, joined by the key of the rows (line numbers repeat within an order, so price and quantity belong to it)."""
+    rows, key = items(spark, d), [*KEYS, "l_extendedprice", "l_quantity"]
+    return viewport.fetch_by_index(rows, viewport.tile_index(rows, key), key, 2, 1).select(*KEYS)
+
+
+def tile_box(spark, d):
+    """A box over the tiled layer: each row once, though it lies in several tiles."""
+    return _keys(layer(spark, d, "tile").in_box(NEW))
 
 
 def tile_union_dedup(spark, d):
     tiles = viewport.viewport_tiles(1500, 900, 2000, 1000, 10_000, 5_000)
-    return viewport.fetch_tiles(viewport.assign_tiles(_boxed(items(spark, d))), tiles).select(*KEYS)
+    return viewport.fetch_tiles(layer(spark, d, "tile").stored.select(*KEYS, *BOX, "tile_x", "tile_y"), tiles).select(*KEYS)
 
 
 def grid_pack(spark, d):
@@ -84,29 +107,30 @@ def grid_pack(spark, d):
 
 
 def grid_unpack_region(spark, d):
-    return viewport.unpack_grid(viewport.pack_grid(_boxed(items(spark, d)), KEYS), NEW).select(*KEYS)
+    return layer(spark, d, "grid").in_box(NEW).select(*KEYS)
 
 
-def cube_region(spark, d):
+def _slab(spark: SparkSession, d: str) -> DataFrame:
     orders = place(table(spark, d, "orders").withColumns({"px": scales.linear(F.col("o_totalprice"), (0, 500_000), (0, 10_000)), "py": F.pmod("o_custkey", F.lit(5000)).cast("double")}), MARKS)
-    both = viewport.as_slab(orders.select(F.col("o_orderkey").alias("key"), *BOX), 0).unionByName(viewport.as_slab(items(spark, d).select(F.col("l_orderkey").alias("key"), *BOX), 1))
-    return viewport.in_slab(both, 0, NEW).select("key", "canvas_idx")
+    return viewport.as_slab(orders.select(F.col("o_orderkey").alias("key"), *BOX), 0).unionByName(viewport.as_slab(items(spark, d).select(F.col("l_orderkey").alias("key"), *BOX), 1))
+
+
+def cube_region(spark, d):
+    return layer(spark, d, "slab", _slab).in_box(NEW, canvas=0).select("key", F.lit(0).alias("canvas_idx"))
 
 
 def xpartition_region(spark, d):
-    return viewport.in_strips(viewport.x_strips(items(spark, d), 10_000), NEW, 10_000, 20).select(*KEYS, "strip")
+    strips = layer(spark, d, "strip")
+    return viewport.in_strips(strips.stored, NEW, strips.told["width"], strips.told["half"]).select(*KEYS, "strip")
 
 
 def kd_leaf_counts(spark, d):
-    rows = items(spark, d)
-    splits = viewport.kd_splits(rows)
-    total = F.sum("n").over(W.partitionBy())
-    sizes = rows.groupBy(viewport.kd_leaf(F.col("cx"), splits).alias("leaf")).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.select("leaf", (F.abs(F.col("n") / total - 0.25) <= 0.01).alias("balanced"))
+    """Rows of each leaf of given splits; a value on a split lies left of it."""
+    return items(spark, d).groupBy(viewport.kd_leaf(F.col("cx"), [1500.0, 3000.0, 5000.0]).alias("leaf")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def layer_projection(spark, d):
-    return project_layer(viewport.in_box(items(spark, d), NEW), ["l_orderkey", "l_linenumber", "l_returnflag"]).select(*KEYS, "l_returnflag", *[F.round(c, 6).alias(c) for c in BOX])
+    return project_layer(layer(spark, d).in_box(NEW), ["l_orderkey", "l_linenumber", "l_returnflag"]).select(*KEYS, "l_returnflag", *[F.round(c, 6).alias(c) for c in BOX])
 
 
 def wire_dictionaries(spark, d):
@@ -172,7 +196,7 @@ def update_rows(spark, d):
     return mutations.update_rows(t, changes, ["o_orderkey"]).select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 4).alias("o_totalprice"))
 
 
-QUERIES = {f.__name__: f for f in (viewport_box, viewport_box_predicate, dynamic_box, delta_exclude, delta_region, center_box, incremental_state, tile_assign, tile_fetch, tile_union_dedup, grid_pack, grid_unpack_region, cube_region, xpartition_region, kd_leaf_counts, layer_projection, wire_dictionaries, full_placement, grid_slots, ratio_rescale, timeline_lane, reverse_transform, dot_tiles, centroid_lookup, jump_semijoin, jump_predicate, highlighted, update_rows)}
+QUERIES = {f.__name__: f for f in (viewport_box, viewport_box_predicate, dynamic_box, delta_exclude, delta_region, center_box, incremental_state, tile_assign, tile_fetch, tile_join, tile_box, tile_union_dedup, grid_pack, grid_unpack_region, cube_region, xpartition_region, kd_leaf_counts, layer_projection, wire_dictionaries, full_placement, grid_slots, ratio_rescale, timeline_lane, reverse_transform, dot_tiles, centroid_lookup, jump_semijoin, jump_predicate, highlighted, update_rows)}
 
 _ITEMS = """WITH c AS (SELECT *, (l_extendedprice - 0e0) / 100000e0 * 10000e0 + 0e0 AS cx, (l_quantity - 0e0) / 50e0 * 5000e0 + 0e0 AS cy FROM lineitem),
 b AS (SELECT *, cx - 20 AS minx, cy - 10 AS miny, cx + 20 AS maxx, cy + 10 AS maxy FROM c)
@@ -195,13 +219,15 @@ ORACLE = {
 y AS (SELECT tile_x, unnest(range(greatest(0, CAST(floor(miny / 1024) AS BIGINT)), CAST(floor(maxy / 1024) AS BIGINT) + 1)) AS tile_y FROM x)
 SELECT tile_x, tile_y, count(*) AS n FROM y GROUP BY ALL""",
     "tile_fetch": _ITEMS + _ID + "floor(minx / 1024) <= 2 AND floor(maxx / 1024) >= 2 AND floor(miny / 1024) <= 1 AND floor(maxy / 1024) >= 1",
+    "tile_join": _ITEMS + _ID + "floor(minx / 1024) <= 2 AND floor(maxx / 1024) >= 2 AND floor(miny / 1024) <= 1 AND floor(maxy / 1024) >= 1",
+    "tile_box": _ITEMS + _SHOW + _IN_NEW,
     "tile_union_dedup": _ITEMS + _ID + "floor(minx / 1024) <= 3 AND floor(maxx / 1024) >= 1 AND floor(miny / 1024) <= 1 AND floor(maxy / 1024) >= 0",
     "grid_pack": _ITEMS + "SELECT CAST(trunc(trunc(cx) / 1000) AS BIGINT) AS grid_x, CAST(trunc(trunc(cy) / 1000) AS BIGINT) AS grid_y, count(*) AS n, round(min(minx), 6) AS minx, round(min(miny), 6) AS miny, round(max(maxx), 6) AS maxx, round(max(maxy), 6) AS maxy FROM b GROUP BY ALL",
     "grid_unpack_region": _ITEMS + _ID + _IN_NEW,
     "cube_region": """WITH c AS (SELECT o_orderkey AS key, (o_totalprice - 0e0) / 500000e0 * 10000e0 + 0e0 AS cx, CAST(o_custkey % 5000 AS DOUBLE) AS cy FROM orders)
 SELECT key, 0 AS canvas_idx FROM c WHERE cx + 20 >= 2000 AND cx - 20 <= 4000 AND cy + 10 >= 1000 AND cy - 10 <= 2500""",
     "xpartition_region": _ITEMS + f"SELECT l_orderkey, l_linenumber, CAST(greatest(0, least(49, floor(cx / 200))) AS INTEGER) AS strip FROM b WHERE {_IN_NEW}",
-    "kd_leaf_counts": "SELECT CAST(i AS INTEGER) AS leaf, TRUE AS balanced FROM range(4) AS t(i)",
+    "kd_leaf_counts": _ITEMS + "SELECT CASE WHEN cx <= 1500 THEN 0 WHEN cx <= 3000 THEN 1 WHEN cx <= 5000 THEN 2 ELSE 3 END AS leaf, count(*) AS n FROM b GROUP BY ALL",
     "layer_projection": _ITEMS + f"SELECT l_orderkey, l_linenumber, l_returnflag, round(cx, 6) AS cx, round(cy, 6) AS cy, round(minx, 6) AS minx, round(miny, 6) AS miny, round(maxx, 6) AS maxx, round(maxy, 6) AS maxy FROM b WHERE {_IN_NEW}",
     "wire_dictionaries": "SELECT CAST(id AS VARCHAR) AS id, coalesce(abbr, '') AS abbr, coalesce(CAST(rank AS VARCHAR), '') AS rank FROM (SELECT DISTINCT id, abbr, rank FROM teams WHERE id IS NOT NULL)",
     "full_placement": f"SELECT n_nationkey, 0e0 AS cx, 0e0 AS cy, {-2147483647 / 2}::DOUBLE AS minx, {-2147483647 / 2}::DOUBLE AS miny, {2147483647 / 2}::DOUBLE AS maxx, {2147483647 / 2}::DOUBLE AS maxy FROM nation",

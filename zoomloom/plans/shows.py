@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,7 +137,7 @@ def state_shapes(spark, d):
     lon, lat = -120 + F.col("n_nationkey") * 2.0, 30 + F.col("n_nationkey") * 0.5
     corner = lambda a, b: F.array(lon + a, lat + b)
     shape = F.struct(F.lit("Polygon").alias("type"), F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))).alias("coordinates"))
-    return table(spark, d, "nation").select("n_nationkey", geo.geojson_albers(F.to_json(shape)).alias("s")).select("n_nationkey", "s.*")
+    return table(spark, d, "nation").select("n_nationkey", geo.geojson_shape("albers", 960, 500)(F.to_json(shape)).alias("s")).select("n_nationkey", "s.*")
 
 
 def density_grid(spark, d):
@@ -170,14 +171,14 @@ def windowed_log(spark, d):
 
 
 def csv_roundtrip(spark, d):
-    path = f"{shared_dir(spark)}/nation-csv"
+    path = f"{shared_dir(spark)}/nation-csv-{uuid.uuid4().hex}"
     table(spark, d, "nation").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     return readers.load_csv(spark, path, "nation_csv", schema="n_nationkey int, n_name string, n_regionkey int")
 
 
 def schema_scan(spark, d):
     _views(spark, d, "lineitem")
-    names = readers.column_names(spark, "SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey")
+    names = readers.column_names(spark, "SELECT * FROM lineitem WHERE l_quantity > 10")
     return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, name string")
 
 
@@ -187,8 +188,8 @@ def score_text(spark, d):
 
 
 def parsed_numbers(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.coalesce(F.col("docket"), F.lit("")).alias("t"))
-    return t.select("doc_id", F.round(scales.parse_number(F.concat(F.col("doc_id").cast("string"), F.lit(",500 "), F.col("t"))), 3).alias("v"))
+    """The running number of each docket, as the number that its second word starts with."""
+    return table(spark, d, "documents").select("doc_id", scales.parse_number(F.substring_index("docket", " ", -1)).alias("v"))
 
 
 QUERIES = {f.__name__: f for f in (static_agg_pie, static_agg_bar, static_agg_treemap, static_agg_pack, static_agg_cloud, static_agg_stacked, static_agg_filtered, static_sample, pie_angles, stacked_bar_layout, filled_domain, radar_layout, table_rownum, table_rownum_grouped, table_canvas_height, join_two_table, join_self_dim, cross_pairs, games_with_teams, team_grid, choropleth_bins, geo_mercator, map_tiles, state_shapes, density_grid, density_contours, heat_alpha, heat_cells, stats_rollup, windowed_log, csv_roundtrip, schema_scan, score_text, parsed_numbers)}
@@ -239,8 +240,8 @@ SELECT DISTINCT viewport_id, ((tx % 4096) + 4096) % 4096 AS tile_x, ty AS tile_y
     "stats_rollup": "WITH t AS (SELECT DISTINCT * EXCLUDE (received_at) FROM stats WHERE fetch_time_ms >= 0 AND NOT isnan(fetch_time_ms) AND rows_fetched >= 0 AND query_type IS NOT NULL) SELECT query_type, count(*) AS fetches, round(avg(fetch_time_ms), 4) AS mean_ms, CAST(sum(rows_fetched) AS BIGINT) AS rows FROM t GROUP BY ALL",
     "windowed_log": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "csv_roundtrip": "SELECT * FROM nation",
-    "schema_scan": "SELECT * FROM (VALUES (0, 'l_orderkey'), (1, 'q')) AS t(i, name)",
+    "schema_scan": "SELECT cid AS i, name FROM pragma_table_info('lineitem')",
     "score_text": """WITH t AS (SELECT id, concat_ws(' - ', home_score, away_score) AS s, home_score AS h, away_score AS a FROM games)
 SELECT id, CASE WHEN h IS NOT NULL AND a IS NOT NULL THEN concat_ws(' - ', a, h) ELSE s END AS swapped, CASE WHEN length(s) > 3 THEN s[1:3] || '...' ELSE s END AS label FROM t""",
-    "parsed_numbers": "SELECT doc_id, CAST(doc_id || '500' AS DOUBLE) AS v FROM documents",
+    "parsed_numbers": "SELECT doc_id, coalesce(try_cast(regexp_extract(string_split(docket, ' ')[-1], '^-?[0-9]+([.][0-9]+)?') AS DOUBLE), 0e0) AS v FROM documents",
 }

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zoomloom.sources import manifest
+
 LOG = "project_name string, canvas_id string, query_type string, fetch_time_ms double, rows_fetched long, logged_at double"
 
 
@@ -18,15 +21,19 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def save_document(spark: SparkSession, path: str, key: str, content: dict) -> None:
-    """Put one JSON document under a key, replacing an earlier one. The table stays as small as the number of projects."""
-    fresh = spark.createDataFrame([(key, json.dumps(content, sort_keys=True, default=str), time.time())], "name string, content string, saved_at double")
-    fresh.coalesce(1).write.mode("append").parquet(path)
+    """Put one JSON document under a key, replacing an earlier one; no job runs."""
+    manifest.write_text(spark, f"{path}/{_name(key)}.json", json.dumps(content, sort_keys=True, default=str))
 
 
 def load_document(spark: SparkSession, path: str, key: str) -> dict | None:
-    """The latest document under a key."""
-    rows = spark.read.parquet(path).where(F.col("name") == key).orderBy(F.desc("saved_at")).limit(1).collect()
-    return json.loads(rows[0]["content"]) if rows else None
+    """The document under a key."""
+    text = manifest.read_text(spark, f"{path}/{_name(key)}.json")
+    return json.loads(text) if text else None
+
+
+def _name(key: str) -> str:
+    """A file name for any key."""
+    return re.sub(r"[^\w-]", lambda m: f"%{ord(m.group()):x}.", key)
 
 
 def log_fetch(spark: SparkSession, path: str, entries: list[tuple]) -> None:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import dataclasses
+import functools
 import hashlib
 import json
+import types
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -37,7 +39,11 @@ class View:
 
 @dataclass(frozen=True)
 class Transform:
-    """A query and a function DataFrame -> DataFrame; columns are declared where a function is given, else inferred."""
+    """A query and a function DataFrame -> DataFrame; columns are declared where a function is given, else inferred.
+
+    base is (table name, Parquet path) of the table that updates of the layer are written back to; reverse maps its columns to functions of the
+    layer's columns.
+    """
 
     query: str = ""
     function: Callable[[DataFrame], DataFrame] | None = None
@@ -45,6 +51,7 @@ class Transform:
     filterable: tuple[str, ...] = ()
     reverse: dict[str, Callable] = field(default_factory=dict)
     separable: bool = True
+    base: tuple[str, str] | None = None
 
     def __post_init__(self):
         if self.function is not None and not self.columns:
@@ -71,6 +78,8 @@ class Layer:
     delta: bool = True
     indexer: str = "box"
     updates: bool = False
+    layout: str = "box"
+    detail: tuple = ()
     tooltip: tuple[str, ...] = ()
     aliases: tuple[str, ...] = ()
 
@@ -79,22 +88,36 @@ class Layer:
             raise SpecError("a dynamic layer needs a transform")
         if self.fetching not in ("dbox", "tiling"):
             raise SpecError("fetching is dbox or tiling")
+        if self.indexer not in ("box", "pyramid", "numbered", "chart", "sample"):
+            raise SpecError(f"unknown indexer {self.indexer!r}")
+        if self.layout not in ("box", "tile", "grid", "strip", "slab"):
+            raise SpecError(f"unknown layout {self.layout!r}")
         if self.static and self.fetching == "tiling":
             raise SpecError("a static layer is not tiled")
         if self.aliases and len(self.aliases) != len(self.tooltip):
             raise SpecError("as many tooltip aliases as columns")
 
 
+@dataclass(frozen=True)
+class SizeQuery:
+    """A size that depends on the rows: an aggregate expression over a query, after the predicate of the layer that it goes by."""
+
+    query: str
+    value: str
+    layer: int = 0
+    filterable: tuple[str, ...] = ()
+
+
 @dataclass(frozen=True)
 class Canvas:
-    """Width and height are fixed, or 0 with a size query (a one-row, one-column DataFrame function)."""
+    """Width and height are fixed, or 0 with a SizeQuery."""
 
     id: str
     w: int
     h: int
     layers: tuple[Layer, ...] = ()
-    w_query: str = ""
-    h_query: str = ""
+    w_query: SizeQuery | None = None
+    h_query: SizeQuery | None = None
 
     def __post_init__(self):
         if (self.w <= 0 and not self.w_query) or (self.h <= 0 and not self.h_query):
@@ -222,16 +245,66 @@ def zoom_levels(p: Project) -> dict[str, int]:
     return out
 
 
+def told_value(v, seen: set[int] | None = None):
+    """What a captured or global value contributes to a fingerprint: plain values themselves, functions their code, others their type."""
+    if v is None or isinstance(v, (bool, int, float, complex, str, bytes)):
+        return repr(v)
+    if isinstance(v, (tuple, list)):
+        return [told_value(x, seen) for x in v]
+    if isinstance(v, (set, frozenset)):
+        return sorted(str(told_value(x, seen)) for x in v)
+    if isinstance(v, dict):
+        return sorted((repr(k), str(told_value(x, seen))) for k, x in v.items())
+    if isinstance(v, functools.partial):
+        return ["partial", told_value(v.func, seen), told_value(v.args, seen), told_value(v.keywords, seen)]
+    if isinstance(v, types.CodeType):
+        return [v.co_code.hex(), list(v.co_names), list(v.co_varnames), [told_value(c, seen) for c in v.co_consts]]
+    if dataclasses.is_dataclass(v) and not isinstance(v, type):
+        return [type(v).__qualname__, *[[f.name, told_value(getattr(v, f.name), seen)] for f in dataclasses.fields(v)]]
+    if isinstance(v, types.MethodType):
+        return ["method", told_value(v.__func__, seen)]
+    if isinstance(v, types.FunctionType):
+        return told_function(v, seen)
+    return getattr(v, "__qualname__", None) or getattr(v, "__name__", None) or type(v).__qualname__
+
+
+def told_function(f: types.FunctionType, seen: set[int] | None = None):
+    """Code, names, constants, defaults, captured values and the globals that a function reads, functions among them told alike."""
+    seen = seen if seen is not None else set()
+    if id(f) in seen:
+        return f.__qualname__
+    seen.add(id(f))
+    names: set[str] = set()
+    todo = [f.__code__]
+    while todo:
+        c = todo.pop()
+        names |= set(c.co_names)
+        todo += [x for x in c.co_consts if isinstance(x, types.CodeType)]
+    cells = []
+    for c in f.__closure__ or ():
+        try:
+            cells.append(told_value(c.cell_contents, seen))
+        except ValueError:  # not filled yet
+            cells.append("empty")
+    read = [[n, told_value(f.__globals__[n], seen)] for n in sorted(names) if n in f.__globals__]
+    return [told_value(f.__code__, seen), told_value(f.__defaults__, seen), told_value(f.__kwdefaults__, seen), cells, read]
+
+
 def fingerprint(c: Canvas, i: int, params: dict) -> str:
-    """Changes when a layer's index must be built again: size, layer count, static flag, placement, transform, parameters."""
+    """Changes when a layer's index must be built again: size, layer count, static flag, placement, layout, transform, template, parameters."""
     layer = c.layers[i]
     t = layer.transform
-    code = t.function.__code__.co_code.hex() + repr(t.function.__code__.co_consts) if t and t.function and hasattr(t.function, "__code__") else ""
-    parts = [c.id, c.w, c.h, c.w_query, c.h_query, len(c.layers), i, layer.static, dataclasses.astuple(layer.placement) if layer.placement else None, layer.indexer, (t.query, list(t.columns), code) if t else None, params]
+    own = (t.query, list(t.columns), told_value(t.function)) if t else None
+    parts = [c.id, c.w, c.h, told_value(c.w_query), told_value(c.h_query), len(c.layers), i, layer.static, told_value(layer.placement), layer.indexer, layer.layout, layer.fetching, told_value(layer.detail), own, told_value(params)]
     return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
 
 
-def stale_layers(old: Project | None, new: Project) -> list[tuple[str, int]]:
-    """(canvas, layer) whose index must be built."""
-    before = {(c.id, i): fingerprint(c, i, old.params) for c in old.canvases.values() for i in range(len(c.layers))} if old else {}
-    return [(c.id, i) for c in new.canvases.values() for i in range(len(c.layers)) if before.get((c.id, i)) != fingerprint(c, i, new.params)]
+def fingerprints(p: Project) -> dict[str, str]:
+    """One for each layer, under 'canvas/layer'."""
+    return {f"{c.id}/{i}": fingerprint(c, i, p.params) for c in p.canvases.values() for i in range(len(c.layers))}
+
+
+def stale_layers(old: Project | dict[str, str] | None, new: Project) -> list[tuple[str, int]]:
+    """(canvas, layer) whose index must be built; old is a project or the fingerprints kept of it."""
+    before = fingerprints(old) if isinstance(old, Project) else old or {}
+    return [(c.id, i) for c in new.canvases.values() for i in range(len(c.layers)) if before.get(f"{c.id}/{i}") != fingerprint(c, i, new.params)]

@@ -1,15 +1,19 @@
-"""Templates: pyramids, tables, charts and maps, checked and expanded into canvases and jumps."""
+"""Templates: pyramids, tables, charts and maps, checked and expanded into canvases, layers that the engine builds, and jumps."""
 
 from __future__ import annotations
 
+import dataclasses
 import math
 import re
 from dataclasses import dataclass
 
+from pyspark.sql import functions as F
+
+from zoomloom.functions import geo
 from zoomloom.operators.charts import LIMITS, MEASURE
 from zoomloom.operators.placement import Placement
 from zoomloom.operators.pyramid import FUNCTIONS, MODES, PyramidSpec
-from zoomloom.spec.model import LITERAL_IN, LITERAL_OUT, Canvas, Jump, Layer, Project, SpecError, Transform
+from zoomloom.spec.model import LITERAL_IN, LITERAL_OUT, Canvas, Jump, Layer, Project, SizeQuery, SpecError, Transform
 
 NO_DIMENSIONS = ("radar", "circle", "heatmap", "contour", "dot")
 ONE_MEASURE = ("circle", "heatmap", "contour", "pie")
@@ -28,8 +32,10 @@ class PyramidTemplate:
     rank_list: bool = False
     tooltip: tuple[str, ...] = ()
     aliases: tuple[str, ...] = ()
+    radar_extents: tuple[tuple[float, float], ...] = ()
 
     def __post_init__(self):
+        object.__setattr__(self, "spec", dataclasses.replace(self.spec, mode=self.mode))
         s = self.spec
         if re.search(r"\blimit\b", self.query, re.I):
             raise SpecError("the query of a pyramid has no LIMIT")
@@ -41,6 +47,8 @@ class PyramidTemplate:
             raise SpecError(f"{self.mode} takes one measure")
         if self.mode == "pie" and not (s.dimensions and len(s.measures) <= 1):
             raise SpecError("pie takes dimensions and one measure")
+        if self.mode == "radar" and len(self.radar_extents) != len(s.measures):
+            raise SpecError("radar marks give an extent for each measure")
         if self.mode == "dot" and s.measures:
             raise SpecError("dot takes no measures")
         if self.mode == "custom" and not self.renderer:
@@ -61,14 +69,15 @@ class PyramidTemplate:
 
 
 def add_pyramid(p: Project, t: PyramidTemplate) -> list[Canvas]:
-    """A canvas a level (a static legend and a dynamic layer each), joined by literal zooms."""
+    """A canvas a level (a static legend and a dynamic layer of clusters each), joined by literal zooms."""
     s = t.spec
-    half = s.distance
+    name = f"pyramid{len(p.canvases)}"
     made = []
     for i in range(s.levels + 1):
         w, h = int(s.top_width * s.zoom**i), int(s.top_height * s.zoom**i)
-        layer = Layer(Transform(query=t.query), placement=Placement("col:x", "col:y", f"con:{s.mark_w * half}", f"con:{s.mark_h * half}"), delta=t.mode not in ("contour", "heatmap"), indexer="pyramid")
-        made.append(p.add_canvas(Canvas(f"pyramid{len(p.canvases)}_level{i}", w, h, (Layer(None, static=True), layer))))
+        place = Placement("col:cx", "col:cy", f"con:{s.mark_w * s.distance}", f"con:{s.mark_h * s.distance}")
+        layer = Layer(Transform(query=t.query), placement=place, delta=t.mode not in ("contour", "heatmap"), indexer="pyramid", detail=(t, name, i), tooltip=t.tooltip, aliases=t.aliases)
+        made.append(p.add_canvas(Canvas(f"{name}_level{i}", w, h, (Layer(None, static=True), layer))))
     for a, b in zip(made, made[1:]):
         p.add_jump(Jump(a.id, b.id, LITERAL_IN))
         p.add_jump(Jump(b.id, a.id, LITERAL_OUT))
@@ -101,10 +110,10 @@ class TableTemplate:
 
 
 def add_table(p: Project, t: TableTemplate) -> Canvas:
-    """A canvas as wide as the columns, as high as the rows (by query)."""
-    sql = f"SELECT count(*) * {t.cell_height} + {t.heads_height} FROM {t.table} WHERE 1 = 1"
-    layer = Layer(Transform(query=f"SELECT * FROM {t.table}", filterable=t.group_by), placement=Placement(f"con:{t.width / 2}", "col:cell_y", f"con:{t.width}", f"con:{t.cell_height}"), indexer="numbered")
-    return p.add_canvas(Canvas(f"table{len(p.canvases)}", t.width, 0, (layer,), h_query=sql))
+    """A canvas as wide as the columns, as high as the rows that fit the predicate; rows are numbered, within each group where groups are named."""
+    size = SizeQuery(f"SELECT * FROM {t.table}", f"count(*) * {t.cell_height} + {t.heads_height}", 0, t.group_by or t.fields)
+    layer = Layer(Transform(query=f"SELECT * FROM {t.table}", filterable=t.group_by), placement=Placement(f"con:{t.width / 2}", "col:cell_y", f"con:{t.width}", f"con:{t.cell_height}"), indexer="numbered", detail=(t,))
+    return p.add_canvas(Canvas(f"table{len(p.canvases)}", t.width, 0, (layer,), h_query=size))
 
 
 @dataclass(frozen=True)
@@ -140,20 +149,26 @@ class ChartTemplate:
 
 def add_chart(p: Project, t: ChartTemplate, w: int = 1000, h: int = 1000) -> Canvas:
     """A static canvas: the chart layer, and the sample layer where sample fields are named."""
-    layers = [Layer(Transform(query=t.query), static=True, indexer="chart")]
+    source = Transform(query=t.query, filterable=tuple(t.filterable()))
+    layers = [Layer(source, static=True, indexer="chart", detail=(t,))]
     if t.sample:
-        layers.append(Layer(Transform(query=t.query), static=True, indexer="sample"))
+        layers.append(Layer(source, static=True, indexer="sample", detail=(t,)))
     return p.add_canvas(Canvas(f"chart{len(p.canvases)}", w, h, tuple(layers)))
 
 
 @dataclass(frozen=True)
 class MapTemplate:
+    """Tables of states, and of counties, with columns name, the rate and geomstr (GeoJSON)."""
+
     state_table: str
     rate: str
     county_table: str = ""
     colors: int = 8
     zoom_factor: int | None = None
     zoom_type: str | None = None
+    projection: str = "albers"
+    name: str = "name"
+    shape: str = "geomstr"
 
     def __post_init__(self):
         if not 2 <= self.colors <= 8:
@@ -162,18 +177,33 @@ class MapTemplate:
             raise SpecError("zooming needs a county table")
         if self.zoom_type not in (None, "literal", "jump"):
             raise SpecError("zoom is literal or jump")
+        if self.projection not in geo.PROJECTIONS:
+            raise SpecError(f"unknown projection {self.projection!r}")
+
+
+MAP_COLUMNS = ("cx", "cy", "width", "height", "name", "rate", "geomstr")
 
 
 def add_map(p: Project, t: MapTemplate, w: int = 2000, h: int = 1000) -> list[Canvas]:
-    """A state canvas and, with counties, a larger one joined by literal zooms or by jumps to a state."""
-    place = Placement("col:cx", "col:cy", "col:width", "col:height")
-    made = [p.add_canvas(Canvas("state_map", w, h, (Layer(None, static=True), Layer(Transform(query=f"SELECT * FROM {t.state_table}"), placement=place))))]
+    """A state canvas and, with counties, a larger one joined by literal zooms or by jumps to a state, which then lies in the middle."""
+    f = t.zoom_factor or 6
+
+    def shapes(table: str, scale: int) -> Transform:
+        def located(df):
+            s = geo.geojson_shape(t.projection, w * scale, h * scale)
+            return df.select(F.col(t.name).alias("name"), F.col(t.rate).alias("rate"), F.col(t.shape).alias("geomstr"), s(F.col(t.shape)).alias("s")).select("s.*", "name", "rate", "geomstr")
+
+        return Transform(query=f"SELECT * FROM {table}", function=located, columns=MAP_COLUMNS)
+
+    mark = Placement("col:cx", "col:cy", f"con:{w / f}", f"con:{w / f}")
+    boxes = Placement("col:cx", "col:cy", "col:width", "col:height")
+    made = [p.add_canvas(Canvas("state_map", w, h, (Layer(None, static=True), Layer(shapes(t.state_table, 1), placement=mark))))]
     if t.county_table:
-        f = t.zoom_factor or 6
-        made.append(p.add_canvas(Canvas("county_map", w * f, h * f, (Layer(None, static=True), Layer(Transform(query=f"SELECT * FROM {t.state_table}"), placement=place), Layer(Transform(query=f"SELECT * FROM {t.county_table}"), placement=place)))))
+        made.append(p.add_canvas(Canvas("county_map", w * f, h * f, (Layer(None, static=True), Layer(shapes(t.state_table, f), placement=boxes), Layer(shapes(t.county_table, f), placement=boxes)))))
         if (t.zoom_type or "literal") == "literal":
             p.add_jump(Jump("state_map", "county_map", LITERAL_IN))
             p.add_jump(Jump("county_map", "state_map", LITERAL_OUT))
         else:
-            p.add_jump(Jump("state_map", "county_map", "geometric_semantic_zoom", selector=lambda row, args: args.get("layer") == 1, viewport=lambda row: {"constant": (row["minx"] * f, row["miny"] * f)}))
+            middle = lambda row: {"constant": (row["cx"] * f - w / 2, row["cy"] * f - h / 2)}
+            p.add_jump(Jump("state_map", "county_map", "geometric_semantic_zoom", selector=lambda row, args: args.get("layer") == 1, viewport=middle))
     return made
