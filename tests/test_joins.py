@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from zoomloom.operators.balance import pack_units
+from zoomloom.operators.balance import pack_pairs, pack_units, pair_slots
 from zoomloom.operators.components import connected_components, union_labels
 from zoomloom.operators.skew_pairs import near_pairs_by_key
 from zoomloom.operators.spatial_join import PackedRTree, Quadtree, clean_boxes, near_and_inside
@@ -99,18 +99,50 @@ def test_rtree_and_quadtree():
 
 
 def test_packing_of_units():
-    fragments, first, bins = pack_units([100, 1, 1, 1, 50, 0], 4)
-    assert fragments[0] > 1 and len(bins) == fragments.sum() and bins.max() < 4
-    load = np.bincount(bins, weights=np.repeat(np.maximum([100, 1, 1, 1, 50, 0], 1) / fragments, fragments), minlength=4)
-    assert load.max() < 2 * load.mean()
-
-
-@pytest.mark.parametrize("small", [10_000, 0])
-def test_components(spark, small):
+    bins = pack_units([100, 1, 1, 1, 50, 0], 4)
+    assert len(bins) == 6 and bins.max() < 4 and np.bincount(bins, weights=[100, 1, 1, 1, 50, 1]).max() == 100
+
+
+@pytest.mark.parametrize("shards", [1, 2, 5, 11])
+def test_pairs_of_shards_meet_once(shards):
+    own = np.arange(40) % shards
+    row, slot, cross = pair_slots(own, np.full(40, shards))
+    met = {}
+    for s in range(shards * (shards + 1) // 2):
+        at = np.flatnonzero(slot == s)
+        assert len(set(own[row[at]])) <= 2, "a slot sees two shards at most"
+        for i in at:
+            for j in at:
+                if row[i] < row[j] and (cross[i] < 0 or cross[i] != cross[j]):
+                    met[row[i], row[j]] = met.get((row[i], row[j]), 0) + 1
+    assert met == {(i, j): 1 for j in range(40) for i in range(j)}
+
+
+def test_one_crowded_tile_over_64_tasks():
+    """A tile of a million rows that all meet: no slot has more than two shards, no task twice the mean, and rows are copied once a shard."""
+    n = 1_000_000
+    shards, first, bins = pack_pairs([float(n) * n, *[1000.0] * 50], [n, *[1000] * 50], 64, 800_000)
+    rows = np.bincount(np.random.default_rng(0).integers(0, shards[0], n), minlength=shards[0])
+    slots = shards[0] * (shards[0] + 1) // 2
+    assert 10 <= shards[0] <= 12 and slots <= 64 and np.bincount(bins[:slots], minlength=64).max() == 1
+    assert 2 * rows.max() < n / 4 and list(shards[1:]) == [1] * 50
+
+
+def test_crowded_spot_of_a_key(spark):
+    """Half of a key's records at one spot, and another key that lies only there: every pair once, whatever the shards."""
+    rng = random.Random(9)
+    rows = [(1, i, 50, 50) if i % 2 else (1, i, rng.randint(0, 1000), rng.randint(0, 1000)) for i in range(600)] + [(2, i, 7, 7) for i in range(120)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], DOT)
+    got = [tuple(r) for r in near_pairs_by_key(df, "key", "id", "w", "h", 2, 2, (0, 0, 1000, 1000), tasks=9).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows)
+
+
+@pytest.mark.parametrize("edges_per_task", [10_000, 12])
+def test_components(spark, edges_per_task):
     rng = random.Random(5)
     edges = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(70)] + [(200 + i, 201 + i) for i in range(40)] + [(7, 7), (None, 3)]
     df = spark.createDataFrame(edges, "a long, b long")
-    got = {r["node"]: r["root"] for r in connected_components(df, small).collect()}
+    got = {r["node"]: r["root"] for r in connected_components(df, edges_per_task).collect()}
     good = [(a, b) for a, b in edges if a is not None]
     label = union_labels(300, np.array([a for a, _ in good]), np.array([b for _, b in good]))
     assert got == {n: int(label[n]) for e in good for n in e}

@@ -12,25 +12,46 @@ import math
 import numpy as np
 
 
-def pack_units(loads, tasks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Split units heavier than a fair share into fragments, then give every fragment a task (longest first).
+SLACK = 0.85  # a slot may be this much short of splitting a unit into fair shares, so that slots do not outnumber tasks
 
-    Returns (fragments, first, bins): unit u has fragments[u] fragments; the task of its fragment f is
-    bins[first[u] + f]. The heaviest task exceeds the mean by less than one fair share.
-    """
-    loads = np.maximum(np.asarray(loads, dtype=np.float64), 1.0)
-    share = max(loads.sum() / max(tasks, 1), 1.0)
-    fragments = np.maximum(1, np.ceil(loads / share)).astype(np.int64)
-    fragments = np.minimum(fragments, tasks)
-    first = np.concatenate([[0], np.cumsum(fragments)[:-1]]).astype(np.int64) if len(loads) else np.zeros(0, np.int64)
-    each = np.repeat(loads / fragments, fragments)
-    bins = np.zeros(len(each), dtype=np.int32)
+
+def longest_first(loads: np.ndarray, tasks: int) -> np.ndarray:
+    """Task of each load: the heaviest first, always to the task that has least."""
+    bins = np.zeros(len(loads), dtype=np.int32)
     heap = [(0.0, t) for t in range(tasks)]
-    for i in np.argsort(-each, kind="stable"):
+    for i in np.argsort(-loads, kind="stable"):
         load, t = heapq.heappop(heap)
         bins[i] = t
-        heapq.heappush(heap, (load + each[i], t))
-    return fragments, first, bins
+        heapq.heappush(heap, (load + loads[i], t))
+    return bins
+
+
+def pack_units(loads, tasks: int) -> np.ndarray:
+    """Task of each unit, for units that are never split."""
+    return longest_first(np.maximum(np.asarray(loads, dtype=np.float64), 1.0), tasks)
+
+
+def pack_pairs(loads, rows, tasks: int, most_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Divide units whose records are compared with each other: a unit above a fair share, or of more than most_rows records, is cut
+    into shards, and each pair of shards (a shard with itself among them) is a slot of its own. So a task never sees more than two shards of a unit.
+
+    Returns (shards, first, bins): unit u has shards[u] shards; the task of its slot s is bins[first[u] + s], with s from `pair_slots`.
+    """
+    loads, rows = np.maximum(np.asarray(loads, dtype=np.float64), 1.0), np.asarray(rows, dtype=np.float64)
+    share = max(loads.sum() / max(tasks, 1), 1.0)
+    shards = np.maximum(np.ceil((np.sqrt(8 * SLACK * loads / share + 1) - 1) / 2), np.where(rows > most_rows, np.ceil(2 * rows / most_rows), 1)).astype(np.int64)
+    slots = shards * (shards + 1) // 2
+    first = np.concatenate([[0], np.cumsum(slots)[:-1]]).astype(np.int64) if len(slots) else np.zeros(0, np.int64)
+    return shards, first, longest_first(np.repeat(loads / slots, slots), tasks)
+
+
+def pair_slots(shard: np.ndarray, shards: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, cross) of all slots that a row of shard[row] out of shards[row] takes part in. cross is the row's shard, or -1 in the slot where
+    its shard meets itself: two rows of a slot are to be compared if they have -1 or differ in it, so every pair of rows is compared once."""
+    row, other = expand_ranges(np.zeros(len(shard), dtype=np.int64), shards)
+    own = shard[row]
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    return row, high * (high + 1) // 2 + low, np.where(own == other, -1, own)
 
 
 def task_count(rows: int, slots: int, rows_per_task: int) -> int:

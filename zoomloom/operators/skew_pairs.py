@@ -1,16 +1,16 @@
 """Per-key comparison of records when a few keys hold most rows: fragment-replicate by estimated load.
 
 Plan
-1. One aggregation estimates the load of every key. Keys above a fair share are *large*: at most a few per
+1. One aggregation estimates the load of every key. Keys above a small part of a fair share are *large*: at most LARGE per
    task, so the driver may hold them. All other keys fall into hash buckets whose loads are added up.
-2. A large key is cut into tiles of the (x, y) plane, as many as its load asks for; a second aggregation,
-   over large keys only, counts the tiles.
-3. Buckets and tiles are bin-packed to tasks. A tile that still exceeds a fair share is split into
-   proportionate fragments by a hash of the record id.
-4. Every row goes to its home fragment. The matching side, and only it, is replicated: to the other fragments
-   of its tile, and to neighbouring tiles that its reach touches.
+2. A large key is cut into tiles of the (x, y) plane, as many as its load asks for; a second aggregation, over large keys only, counts the
+   tiles' rows and, from an eighth of the records, the candidates that crowded spots in them make.
+3. Buckets and tiles are bin-packed to tasks. A tile or bucket that still exceeds a fair share is cut into
+   proportionate shards by a hash of the record id, and each pair of shards is a slot of its own.
+4. Every row goes to the slots of its shard. The matching side, and only it, is replicated: to the slots of its tile, and to
+   those of neighbouring tiles that its reach touches.
 5. Each task finds its pairs on a grid with cells as wide as the reach. A pair comes out where the record
-   with the greater id is at home, so it comes out once.
+   with the greater id is at home, in the slot of both records' shards, so it comes out once.
 """
 
 from __future__ import annotations
@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zoomloom.operators.balance import expand_ranges, pack_units, task_count
-from zoomloom.session import check_names, parallelism
+from zoomloom.operators.balance import expand_ranges, pack_pairs, pair_slots, task_count
+from zoomloom.session import check_names, discard, materialize, parallelism
 
 ROWS_PER_TASK = 400_000
 BUCKETS_PER_TASK = 8
 TILES_PER_SHARE = 16
 CANDIDATES = 2_000_000
+LARGE = 16  # keys above this part of a fair share are tiled
+SPOTS = 8  # the part of the records that estimates candidates
 
 
 def order_codes(column) -> np.ndarray:
@@ -42,10 +44,9 @@ def order_codes(column) -> np.ndarray:
     return np.unique(column.to_numpy(zero_copy_only=False), return_inverse=True)[1].astype(np.int64)
 
 
-def grid_pairs(group, ident, x, y, home, reach_x: float, reach_y: float):
-    """Yield (a, b): indices of rows of one group at most the reaches apart, ident[a] < ident[b], home[b].
-
-    Rows that agree in group, ident, x and y count once. Candidates are made in blocks of bounded size.
+def grid_pairs(group, ident, x, y, home, reach_x: float, reach_y: float, cross=None):
+    """Yield (a, b): indices of rows of one group at most the reaches apart, ident[a] < ident[b], home[b]; with `cross` (see pair_slots) only
+    those that are to be compared. Rows that agree in group, ident, x and y count once. Candidates are made in blocks of bounded size.
     """
     if not len(group):
         return
@@ -88,6 +89,8 @@ def grid_pairs(group, ident, x, y, home, reach_x: float, reach_y: float):
                     owner = np.zeros(len(index), dtype=np.int64)
                 q, p = probes[at:stop][owner], order[index]
                 keep = (ident[p] < ident[q]) & (np.abs(x[p] - x[q]) <= reach_x) & (np.abs(y[p] - y[q]) <= reach_y)
+                if cross is not None:
+                    keep &= (cross[p] < 0) | (cross[p] != cross[q])
                 if keep.any():
                     yield p[keep], q[keep]
             at = stop
@@ -118,17 +121,17 @@ def near_pairs_by_key(
     clean = df.select(F.col(key).alias("k"), F.col(ident).alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(
         F.col("k").isNotNull() & F.col("i").isNotNull() & F.col("x").between(x0, x1) & F.col("y").between(y0, y1)
     )
-    total = df.count()
+    sizes = materialize(clean.groupBy("k").agg(F.count(F.lit(1)).alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     tasks = tasks or task_count(total, parallelism(spark), ROWS_PER_TASK)
     share = max(1.0, total / tasks)
     buckets = tasks * BUCKETS_PER_TASK
     bucket = F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int")
 
-    # Loads: one row per large key (fewer than 4 per task) and one per bucket of the other keys.
-    large = F.col("n") > share / 4
+    # Loads: one row per large key (fewer than LARGE per task) and one per bucket of the other keys.
+    large = F.col("n") > share / LARGE
     loads = (
-        clean.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(F.when(large, F.col("k")).alias("k"), F.when(~large, bucket).alias("bucket"))
+        sizes.groupBy(F.when(large, F.col("k")).alias("k"), F.when(~large, bucket).alias("bucket"))
         .agg(F.sum("n").alias("n")).collect()
     )
     bucket_loads = np.zeros(buckets)
@@ -140,28 +143,33 @@ def near_pairs_by_key(
             big.append((r["k"], r["n"], max(1, math.ceil(math.sqrt(TILES_PER_SHARE * r["n"] / share)))))
     big.sort(key=lambda r: str(r[0]))
     side_x, side_y = max(x1 - x0, 1e-9), max(y1 - y0, 1e-9)
-    sides, first_tile, tile_n = [], [], []
+    discard(sizes)
+    sides, first_tile, tile_n, tile_rows = [], [], [], []
     for k, n, g in big:
         gx = max(1, min(g, int(side_x // max(4 * reach_x, 1e-9)))) if reach_x else g
         gy = max(1, min(g, int(side_y // max(4 * reach_y, 1e-9)))) if reach_y else g
         sides.append((gx, gy))
         first_tile.append(len(tile_n))
         tile_n.extend([0.0] * (gx * gy))
+        tile_rows.extend([0.0] * (gx * gy))
     if big:
         kt = types[key]
         grid = spark.createDataFrame([(k, i, gx, gy) for i, ((k, _, _), (gx, gy)) in enumerate(zip(big, sides))], T.StructType([T.StructField("k", kt), T.StructField("ki", T.IntegerType()), T.StructField("gx", T.IntegerType()), T.StructField("gy", T.IntegerType())]))
-        # F.broadcast: fewer than 4 rows a task, see above.
-        tiles = (
-            clean.join(F.broadcast(grid), "k")
-            .groupBy("ki", F.least(F.floor((F.col("x") - x0) / side_x * F.col("gx")), F.col("gx") - 1).cast("int").alias("tx"), F.least(F.floor((F.col("y") - y0) / side_y * F.col("gy")), F.col("gy") - 1).cast("int").alias("ty"))
-            .agg(F.count(F.lit(1)).alias("n")).collect()
-        )
+        # F.broadcast: fewer than LARGE rows a task, see above. A spot is four reaches wide.
+        spot = [F.floor(F.col(c) / F.lit(4.0 * (r or 0.25))) for c, r in (("x", reach_x), ("y", reach_y))]
+        tile = [F.least(F.floor((F.col(c) - lo) / side * F.col(g)), F.col(g) - 1).cast("int").alias(t) for c, lo, side, g, t in (("x", x0, side_x, "gx", "tx"), ("y", y0, side_y, "gy", "ty"))]
+        placed = clean.join(F.broadcast(grid), "k").select("ki", *tile, *[c.alias(n) for c, n in zip(spot, ("sx", "sy"))], "i")
+        tiles = placed.groupBy("ki", "tx", "ty").agg(F.count(F.lit(1)).alias("n")).collect()
+        seen = placed.where(F.pmod(F.xxhash64("i"), F.lit(SPOTS)) == 0).groupBy("ki", "tx", "ty", "sx", "sy").agg(F.count(F.lit(1)).alias("s"))
+        # of s records seen, s (s - 1) pairs; a record's candidates lie in 9 of the 16 cells of a spot
+        crowded = seen.where("s > 1").groupBy("ki", "tx", "ty").agg(F.sum(F.col("s") * (F.col("s") - 1) * (SPOTS * SPOTS * 9 / 16)).alias("c")).collect()
+        more = {(r["ki"], r["tx"], r["ty"]): r["c"] for r in crowded}
         for r in tiles:
             gx, gy = sides[r["ki"]]
-            # rows plus the candidates expected of them, were the tile evenly filled
-            near = r["n"] * 9.0 * max(reach_x, 0.5) * max(reach_y, 0.5) / (side_x * side_y / gx / gy)
-            tile_n[first_tile[r["ki"]] + r["tx"] * gy + r["ty"]] = r["n"] * (1.0 + near)
-    fragments, first, bins = pack_units(np.concatenate([bucket_loads, np.array(tile_n)]), tasks)
+            at = first_tile[r["ki"]] + r["tx"] * gy + r["ty"]
+            tile_rows[at] = r["n"]
+            tile_n[at] = r["n"] + more.get((r["ki"], r["tx"], r["ty"]), 0.0)
+    shards, first, bins = pack_pairs(np.concatenate([bucket_loads, np.array(tile_n)]), np.concatenate([bucket_loads, np.array(tile_rows)]), tasks, 2 * ROWS_PER_TASK)
 
     big_keys = pa.array([b[0] for b in big]) if big else None
     gxs = np.array([s[0] for s in sides], dtype=np.int64)
@@ -200,22 +208,14 @@ def near_pairs_by_key(
                         far_row.append(at[new])
                         far_unit.append(other[new])
                         seen.append(other)
-            # home fragment of each row, then its replicas
-            mine = (split % fragments[unit]).astype(np.int64)
-            r2, u2, f2 = [rows], [unit], [mine]
-            h2 = [np.ones(len(rows), dtype=bool)]
-            for r, u, skip in [(rows[fragments[unit] > 1], unit[fragments[unit] > 1], True)] + [(r, u, False) for r, u in zip(far_row, far_unit)]:
-                if len(r):
-                    owner, f = expand_ranges(np.zeros(len(r), dtype=np.int64), fragments[u])
-                    keep = f != mine[r][owner] if skip else np.ones(len(f), dtype=bool)
-                    r2.append(r[owner[keep]])
-                    u2.append(u[owner[keep]])
-                    f2.append(f[keep])
-                    h2.append(np.zeros(int(keep.sum()), dtype=bool))
-            r2, u2, f2, h2 = (np.concatenate(v) for v in (r2, u2, f2, h2))
-            slot = first[u2] + f2
+            # the home tile of each row, then those that its reach touches; all slots of its shard there
+            r2, u2 = np.concatenate([rows, *far_row]), np.concatenate([unit, *far_unit])
+            h2 = np.arange(len(r2)) < len(rows)
+            at, slot, cross = pair_slots((split[r2] % shards[u2]).astype(np.int64), shards[u2])
+            r2, u2, h2 = r2[at], u2[at], h2[at]
+            slot = first[u2] + slot
             out = t.select(["k", "i", "x", "y"]).take(pa.array(r2))
-            out = out.append_column("home", pa.array(h2)).append_column("slot", pa.array(slot.astype(np.int32))).append_column("bin", pa.array(bins[slot]))
+            out = out.append_column("home", pa.array(h2)).append_column("cross", pa.array(cross)).append_column("slot", pa.array(slot.astype(np.int32))).append_column("bin", pa.array(bins[slot]))
             yield from out.to_batches()
 
     def pairs(batches):
@@ -225,11 +225,11 @@ def near_pairs_by_key(
         t = pa.Table.from_batches(got).combine_chunks()
         keys = np.unique(t["k"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64) * (len(bins) + 1) + t["slot"].to_numpy(), return_inverse=True)[1]
         ident = order_codes(t["i"])
-        for a, b in grid_pairs(keys, ident, t["x"].to_numpy(), t["y"].to_numpy(), t["home"].to_numpy(zero_copy_only=False), reach_x, reach_y):
+        for a, b in grid_pairs(keys, ident, t["x"].to_numpy(), t["y"].to_numpy(), t["home"].to_numpy(zero_copy_only=False), reach_x, reach_y, t["cross"].to_numpy()):
             yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in (t["k"].take(pa.array(b)), t["i"].take(pa.array(a)), t["i"].take(pa.array(b)))], names=[key, "id_a", "id_b"])
 
     kt, it = types[key], types[ident]
     routed = clean.withColumn("bucket", bucket).withColumn("split", F.xxhash64("i").bitwiseAND(F.lit(0x7FFFFFFF))).mapInArrow(
-        route, T.StructType([T.StructField("k", kt), T.StructField("i", it), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("home", T.BooleanType()), T.StructField("slot", T.IntegerType()), T.StructField("bin", T.IntegerType())])
+        route, T.StructType([T.StructField("k", kt), T.StructField("i", it), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("home", T.BooleanType()), T.StructField("cross", T.LongType()), T.StructField("slot", T.IntegerType()), T.StructField("bin", T.IntegerType())])
     )
     return routed.repartitionById(tasks, F.col("bin")).mapInArrow(pairs, T.StructType([T.StructField(key, kt), T.StructField("id_a", it), T.StructField("id_b", it)]))

@@ -1,9 +1,9 @@
 """Distance and containment joins of boxes: sample-driven quadtree, boundary replication, R-tree probing.
 
 Plan
-1. A bounded sample of box centres (SAMPLE rows) shapes a quadtree; the sample decides balance, never results.
-   Leaves are bin-packed to tasks by their estimated load. A leaf that cannot be divided further and still
-   exceeds a fair share is split into fragments by a hash of the id.
+1. A sample of box centres (SAMPLE_PER_TASK for each task) shapes a quadtree; the sample decides balance, never results.
+   Leaves are bin-packed to tasks by their estimated rows and candidates. A leaf that cannot be divided further and still
+   exceeds a fair share is cut into shards by a hash of the id, and each pair of shards is compared on its own.
 2. Every box, grown by half the distance, is replicated to each leaf it touches; every region likewise.
 3. Each task bulk-loads an R-tree per leaf (sort-tile-recursive) and probes it level by level in arrays.
 4. The exact distance test follows. A pair found in several leaves comes out only in the one that holds its
@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoomloom.operators.balance import expand_ranges, pack_units, task_count
+from zoomloom.operators.balance import expand_ranges, pack_pairs, pair_slots, task_count
 from zoomloom.session import parallelism
 
-SAMPLE = 40_000
+SAMPLE = 40_000  # at least
+SAMPLE_PER_TASK = 64
 ROWS_PER_TASK = 100_000
 FANOUT = 16
 FRONTIER = 1_000_000
@@ -33,7 +34,7 @@ class Quadtree:
         x0, x1 = (float(x.min()), float(x.max())) if len(x) else (0.0, 1.0)
         y0, y1 = (float(y.min()), float(y.max())) if len(y) else (0.0, 1.0)
         side = max(x1 - x0, y1 - y0, least_side, 1e-6)
-        child, mid_x, mid_y, count, bounds = [], [], [], [], []
+        child, mid_x, mid_y, count, bounds, sides = [], [], [], [], [], []
         inf = float("inf")
         todo = [(np.arange(len(x)), x0, y0, side, (-inf, -inf, inf, inf), -1, 0)]
         for rows, ox, oy, s, b, parent, k in todo:  # grows as it runs
@@ -46,6 +47,7 @@ class Quadtree:
             mid_y.append(my)
             count.append(len(rows))
             bounds.append(b)
+            sides.append(s)
             if len(rows) > capacity and s / 2 >= least_side:
                 right, up = x[rows] >= mx, y[rows] >= my
                 for q in range(4):
@@ -56,6 +58,7 @@ class Quadtree:
         self.leaf_of = np.where(self.is_leaf, np.cumsum(self.is_leaf) - 1, -1)
         self.count = np.array(count)[self.is_leaf]
         self.bounds = np.array(bounds)[self.is_leaf]
+        self.side = np.array(sides)[self.is_leaf]
 
     def leaves(self, x0, y0, x1, y1) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of all leaves that the closed boxes touch; leaves are half-open, so a point lies in one."""
@@ -135,13 +138,14 @@ def unique_rows(*columns) -> np.ndarray:
     return order[~same]
 
 
-def shape_quadtree(points: DataFrame, total: int, tasks: int, least_side: float) -> tuple[Quadtree, np.ndarray, np.ndarray, np.ndarray]:
-    """Quadtree of a bounded sample of points (x, y), with its leaves packed to tasks."""
-    fraction = min(1.0, SAMPLE / max(total, 1))
+def shape_quadtree(points: DataFrame, total: int, tasks: int, least_side: float) -> tuple[Quadtree, np.ndarray]:
+    """Quadtree of a sample of points (x, y) that grows with the number of tasks, and the estimated rows of its leaves."""
+    wanted = max(SAMPLE, SAMPLE_PER_TASK * tasks)
+    fraction = min(1.0, wanted / max(total, 1))
     sample = (points.sample(False, fraction, 7) if fraction < 1 else points).toArrow()
     x, y = sample["x"].to_numpy(), sample["y"].to_numpy()
     tree = Quadtree(x, y, max(8, len(x) // (tasks * 6)), least_side)
-    return (tree, *pack_units(tree.count + 1.0, tasks))
+    return tree, (tree.count + 1.0) / fraction
 
 
 def near_and_inside(
@@ -162,7 +166,9 @@ def near_and_inside(
     total = boxes.count()
     tasks = tasks or task_count(total, parallelism(spark), ROWS_PER_TASK)
     half = distance / 2
-    tree, fragments, first, bins = shape_quadtree(boxes.select(((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y")), total, tasks, max(8 * distance, 1e-3))
+    tree, rows = shape_quadtree(boxes.select(((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y")), total, tasks, max(8 * distance, 1e-3))
+    near = rows * np.minimum(1.0, (3 * distance / tree.side) ** 2)  # candidates of a box, were the leaf evenly filled
+    shards, first, bins = pack_pairs(rows * (1.0 + near), rows, tasks, 4 * ROWS_PER_TASK)
 
     def route(batches):
         for batch in batches:
@@ -173,12 +179,17 @@ def near_and_inside(
             region = t["region"].to_numpy(zero_copy_only=False)
             grow = np.where(region, 0.0, half)
             row, leaf = tree.leaves(box[0] - grow, box[1] - grow, box[2] + grow, box[3] + grow)
-            owner, f = expand_ranges(np.zeros(len(row), dtype=np.int64), fragments[leaf])
-            row, leaf = row[owner], leaf[owner]
-            home = t["split"].to_numpy()[row] % fragments[leaf] == f
-            slot = first[leaf] + f
+            n = shards[leaf]
+            own = t["split"].to_numpy()[row] % n
+            at, slot, cross = pair_slots(own, np.where(region[row], 0, n))
+            # a region meets every box once: in the slots of a shard with itself
+            r_at, r_own = expand_ranges(np.zeros(len(row), dtype=np.int64), np.where(region[row], n, 0))
+            at, slot = np.concatenate([at, r_at]), np.concatenate([slot, r_own * (r_own + 1) // 2 + r_own])
+            cross = np.concatenate([cross, np.full(len(r_at), -1)])
+            row, leaf = row[at], leaf[at]
+            slot = first[leaf] + slot
             out = t.select(["i", "x0", "y0", "x1", "y1", "region"]).take(pa.array(row))
-            for name, v in (("home", home), ("leaf", leaf.astype(np.int32)), ("slot", slot.astype(np.int32)), ("bin", bins[slot])):
+            for name, v in (("cross", cross), ("leaf", leaf.astype(np.int32)), ("slot", slot.astype(np.int32)), ("bin", bins[slot])):
                 out = out.append_column(name, pa.array(v))
             yield from out.to_batches()
 
@@ -187,7 +198,7 @@ def near_and_inside(
         if not got:
             return
         t = pa.Table.from_batches(got)
-        cols = {c: t[c].to_numpy() for c in ("i", "x0", "y0", "x1", "y1", "region", "home", "leaf", "slot")}
+        cols = {c: t[c].to_numpy() for c in ("i", "x0", "y0", "x1", "y1", "region", "cross", "leaf", "slot")}
         keep = unique_rows(cols["y1"], cols["x1"], cols["y0"], cols["x0"], cols["i"], cols["region"], cols["slot"])
         cols = {c: v[keep] for c, v in cols.items()}
         cuts = np.flatnonzero(np.diff(cols["slot"])) + 1
@@ -196,11 +207,18 @@ def near_and_inside(
             bx0, by0, bx1, by1 = tree.bounds[c["leaf"][0]]
             r = np.flatnonzero(c["region"])
             o = np.flatnonzero(~c["region"])
-            i, x0, y0, x1, y1, home = (c[k][o] for k in ("i", "x0", "y0", "x1", "y1", "home"))
-            index = PackedRTree(x0, y0, x1, y1)
-            h = np.flatnonzero(home)
-            for p, q in index.probe(x0[h] - distance, y0[h] - distance, x1[h] + distance, y1[h] + distance):
-                b, a = h[p], q
+            i, x0, y0, x1, y1, cross = (c[k][o] for k in ("i", "x0", "y0", "x1", "y1", "cross"))
+            # two shards: one is indexed, the other probes
+            if len(cross) and cross[0] >= 0:
+                low, high = cross.min(), cross.max()
+                one, two = np.flatnonzero(cross == low), np.flatnonzero((cross == high) & (low < high))
+            else:
+                one = two = np.arange(len(cross))
+            index = PackedRTree(x0[two], y0[two], x1[two], y1[two])
+            for p, q in index.probe(x0[one] - distance, y0[one] - distance, x1[one] + distance, y1[one] + distance):
+                a, b = one[p], two[q]
+                if cross[0] >= 0:  # either may have the smaller id
+                    a, b = np.where(i[a] < i[b], a, b), np.where(i[a] < i[b], b, a)
                 dx = np.maximum(0.0, np.maximum(x0[a] - x1[b], x0[b] - x1[a]))
                 dy = np.maximum(0.0, np.maximum(y0[a] - y1[b], y0[b] - y1[a]))
                 rx, ry = np.maximum(x0[a], x0[b]) - half, np.maximum(y0[a], y0[b]) - half
@@ -210,7 +228,8 @@ def near_and_inside(
             if len(r):
                 vi, vx0, vy0, vx1, vy1 = (c[k][r] for k in ("i", "x0", "y0", "x1", "y1"))
                 for p, q in index.probe(vx0, vy0, vx1, vy1):
-                    ok = home[q] & (x0[q] >= vx0[p]) & (x1[q] <= vx1[p]) & (y0[q] >= vy0[p]) & (y1[q] <= vy1[p])
+                    q = two[q]
+                    ok = (x0[q] >= vx0[p]) & (x1[q] <= vx1[p]) & (y0[q] >= vy0[p]) & (y1[q] <= vy1[p])
                     ok &= (x0[q] >= bx0) & (x0[q] < bx1) & (y0[q] >= by0) & (y0[q] < by1)
                     if ok.any():
                         yield _rows("inside", vi[p[ok]], i[q[ok]])
@@ -218,7 +237,7 @@ def near_and_inside(
     sides = boxes.withColumn("region", F.lit(False))
     if regions is not None:
         sides = sides.unionByName(regions.withColumn("region", F.lit(True)))
-    routed = sides.withColumn("split", F.xxhash64("i").bitwiseAND(F.lit(0x7FFFFFFF))).mapInArrow(route, "i long, x0 double, y0 double, x1 double, y1 double, region boolean, home boolean, leaf int, slot int, bin int")
+    routed = sides.withColumn("split", F.xxhash64("i").bitwiseAND(F.lit(0x7FFFFFFF))).mapInArrow(route, "i long, x0 double, y0 double, x1 double, y1 double, region boolean, cross long, leaf int, slot int, bin int")
     return routed.repartitionById(tasks, F.col("bin")).mapInArrow(join, "kind string, key_a long, key_b long")
 
 
