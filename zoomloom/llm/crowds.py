@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from zoomloom.operators.balance import expand_ranges, task_count
+from zoomloom.operators.balance import expand_ranges, pack_units, task_count
 from zoomloom.operators.components import connected_components
 from zoomloom.operators.spatial_join import shape_quadtree
 from zoomloom.session import materialize, parallelism
@@ -194,7 +194,8 @@ def crowd_members(points: DataFrame, reach: float, least: int, tasks: int | None
     leaves = materialize(feature_leaves(valid, width).withColumn("leaf", F.monotonically_increasing_id()))
     total = leaves.count()
     tasks = tasks or task_count(total, parallelism(spark), LEAVES_PER_TASK)
-    tree, _, first, bins = shape_quadtree(leaves.select(((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y")), total, tasks, 4 * reach)
+    tree, load = shape_quadtree(leaves.select(((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y")), total, tasks, 4 * reach)
+    bins = pack_units(load, tasks)
 
     def route(batches):
         for batch in batches:
@@ -212,7 +213,7 @@ def crowd_members(points: DataFrame, reach: float, least: int, tasks: int | None
             row, region = row[keep], region[keep]
             shared = np.bincount(row, minlength=len(x0)) > 1
             out = t.take(pa.array(row))
-            for name, v in (("home", region == home[row]), ("shared", shared[row]), ("region", region.astype(np.int32)), ("bin", bins[first[region]])):
+            for name, v in (("home", region == home[row]), ("shared", shared[row]), ("region", region.astype(np.int32)), ("bin", bins[region])):
                 out = out.append_column(name, pa.array(v))
             yield from out.to_batches()
 
