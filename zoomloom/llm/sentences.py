@@ -5,8 +5,8 @@ Plan
    a header cuts in two is put together again).
 2. Each paragraph yields candidate boundaries: end marks with the quotation marks, brackets and note marks that close after
    them, and blanks in scripts that use no end marks. Candidates inside quotations and brackets are none.
-3. Marks that leave no doubt decide by themselves. All others go to a maximum-entropy model over the neighbouring
-   tokens, their case, length, digits and script.
+3. Candidates go to a maximum-entropy model over the neighbouring tokens, their case, length, digits and script, and over whether mark and
+   surroundings follow a shape that leaves no doubt (for instance a question mark before a blank and a capital).
 4. The model is fitted on reliable boundaries of the corpus itself: paragraph ends set against paragraph starts, and sure marks,
    against candidates followed by lower case, those inside brackets, and those after tokens that never end or before tokens that
    never start a paragraph. Ends are paired with starts of their own script. The fit uses a bounded sample (TRAIN_DOCS
@@ -70,6 +70,19 @@ def is_header(line: str) -> bool:
     return len(line) < 60 and (line[-1].isdigit() or line[-1] in "])）頁页—–-") and any(h.fullmatch(line) for h in _HEADERS)
 
 
+def numbered_headers(lines: list[str]) -> set[str]:
+    """Lines that come again on the next page: alike but for their numbers, the last of which counts on by one."""
+    alike: dict[str, list[str]] = {}
+    for t in lines:
+        if len(t) < 60 and not _NUMBERED.match(t) and _ends_open(t) and _DIGITS.search(t):
+            alike.setdefault(_DIGITS.sub("0", t), []).append(t)
+    out = set()
+    for ts in alike.values():
+        last = [int(_DIGITS.findall(t)[-1][-9:]) for t in ts]
+        out |= {t for i, t in enumerate(ts) if i and last[i] == last[i - 1] + 1 or i + 1 < len(ts) and last[i + 1] == last[i] + 1}
+    return out
+
+
 def _has_content(s: str) -> bool:
     return _CONTENT.search(s) is not None
 
@@ -112,7 +125,8 @@ def paragraphs(text: str) -> list[Paragraph]:
         return []
     gaps = [b[0] - a[1] > 1 and len(_BREAK.findall(text, a[1], b[0])) > 1 for a, b in zip(lines, lines[1:])]
     # blank lines around page headers say nothing about the layout of the rest
-    head = [is_header(t) for _, _, t in lines]
+    again = numbered_headers([t for _, _, t in lines])
+    head = [t in again or is_header(t) for _, _, t in lines]
     apart = [g for g, a, b in zip(gaps, head, head[1:]) if not a and not b]
     spaced = sum(apart) >= max(1, 0.04 * len(apart))
     widths = [len(t) for _, _, t in lines]
@@ -245,30 +259,29 @@ def _script_at(s: str) -> str:
     return "L"
 
 
-def left_features(before: str, mark: str) -> tuple[list[str], str, str, str]:
-    """Features of what stands before a mark; its normal form and shape, and the kind of the mark."""
-    p, pp = _end_tokens(before)
+def left_features(p: str, pp: str, mark: str) -> tuple[list[str], str, str, str]:
+    """Features of the last two tokens before a mark; normal form and shape of the last, and the kind of the mark."""
     pn, ps = "I" if len(p) == 1 and p.isupper() else _DIGITS.sub("0", p), _shape(p)
     kind = mark if len(mark) == 1 else ".." if mark == ".." else "…"
     return [f"p{kind}{pn}", f"s{kind}{ps}", f"q{_DIGITS.sub('0', pp)}", f"l{min(len(p), 6)}{kind}"], pn, ps, kind
 
 
-def right_features(after: str) -> tuple[list[str], str, str, str]:
-    """Features of what follows a mark; its normal form and shape, and its script."""
-    n, nn = _start_token(after)
+def right_features(n: str, nn: str) -> tuple[list[str], str, str]:
+    """Features of the first two tokens after a mark; normal form and shape of the first."""
     lead = n[:1] if n[:1] in _LEAD else ""
     ns = (lead and "q") + _shape(n[len(lead) :])
-    return [f"n{n}", f"t{ns}", f"u{nn}", f"nu{n}|{nn}"], n, ns, _script(after.lstrip()[:1])
+    return [f"n{n}", f"t{ns}", f"u{nn}", f"nu{n}|{nn}"], n, ns
 
 
-def joint_features(pn: str, ps: str, kind: str, closers: str, gap: bool, n: str, ns: str, script: str) -> list[str]:
-    return ["b", f"m{kind}{script}", f"st{ps}{ns}", f"pt{pn}|{ns}", f"sn{ps}|{n}", f"c{closers[-1:]}{ns}", f"g{gap}{ps}{ns}"]
+def joint_features(pn: str, ps: str, kind: str, closers: str, gap: bool, n: str, ns: str, script: str, sign: bool) -> list[str]:
+    return ["b", f"m{kind}{script}", f"st{ps}{ns}", f"pt{pn}|{ns}", f"sn{ps}|{n}", f"c{closers[-1:]}{ns}", f"g{gap}{ps}{ns}", f"r{sign}"]
 
 
-def features(before: str, mark: str, closers: str, gap: bool, after: str) -> list[str]:
-    left, pn, ps, kind = left_features(before, mark)
-    right, n, ns, script = right_features(after)
-    return [*left, *right, *joint_features(pn, ps, kind, closers, gap, n, ns, script)]
+def features(before: str, mark: str, closers: str, gap: bool, after: str, sign: bool = False) -> list[str]:
+    """All features of a candidate; sign tells whether mark and surroundings follow one of the shapes that `candidates` calls sure."""
+    left, pn, ps, kind = left_features(*_end_tokens(before), mark)
+    right, n, ns = right_features(*_start_token(after))
+    return [*left, *right, *joint_features(pn, ps, kind, closers, gap, n, ns, _script(after.lstrip()[:1]), sign)]
 
 
 class Candidate:
@@ -279,7 +292,7 @@ class Candidate:
 
 
 def candidates(body: str, inner: bool = False) -> list[Candidate]:
-    """Candidates of a paragraph by position. sure is True, False or None (for the model to decide).
+    """Candidates of a paragraph by position. sure is True (the shape leaves no doubt), False (no boundary) or None; the model decides on all but False.
 
     inner: also those inside brackets and quotations, which are never boundaries (for training).
     """
@@ -374,28 +387,28 @@ class Model:
         self.weights = weights
         self.left: dict[tuple, tuple] = {}
         self.right: dict[tuple, tuple] = {}
-        self.cuts: dict[tuple, list[tuple[int, int]]] = {}
+        self.cuts: dict[str, list[tuple[int, int]]] = {}
 
-    def boundary(self, args: tuple) -> bool:
-        """Whether the score is positive. The parts of either side are kept by their two tokens."""
+    def boundary(self, args: tuple, sign: bool = False) -> bool:
+        """Whether the score is positive. The parts of either side are kept by all that they read: two tokens and the mark."""
         before, mark, closers, gap, after = args
         w = self.weights
-        key = (*before.rsplit(None, 2)[-2:], mark)
+        key = (*_end_tokens(before), mark)
         left = self.left.get(key)
         if left is None:
             if len(self.left) > 100_000:
                 self.left.clear()
-            names, *rest = left_features(before, mark)
+            names, *rest = left_features(*key)
             left = self.left[key] = (sum(w.get(f, 0.0) for f in names), *rest)
-        key = tuple(after.split(None, 2)[:2])
+        key = _start_token(after)
         right = self.right.get(key)
         if right is None:
             if len(self.right) > 100_000:
                 self.right.clear()
-            names, *rest = right_features(after)
+            names, *rest = right_features(*key)
             right = self.right[key] = (sum(w.get(f, 0.0) for f in names), *rest)
         score = left[0] + right[0]
-        for f in joint_features(left[1], left[2], left[3], closers, gap, right[1], right[2], right[3]):
+        for f in joint_features(left[1], left[2], left[3], closers, gap, right[1], right[2], _script(after.lstrip()[:1]), sign):
             score += w.get(f, 0.0)
         return score > 0
 
@@ -470,12 +483,11 @@ def assemble(text: str, model: Model) -> list[Paragraph]:
     return out
 
 
-def _cut(body: str, lines: int, model: Model) -> list[tuple[int, int]]:
+def _cut(body: str, model: Model) -> list[tuple[int, int]]:
     """Units of one paragraph."""
     out = []
     last = 0
-    plain = lines == 1 and len(body) < 50 and not _NUMBERED.match(body) and _ends_open(body) and not ("\u0e00" <= body[-1] <= "\u0e7f" and len(body) >= 30)
-    for at in [*(c.at for c in candidates(body) if c.sure or c.sure is None and not plain and model.boundary(c.args)), len(body)]:
+    for at in [*(c.at for c in candidates(body) if c.sure is not False and model.boundary(c.args, bool(c.sure))), len(body)]:
         piece = body[last:at]
         if _has_content(piece):
             out.append((last + len(piece) - len(piece.lstrip()), last + len(piece.rstrip())))
@@ -493,12 +505,11 @@ def units(text: str, model: Model) -> list[tuple[int, int]]:
             out.append((p.start, p.end))
             continue
         body = p.body(text)
-        key = (body, p.lines == 1)
-        cuts = model.cuts.get(key)
+        cuts = model.cuts.get(body)  # nothing else decides, so what a worker saw before changes no result
         if cuts is None:
             if len(model.cuts) > 20_000:
                 model.cuts.clear()
-            cuts = model.cuts[key] = _cut(body, p.lines, model)
+            cuts = model.cuts[body] = _cut(body, model)
         out += [(p.start + a, p.start + b) for a, b in cuts]
     return out
 
@@ -521,6 +532,11 @@ def labelled(texts: list[str], rng: np.random.Generator, most: int = MOST_ROWS)
             body = p.body(t)
             m = _OPENER.match(body)
             if p.lines == 1 and len(body) < 60 and not (m and m.end() < len(body) and _NUMBERED.match(body)):
+                for c in candidates(body):  # captions and the like: where blanks are the only marks, they tell what follows one without starting anything
+                    if c.sure is None and c.args[1] == " ":
+                        inside_of[_end_tokens(c.args[0])[0]] += 1
+                        within_of[_start_token(c.args[4])[0]] += 1
+                        unsure.append(c.args)
                 continue
             thai = "฀" <= body[-1] <= "๿"
             if _ends_open(body) and not thai:
@@ -550,7 +566,7 @@ def labelled(texts: list[str], rng: np.random.Generator, most: int = MOST_ROWS)
                 elif c.sure is None:
                     unsure.append(c.args)
                 else:
-                    (good if c.sure else bad).append(c.args)
+                    (good if c.sure else bad).append((*c.args, bool(c.sure)))
     for a in unsure:  # tokens that are common here but never end, or never start, a paragraph
         p_, n_ = _end_tokens(a[0])[0], _start_token(a[4])[0]
         never_ends = a[1] == "." and inside_of[p_] >= (4 if p_[:1].islower() else 12) and ends_of[p_] <= inside_of[p_] / 60 and _shape(p_)[0] != "d" and _shape(p_) != "num"
