@@ -1,5 +1,6 @@
 """Specifications, predicates, viewport functions, pyramids, tables, engine, sinks."""
 
+import math
 import random
 
 import numpy as np
@@ -9,11 +10,11 @@ from pyspark.sql import functions as F
 from zoomloom.engine import Engine
 from zoomloom.functions import geo, scales
 from zoomloom.functions.hull import convex_hull, hull_points
-from zoomloom.operators import charts, layouts, mutations, pyramid, tables, viewport
+from zoomloom.operators import charts, density, layouts, mutations, pyramid, tables, viewport
 from zoomloom.operators.placement import Placement, place
 from zoomloom.operators.pyramid import PyramidSpec, build_pyramid, choose_heads, greedy_sequence, join_heads, mark_size, overlap_threshold
 from zoomloom.operators.viewport import Box
-from zoomloom.sources import readers, sinks, synthetic
+from zoomloom.sources import manifest, readers, sinks, synthetic
 from zoomloom.spec import navigation
 from zoomloom.spec.model import LITERAL_IN, LITERAL_OUT, Canvas, Jump, Layer, Project, SpecError, Transform, View, fingerprint, stale_layers, zoom_levels
 from zoomloom.spec.predicates import Both, Either, Equals, Everything, PredicateError, from_json, holds, parse_wire, to_column, to_wire
@@ -297,6 +298,79 @@ def test_table_numbers(spark):
         tables.parse_order("a sideways")
 
 
+def test_numbers_of_a_hot_group(spark):
+    """A group of two thirds of the rows is numbered over many partitions; nulls are a group of their own."""
+    rows = [(i, "hot" if i % 3 else None if i % 2 else f"g{i % 30}", (i * 7919) % 1009) for i in range(4000)]
+    df = spark.createDataFrame(rows, "a int, g string, b int").repartition(7)
+    got = {r["a"]: r["rn"] for r in tables.number_rows(df, ["a"], "b desc, a", ["g"]).collect()}
+    want, seen = {}, {}
+    for a, g, _ in sorted(rows, key=lambda r: (-r[2], r[0])):
+        want[a] = seen[g] = seen.get(g, 0) + 1
+    assert got == want and tables.number_rows(df.limit(0), ["a"], "a", ["g"]).count() == 0 == tables.number_rows(df.limit(0), ["a"], "a").count()
+
+
+def test_contour_lines(spark):
+    """Lines of a cone are closed, keep the high side on the left, and lie where the density has the threshold."""
+    cells = [(x, y, max(0.0, 10 - math.hypot(x, y))) for x in range(-12, 13) for y in range(-12, 13)] + [(30, 30, 5.0), (31, 31, 5.0)]
+    df = spark.createDataFrame(cells, "cell_x long, cell_y long, weight double")
+    rows = density.contour_lines(df, [4.0, 6.5], 1.0).collect()
+    for t in (4.0, 6.5):
+        own = [r for r in rows if r["threshold"] == t and r["x0"] < 25]
+        ends = lambda r: ((round(r["x0"], 9), round(r["y0"], 9)), (round(r["x1"], 9), round(r["y1"], 9)))
+        assert sorted(ends(r)[0] for r in own) == sorted(ends(r)[1] for r in own), "every piece goes on in another"
+        assert all(abs(10 - math.hypot(r["x0"] - 0.5, r["y0"] - 0.5) - t) < 0.1 for r in own)
+        area = sum((r["x0"] - 0.5) * (r["y1"] - 0.5) - (r["x1"] - 0.5) * (r["y0"] - 0.5) for r in own) / 2
+        assert area == pytest.approx(math.pi * (10 - t) ** 2, rel=0.05)
+    saddle = [r for r in rows if r["threshold"] == 4.0 and r["x0"] > 25]
+    assert len(saddle) == 8 and sorted((r["x0"], r["y0"]) for r in saddle) == sorted((r["x1"], r["y1"]) for r in saddle), "two cells that touch at a corner stay apart"
+
+
+def test_maps_and_leaves(spark):
+    df = spark.createDataFrame([(1, {"count(*)": 2.0, "min(a)": 1.0, "u__max(a)": 5.0, "avg(a)": 3.0}), (1, {"count(*)": 3.0, "min(a)": -1.0, "u__max(a)": 4.0})], "k int, m map<string,double>")
+    assert pyramid.merge_maps(df, ["k"], "m").first()["m"] == {"count(*)": 5.0, "min(a)": -1.0, "u__max(a)": 5.0}
+    leaf = viewport.by_leaf(spark.range(100).withColumn("cx", F.col("id").cast("double")), [24.0, 49.0, 74.0])
+    assert sorted((r["p"], r["count"]) for r in leaf.groupBy(F.spark_partition_id().alias("p"), "leaf").count().collect()) == [(0, 25), (1, 25), (2, 25), (3, 25)]
+    one = charts.chart(spark.range(30).withColumn("d", F.col("id") % 10), "pie", ["d"], "COUNT(*)", palette=["a", "b", "c"])
+    assert one.count() == 3
+
+
+def test_rows_and_tables(spark, tmp_path):
+    df = spark.range(10).repartition(3)
+    parts = list(readers.rows_as_text(df, 4))
+    assert [len(p) for p in parts] == [4, 4, 2] and sorted(int(r[0]) for p in parts for r in p) == list(range(10))
+    more = mutations.insert_rows(spark.createDataFrame([(1, "a")], "k int, s string"), spark.createDataFrame([(2, 3)], "k int, other int"))
+    assert sorted((r["k"], r["s"] or "") for r in more.collect()) == [(1, "a"), (2, "")]
+    assert mutations.change_columns(more, {"t": F.lit(1)}, ["s"]).columns == ["k", "t"]
+    c = readers.Connections(spark)
+    with pytest.raises(KeyError):
+        c.read("db", "t")
+    folder = f"{tmp_path}/t"
+    for v in (1, 2, 3):
+        manifest.save_table(spark.range(100).withColumn("v", F.lit(v)), folder)
+        assert manifest.read_table(spark, folder).select("v").distinct().collect() == [(v,)]
+    files = len(manifest.manifest(spark, folder)["files"])
+    hit = lambda df: df.where("id = 5")
+    assert manifest.change_table(spark, folder, hit, lambda df: df.withColumn("v", F.when(F.col("id") == 5, 9).otherwise(F.col("v")))) == 1
+    assert len(manifest.manifest(spark, folder)["files"]) == files and manifest.change_table(spark, folder, lambda df: df.where("id = 500"), None) == 0
+    assert {(r["id"], r["v"]) for r in manifest.read_table(spark, folder).collect()} == {(i, 9 if i == 5 else 3) for i in range(100)}
+
+
+def test_shared_folder_is_asked_for(spark):
+    from types import SimpleNamespace
+
+    from zoomloom import session
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://m:7077", getConf=lambda: conf))
+    with pytest.raises(RuntimeError):
+        session.shared_dir(cluster)
+    t = session.materialize(spark.range(5))
+    assert t.count() == 5
+    session.discard(t)
+    with pytest.raises(Exception):
+        spark.read.parquet(t._written_at).count()
+
+
 def test_charts():
     rects = charts.treemap([6, 6, 4, 3, 2, 2, 1], 6, 4)
     assert sum(w * h for _, _, w, h in rects) == pytest.approx(24)

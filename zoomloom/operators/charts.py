@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from zoomloom.operators.tables import number_rows
+
 MEASURE = re.compile(r"^(AVG|SUM|COUNT|MAX|MIN)\((.+)\)$", re.I)
 LIMITS = {"pie": 20, "treemap": 80, "circlePack": 150, "bar": 25, "wordCloud": 100}
 SAMPLE_ROWS = 75
@@ -30,8 +32,9 @@ def measure_column(measure: str) -> Column:
     return getattr(F, name)(arg)
 
 
-def chart(df: DataFrame, kind: str, dimensions: list[str], measure: str, stack: list[str] | None = None, where: Column | None = None, limit: int | None = None, value: str = "agg_value") -> DataFrame:
-    """Grouped aggregate of a chart: groups without a value are left out, the largest come first, ties by dimension.
+def chart(df: DataFrame, kind: str, dimensions: list[str], measure: str, stack: list[str] | None = None, where: Column | None = None, limit: int | None = None, value: str = "agg_value", palette: list[str] | None = None) -> DataFrame:
+    """Grouped aggregate of a chart: groups without a value are left out, the largest come first, ties by dimension. A pie has no more slices than
+    its palette has colours.
 
     The predicate applies before grouping. Stack dimensions (bars only) join the grouping.
     """
@@ -42,7 +45,8 @@ def chart(df: DataFrame, kind: str, dimensions: list[str], measure: str, stack:
     rows = df if where is None else df.where(where)
     keys = [*dimensions, *(stack or [])]
     out = rows.groupBy(*keys).agg(measure_column(measure).alias(value)).where(F.col(value).isNotNull())
-    return out.orderBy(F.desc(value), *keys).limit(limit or LIMITS[kind])
+    most = limit or LIMITS[kind]
+    return out.orderBy(F.desc(value), *keys).limit(min(most, len(palette)) if palette and kind == "pie" else most)
 
 
 def sample_layer(df: DataFrame, columns: list[str], order: list[str], where: Column | None = None, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -155,8 +159,8 @@ def pack_circles(radii: list[float]) -> list[tuple[float, float]]:
 
 
 def ordinal_colors(df: DataFrame, column: str, palette: list[str]) -> DataFrame:
-    """A colour for each value, in the order of the values, around the palette. Only the distinct values are ranked."""
-    values = df.select(column).distinct().withColumn("__i", F.row_number().over(W.orderBy(column)))
+    """A colour for each value, in the order of the values, around the palette. The distinct values are numbered in parallel."""
+    values = number_rows(df.select(F.col(column).alias("__v")).distinct(), ["__v"], "__v", name="__i")
     color = F.element_at(F.array(*map(F.lit, palette)), (F.pmod(F.col("__i") - 1, F.lit(len(palette))) + 1).cast("int"))
-    picked = values.select(F.col(column).alias("__v"), color.alias("color"))
+    picked = values.select("__v", color.alias("color"))
     return df.join(picked, df[column].eqNullSafe(F.col("__v")), "left").drop("__v")

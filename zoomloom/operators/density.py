@@ -1,9 +1,11 @@
-"""Density kernels: weighted 2-D histograms with a Gaussian blur, and heat-map intensities."""
+"""Density kernels: weighted 2-D histograms with a Gaussian blur, contour bands and lines, and heat-map intensities."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,43 @@ def contour_band(grid: DataFrame, thresholds: list[float]) -> DataFrame:
     return grid.withColumn("band", total)
 
 
+def contour_lines(grid: DataFrame, thresholds: list[float], cell: float = 1.0) -> DataFrame:
+    """(threshold, x0, y0, x1, y1): the pieces of the lines along which the density of a grid (cell_x, cell_y, weight) equals each threshold.
+
+    Marching squares: every square between four cell centres adds the piece that crosses it, linear between the centres; cells that are not there have
+    density 0. Where two opposite corners are above, the mean of the four tells which are joined. Higher densities lie to the left.
+    """
+    corners = F.array(*[F.struct(F.lit(-dx).alias("dx"), F.lit(-dy).alias("dy"), F.lit(2 * dy + dx).alias("at")) for dx in (0, 1) for dy in (0, 1)])
+    near = grid.withColumn("c", F.explode(corners)).groupBy((F.col("cell_x") + F.col("c.dx")).alias("sx"), (F.col("cell_y") + F.col("c.dy")).alias("sy"))
+    squares = near.agg(*[F.coalesce(F.sum(F.when(F.col("c.at") == i, F.col("weight"))), F.lit(0.0)).cast("double").alias(f"w{i}") for i in range(4)])
+
+    def march(batches):
+        for b in batches:
+            sx, sy, w00, w10, w01, w11 = (b.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(6))
+            for t in thresholds:
+                # corners counter-clockwise, edges between them: 0 bottom, 1 right, 2 top, 3 left
+                w = np.stack([w00, w10, w11, w01])
+                up = w >= t
+                at = np.flatnonzero(up.any(0) & ~up.all(0))
+                if not len(at):
+                    continue
+                v, u = w[:, at], up[:, at]
+                nxt = np.roll(v, -1, axis=0)
+                part = np.divide(t - v, nxt - v, out=np.full(v.shape, 0.5), where=nxt != v)
+                ex = np.stack([part[0], np.ones(len(at)), 1 - part[2], np.zeros(len(at))]) + sx[at] + 0.5
+                ey = np.stack([np.zeros(len(at)), part[1], np.ones(len(at)), 1 - part[3]]) + sy[at] + 0.5
+                leaves, enters = u & ~np.roll(u, -1, axis=0), ~u & np.roll(u, -1, axis=0)  # edges where the way round goes down, and up
+                full = v.mean(0) >= t
+                for e in range(4):
+                    own = np.flatnonzero(leaves[e])
+                    saddle = leaves[:, own].sum(0) == 2
+                    # the line that leaves the high side here comes back at the edge before (joined corners) or after (corners apart)
+                    back = np.where(saddle, np.where(full[own], (e + 1) % 4, (e + 3) % 4), enters[:, own].argmax(0))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), float(t))), *[pa.array(c * cell) for c in (ex[e, own], ey[e, own], ex[back, own], ey[back, own])]], names=["threshold", "x0", "y0", "x1", "y1"])
+
+    return squares.select("sx", "sy", "w0", "w1", "w2", "w3").mapInArrow(march, "threshold double, x0 double, y0 double, x1 double, y1 double")
+
+
 def heat_alpha(w: Column, lo: Column, hi: Column) -> Column:
     """Opacity of a mark: its place between least and greatest weight, 0.01 at least, 1 at most."""
     part = F.when(hi > lo, (w - lo) / F.nullif(hi - lo, F.lit(0))).otherwise(F.lit(1.0))

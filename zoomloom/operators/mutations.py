@@ -45,5 +45,15 @@ def reverse_time(x: Column, first: str, days: int, out: tuple[float, float]) ->
     return {"year": F.year(date), "month": F.month(date), "day": F.day(date)}
 
 
+def insert_rows(df: DataFrame, more: DataFrame) -> DataFrame:
+    """Rows of another query added; columns it lacks are null, columns df lacks are left out."""
+    return df.unionByName(more.select(*[c for c in more.columns if c in df.columns]), allowMissingColumns=True)
+
+
+def change_columns(df: DataFrame, add: dict[str, Column] | None = None, drop: list[str] | None = None) -> DataFrame:
+    """Columns added, then others dropped."""
+    return df.withColumns(add or {}).drop(*(drop or []))
+
+
 def remove_rows(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(gone.select(*keys), keys, "left_anti")

@@ -395,6 +395,14 @@ def cluster_keys(aggregates: DataFrame, dimensions: list[str], measures: list[st
     return one.groupBy("level", "head").agg(F.map_from_entries(F.sort_array(F.collect_list("e"))).alias("cluster_agg"))
 
 
+def merge_maps(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Aggregate maps of the same keys merged: counts and sums add up, least and greatest are kept; averages are merged as sums and counts elsewhere."""
+    each = df.select(*keys, F.explode(column).alias("__k", "__v")).where(~F.col("__k").rlike(r"(^|__)avg\("))
+    total = F.when(F.first("__k").rlike(r"(^|__)min\("), F.min("__v")).when(F.first("__k").rlike(r"(^|__)max\("), F.max("__v")).otherwise(F.sum("__v"))
+    merged = each.groupBy(*keys, "__k").agg(total.alias("__v"))
+    return merged.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("__k", "__v")))).alias(column))
+
+
 def merge_along_splits(heads: DataFrame, splits: list[float], wide: float, tall: float) -> DataFrame:
     """The approximate border merge: per split, in y order, a head conflicting (distance < theta) with the last kept one gives way
     to the more important. Input (id, z, x, y) of heads chosen per leaf; returns the heads that stay. Offered for comparison; choose_heads is exact."""

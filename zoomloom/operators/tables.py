@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from zoomloom.session import materialize
+
 
 def parse_order(order: str | None) -> list:
     """'a, b desc' to sort columns; an order is required, so that numbers are stable."""
@@ -21,28 +23,27 @@ def parse_order(order: str | None) -> list:
 
 
 def number_rows(df: DataFrame, fields: list[str], order: str, group_by: list[str] | None = None, name: str = "rn") -> DataFrame:
-    """Fields, then group columns not among them, then row numbers from 1: over all rows, or within each group.
+    """Fields, then group columns not among them, then row numbers (long) from 1: over all rows, or within each group.
 
-    Without groups the numbers are made in parallel: rows are range-partitioned by the order, counted per partition, and each
-    partition adds the rows before it. The order should be total.
+    The numbers are made in parallel, whatever a group's size: rows are range-partitioned by group and order, and each partition adds the rows of its
+    groups that lie in partitions before it. Only groups that cross a border have any, at most one a border. The order should be total.
     """
-    cols = [*fields, *[g for g in group_by or [] if g not in fields]]
-    if group_by:
-        return df.withColumn(name, F.row_number().over(W.partitionBy(*group_by).orderBy(*parse_order(order)))).select(*cols, name)
-    ranged = df.repartitionByRange(*parse_order(order)).withColumn("__p", F.spark_partition_id())
-    from zoomloom.session import materialize
-
-    ranged = materialize(ranged)  # the partition numbers must not change between the two uses
-    counts = {r["__p"]: r["n"] for r in ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
-    before, run = {}, 0
-    for p in sorted(counts):
-        before[p] = run
-        run += counts[p]
-    if not before:
-        return df.select(*cols, F.lit(0).cast("long").alias(name)).limit(0)
-    add = F.create_map(*[v for p, b in before.items() for v in (F.lit(p), F.lit(b))])
-    own = F.row_number().over(W.partitionBy("__p").orderBy(*parse_order(order)))
-    return ranged.withColumn(name, own.cast("long") + F.element_at(add, F.col("__p"))).select(*cols, name)
+    groups = list(group_by or [])
+    cols = [*fields, *[g for g in groups if g not in fields]]
+    keys = parse_order(order)
+    ranged = materialize(df.repartitionByRange(*groups, *keys).withColumn("__p", F.spark_partition_id()))  # the partition of a row must not change between uses
+    one = [F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)] or [F.lit(0).alias("__g0")]
+    names = [f"__g{i}" for i in range(len(one))]
+    marked = ranged.withColumns({n: c for n, c in zip(names, one)})
+    sizes = marked.groupBy(*names, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    own = W.partitionBy(*names)
+    crossing = sizes.withColumn("__parts", F.count(F.lit(1)).over(own)).where("__parts > 1")
+    before = crossing.withColumn("__before", F.coalesce(F.sum("__n").over(own.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # F.broadcast: at most two rows a partition
+    ahead = F.broadcast(before.select(*[F.col(n).alias(f"{n}b") for n in names], F.col("__p").alias("__pb"), "__before"))
+    same = [F.col("__p") == F.col("__pb"), *[F.col(n).eqNullSafe(F.col(f"{n}b")) for n in names]]
+    place = F.row_number().over(W.partitionBy("__p", *names).orderBy(*keys)).cast("long")
+    return marked.withColumn("__rn", place).join(ahead, same, "left").select(*cols, (F.col("__rn") + F.coalesce("__before", F.lit(0))).alias(name))
 
 
 def cell_position(df: DataFrame, cell_height: float, head: float, y0: float, name: str = "rn") -> DataFrame:

@@ -217,6 +217,11 @@ def kd_leaf(v: Column, splits: list[float]) -> Column:
     return out
 
 
+def by_leaf(df: DataFrame, splits: list[float], column: str = "cx") -> DataFrame:
+    """Rows with their leaf number, each leaf in a partition of its own."""
+    return df.withColumn("leaf", kd_leaf(F.col(column), splits)).repartitionById(len(splits) + 1, F.col("leaf"))
+
+
 def kd_route(splits: list[float], b: Box, pad: float = 0.0) -> list[int]:
     """Leaves that a box touches."""
     edges = [float("-inf"), *splits, float("inf")]

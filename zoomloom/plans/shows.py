@@ -137,7 +137,7 @@ def state_shapes(spark, d):
     lon, lat = -120 + F.col("n_nationkey") * 2.0, 30 + F.col("n_nationkey") * 0.5
     corner = lambda a, b: F.array(lon + a, lat + b)
     shape = F.struct(F.lit("Polygon").alias("type"), F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))).alias("coordinates"))
-    return table(spark, d, "nation").select("n_nationkey", geo.geojson_shape("albers", 960, 500)(F.to_json(shape)).alias("s")).select("n_nationkey", "s.*")
+    return table(spark, d, "nation").select("n_nationkey", geo.geojson_shape("albers", 960, 500)(F.to_json(shape)).alias("s")).select("n_nationkey", *[F.round(f"s.{c}", 4).alias(c) for c in ("cx", "cy", "width", "height")])
 
 
 def density_grid(spark, d):
@@ -150,6 +150,13 @@ def density_contours(spark, d):
     return density.contour_band(grid, [1.0, 5.0, 10.0]).groupBy("band").agg(F.round(F.sum("weight"), 3).alias("weight"))
 
 
+def contour_pieces(spark, d):
+    """Pieces of the contour lines of the raw dots, by threshold."""
+    t = table(spark, d, "dots_skewed_80_20").distinct().where("w between 0 and 100000 and h between 0 and 100000")
+    grid = density.density_grid(t, "w", "h", F.lit(1.0), 5000.0)
+    return density.contour_lines(grid, [2.5, 20.5]).groupBy("threshold").agg(F.count(F.lit(1)).alias("pieces"))
+
+
 def heat_alpha(spark, d):
     t = table(spark, d, "lineitem").groupBy("l_quantity").agg(F.count(F.lit(1)).alias("n"))
     lo_hi = t.agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
@@ -192,7 +199,7 @@ def parsed_numbers(spark, d):
     return table(spark, d, "documents").select("doc_id", scales.parse_number(F.substring_index("docket", " ", -1)).alias("v"))
 
 
-QUERIES = {f.__name__: f for f in (static_agg_pie, static_agg_bar, static_agg_treemap, static_agg_pack, static_agg_cloud, static_agg_stacked, static_agg_filtered, static_sample, pie_angles, stacked_bar_layout, filled_domain, radar_layout, table_rownum, table_rownum_grouped, table_canvas_height, join_two_table, join_self_dim, cross_pairs, games_with_teams, team_grid, choropleth_bins, geo_mercator, map_tiles, state_shapes, density_grid, density_contours, heat_alpha, heat_cells, stats_rollup, windowed_log, csv_roundtrip, schema_scan, score_text, parsed_numbers)}
+QUERIES = {f.__name__: f for f in (static_agg_pie, static_agg_bar, static_agg_treemap, static_agg_pack, static_agg_cloud, static_agg_stacked, static_agg_filtered, static_sample, pie_angles, stacked_bar_layout, filled_domain, radar_layout, table_rownum, table_rownum_grouped, table_canvas_height, join_two_table, join_self_dim, cross_pairs, games_with_teams, team_grid, choropleth_bins, geo_mercator, map_tiles, state_shapes, density_grid, density_contours, contour_pieces, heat_alpha, heat_cells, stats_rollup, windowed_log, csv_roundtrip, schema_scan, score_text, parsed_numbers)}
 
 _PRIO = "SELECT o_orderpriority, count(*) AS agg_value FROM orders GROUP BY ALL ORDER BY agg_value DESC, o_orderpriority LIMIT 20"
 _STACK = "SELECT o_orderpriority, o_orderstatus, count(*) AS agg_value FROM orders GROUP BY ALL ORDER BY agg_value DESC, o_orderpriority, o_orderstatus LIMIT 25"
@@ -200,7 +207,33 @@ _PI = math.pi
 _MERC = f"-ln(tan({_PI / 4!r}::DOUBLE + radians(lat) / 2)) / {2 * _PI!r}::DOUBLE"
 _CX, _CY = math.radians(-77.0) / (2 * _PI) * 4096, -math.log(math.tan(_PI / 4 + math.radians(38.9) / 2)) / (2 * _PI) * 4096
 
+_DOTS = "SELECT DISTINCT * FROM dots_skewed_80_20 WHERE w BETWEEN 0 AND 100000 AND h BETWEEN 0 AND 100000"
+_TAPS = [math.exp(-0.5 * (i / 1.5) ** 2) for i in range(-5, 6)]
+_KERNEL = "(VALUES " + ", ".join(f"({i - 5}, {v / sum(_TAPS)!r}::DOUBLE)" for i, v in enumerate(_TAPS)) + ")"
+_DISC = "(VALUES " + ", ".join(f"({a}, {b}, {1 - math.hypot(a, b) / 2!r}::DOUBLE)" for a in range(-2, 3) for b in range(-2, 3) if math.hypot(a, b) < 2) + ")"
+_N = (math.sin(math.radians(29.5)) + math.sin(math.radians(45.5))) / 2
+_C = 1 + math.sin(math.radians(29.5)) * (2 * _N - math.sin(math.radians(29.5)))
+_R0 = math.sqrt(_C - 2 * _N * math.sin(math.radians(38.7))) / _N
+_X0, _Y0 = _R0 * math.sin(_N * math.radians(-0.6)), -_R0 * math.cos(_N * math.radians(-0.6))
+
 ORACLE = {
+    "state_shapes": f"""WITH c AS (SELECT n_nationkey, k, -120 + n_nationkey * 2e0 + a AS lon, 30 + n_nationkey * 0.5e0 + b AS lat FROM nation, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) AS t(k, a, b)),
+r AS (SELECT *, sqrt({_C!r}::DOUBLE - {2 * _N!r}::DOUBLE * sin(radians(lat))) / {_N!r}::DOUBLE AS rho, {_N!r}::DOUBLE * radians(lon + 96) AS th FROM c),
+p AS (SELECT n_nationkey, k, (rho * sin(th) - ({_X0!r}::DOUBLE)) * 960 + 480 AS x, -(-rho * cos(th) - ({_Y0!r}::DOUBLE)) * 960 + 250 AS y FROM r),
+q AS (SELECT *, lead(x, 1, first_x) OVER w AS x2, lead(y, 1, first_y) OVER w AS y2 FROM (SELECT *, first_value(x) OVER v AS first_x, first_value(y) OVER v AS first_y FROM p WINDOW v AS (PARTITION BY n_nationkey ORDER BY k)) WINDOW w AS (PARTITION BY n_nationkey ORDER BY k)),
+s AS (SELECT n_nationkey, sum(x * y2 - x2 * y) / 2 AS area, sum((x + x2) * (x * y2 - x2 * y)) / 6 AS sx, sum((y + y2) * (x * y2 - x2 * y)) / 6 AS sy, max(x) - min(x) AS width, max(y) - min(y) AS height FROM q GROUP BY ALL)
+SELECT n_nationkey, round(sx / area, 4) AS cx, round(sy / area, 4) AS cy, round(width, 4) AS width, round(height, 4) AS height FROM s""",
+    "density_contours": f"""WITH d AS ({_DOTS}), g AS (SELECT CAST(floor(w / 2000.0) AS BIGINT) AS x, CAST(floor(h / 2000.0) AS BIGINT) AS y, count(*)::DOUBLE AS n FROM d GROUP BY ALL),
+b AS (SELECT x + i AS x, y, sum(n * k) AS n FROM g, {_KERNEL} AS t(i, k) GROUP BY ALL), c AS (SELECT x, y + i AS y, sum(n * k) AS n FROM b, {_KERNEL} AS t(i, k) GROUP BY ALL)
+SELECT (n >= 1)::INT + (n >= 5)::INT + (n >= 10)::INT AS band, round(sum(n), 3) AS weight FROM c GROUP BY ALL""",
+    "contour_pieces": f"""WITH d AS ({_DOTS}), g AS (SELECT CAST(floor(w / 5000.0) AS BIGINT) AS x, CAST(floor(h / 5000.0) AS BIGINT) AS y, count(*)::DOUBLE AS n FROM d GROUP BY ALL),
+s AS (SELECT x - i AS x, y - j AS y, sum(CASE WHEN i = 0 AND j = 0 THEN n ELSE 0 END) AS a, sum(CASE WHEN i = 1 AND j = 0 THEN n ELSE 0 END) AS b, sum(CASE WHEN i = 1 AND j = 1 THEN n ELSE 0 END) AS c, sum(CASE WHEN i = 0 AND j = 1 THEN n ELSE 0 END) AS e
+  FROM g, (VALUES (0), (1)) AS p(i), (VALUES (0), (1)) AS q(j) GROUP BY ALL),
+t AS (SELECT t AS threshold, (a >= t)::INT AS a, (b >= t)::INT AS b, (c >= t)::INT AS c, (e >= t)::INT AS e FROM s, (VALUES (2.5e0), (20.5e0)) AS u(t))
+SELECT threshold, sum(CASE WHEN a = c AND b = e AND a <> b THEN 2 ELSE 1 END)::BIGINT AS pieces FROM t WHERE a + b + c + e BETWEEN 1 AND 3 GROUP BY ALL""",
+    "heat_cells": f"""WITH d AS (SELECT * FROM dots_skewed_80_20 WHERE w BETWEEN 0 AND 100000 AND h BETWEEN 0 AND 100000), g AS (SELECT DISTINCT CAST(floor(w / 5000.0) AS BIGINT) AS x, CAST(floor(h / 5000.0) AS BIGINT) AS y FROM d),
+s AS (SELECT x + i AS cell_x, y + j AS cell_y, round(least(1e0, sum(0.01e0 * k)), 6) AS heat FROM g, {_DISC} AS t(i, j, k) GROUP BY ALL)
+SELECT *, CASE WHEN heat < 0.25 THEN 0 WHEN heat < 0.55 THEN 1 WHEN heat < 0.85 THEN 2 ELSE 3 END AS stop FROM s""",
     "static_agg_pie": _PRIO,
     "static_agg_bar": "SELECT p_brand, round(max(p_retailprice), 4) AS agg_value FROM part GROUP BY ALL ORDER BY max(p_retailprice) DESC, p_brand LIMIT 25",
     "static_agg_treemap": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 4) AS agg_value FROM lineitem GROUP BY ALL ORDER BY agg_value DESC, l_returnflag, l_linestatus LIMIT 80",
@@ -219,7 +252,7 @@ LEFT JOIN (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROU
 u AS (SELECT l_returnflag, 'q' AS measure, 0 AS i, q AS r FROM a UNION ALL SELECT l_returnflag, 'c', 1, c FROM a UNION ALL SELECT l_returnflag, 't', 2, t FROM a)
 SELECT l_returnflag, measure, round(r * cos({_PI / 2!r}::DOUBLE + i * {2 * _PI / 3!r}::DOUBLE), 6) AS px, round(-r * sin({_PI / 2!r}::DOUBLE + i * {2 * _PI / 3!r}::DOUBLE), 6) AS py FROM u""",
     "table_rownum": "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders",
-    "table_rownum_grouped": """WITH n AS (SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS rn FROM lineitem)
+    "table_rownum_grouped": """WITH n AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem)
 SELECT *, 50e0 + 40e0 * (rn - 0.5e0) AS cell_y FROM n""",
     "table_canvas_height": "SELECT count(*) * 40 + 50 AS height FROM orders WHERE o_orderstatus = 'F'",
     "join_two_table": "SELECT o.o_orderkey, c.c_name FROM orders o, customer c WHERE o.o_custkey = c.c_custkey AND c.c_acctbal < 0",
@@ -227,7 +260,7 @@ SELECT *, 50e0 + 40e0 * (rn - 0.5e0) AS cell_y FROM n""",
     "cross_pairs": "SELECT a.r_name AS one, b.r_name AS two FROM region a, region b",
     "games_with_teams": """WITH t AS (SELECT DISTINCT abbr, city FROM teams), g AS (SELECT id, upper(trim(home_team)) AS home, upper(trim(away_team)) AS away FROM games)
 SELECT g.id, home, h.city AS home_city, away, a.city AS away_city FROM g JOIN t h ON h.abbr = home JOIN t a ON a.abbr = away""",
-    "team_grid": "SELECT id, upper(trim(home_team)) AS team, CAST(row_number() OVER (PARTITION BY upper(trim(home_team)) ORDER BY id) AS INTEGER) AS rn FROM games WHERE home_team IS NOT NULL",
+    "team_grid": "SELECT id, upper(trim(home_team)) AS team, row_number() OVER (PARTITION BY upper(trim(home_team)) ORDER BY id) AS rn FROM games WHERE home_team IS NOT NULL",
     "choropleth_bins": "WITH r AS (SELECT c_nationkey, round(avg(c_acctbal), 6) AS v FROM customer GROUP BY ALL) SELECT c_nationkey, CAST((v >= 3000)::INT + (v >= 3500)::INT + (v >= 4000)::INT + (v >= 4500)::INT + (v >= 5000)::INT + (v >= 5500)::INT AS INTEGER) AS bin FROM r",
     "geo_mercator": f"""WITH p AS (SELECT c_custkey, c_custkey * 37 % 360 - 180e0 AS lon, (c_custkey * 17 % 160) - 80e0 AS lat FROM customer)
 SELECT c_custkey, round(radians(lon) / {2 * _PI!r}::DOUBLE * 4096e0 - ({_CX - 500!r}::DOUBLE), 4) AS x, round({_MERC} * 4096e0 - ({_CY - 400!r}::DOUBLE), 4) AS y FROM p""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,26 @@ def load_jdbc(spark: SparkSession, url: str, table: str, fetch: int = 1000, **op
     return spark.read.format("jdbc").options(url=url, dbtable=table, fetchsize=str(fetch), **options).load()
 
 
+class Connections:
+    """Databases by name: url and options are given once, tables and queries are read by name, each reader made once."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._known, self._made = spark, {}, {}
+
+    def register(self, name: str, url: str, **options: str) -> None:
+        self._known[name] = (url, options)
+        self._made = {k: v for k, v in self._made.items() if k[0] != name}
+
+    def read(self, name: str, table: str, fetch: int = 1000) -> DataFrame:
+        if name not in self._known:
+            raise KeyError(f"no database {name!r}")
+        key = (name, table, fetch)
+        if key not in self._made:
+            url, options = self._known[name]
+            self._made[key] = load_jdbc(self.spark, url, table, fetch, **options)
+        return self._made[key]
+
+
 def column_names(spark: SparkSession, sql: str, declared: list[str] | None = None) -> list[str]:
     """Declared names, else those of the query; no job runs."""
     return list(declared) if declared else spark.sql(sql).columns
@@ -41,7 +62,12 @@ def column_types(df: DataFrame) -> dict[str, str]:
 
 
 def rows_as_text(df: DataFrame, batch: int | None = None):
-    """Rows as lists of text for a client ('' for null): all, or partition by partition where batch is given."""
-    rows = df.toLocalIterator() if batch else df.collect()
-    for r in rows:
-        yield ["" if v is None else str(v) for v in r]
+    """Rows as lists of text for a client ('' for null). With a batch, lists of so many rows, read partition by partition, so that a result of any
+    size passes through the driver; without, the rows of a small result."""
+    text = lambda r: ["" if v is None else str(v) for v in r]
+    if not batch:
+        yield from map(text, df.collect())
+        return
+    rows = map(text, df.toLocalIterator(prefetchPartitions=True))
+    while part := list(itertools.islice(rows, batch)):
+        yield part
