@@ -48,6 +48,7 @@ _NOTE = re.compile(r"\s{4,}|\t\t|~{3}|<\|?\w+\|?>")
 _NUMBERED = re.compile(r"(?:[§¶]+\s*\d|[\[(（]\s*\d{1,4}\s*[\])）]|\d{1,4}[.、．]?\s+\S|\d{1,4}、)")
 _PAIRS = {"“": "”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "《": "》", "【": "】", "‹": "›", "〈": "〉"}
 _CLOSE = {v: k for k, v in _PAIRS.items()}
+_OPENS = {*_PAIRS, "„", '"'}
 _SPAN_CHARS = re.compile("[“”„\"«»「」『』()（）\\[\\]《》【】‹›〈〉]")
 _MARK = re.compile(
     "([.!?…؟।॥。！？．]+(?![0-9])|;)"
@@ -74,7 +75,7 @@ def numbered_headers(lines: list[str]) -> set[str]:
     """Lines that come again on the next page: alike but for their numbers, the last of which counts on by one."""
     alike: dict[str, list[str]] = {}
     for t in lines:
-        if len(t) < 60 and not _NUMBERED.match(t) and _ends_open(t) and _DIGITS.search(t):
+        if len(t) < 60 and _DIGITS.search(t) and not _NUMBERED.match(t) and _ends_open(t):
             alike.setdefault(_DIGITS.sub("0", t), []).append(t)
     out = set()
     for ts in alike.values():
@@ -84,7 +85,7 @@ def numbered_headers(lines: list[str]) -> set[str]:
 
 
 def _has_content(s: str) -> bool:
-    return _CONTENT.search(s) is not None
+    return s[:1].isalpha() or _CONTENT.search(s) is not None
 
 
 class Paragraph:
@@ -125,8 +126,9 @@ def paragraphs(text: str) -> list[Paragraph]:
         return []
     gaps = [b[0] - a[1] > 1 and len(_BREAK.findall(text, a[1], b[0])) > 1 for a, b in zip(lines, lines[1:])]
     # blank lines around page headers say nothing about the layout of the rest
-    again = numbered_headers([t for _, _, t in lines])
-    head = [t in again or is_header(t) for _, _, t in lines]
+    short = [t for _, _, t in lines if len(t) < 60 and _DIGITS.search(t)]
+    again = numbered_headers(short) if len(short) > 1 else ()
+    head = [len(t) < 60 and (t in again or is_header(t)) for _, _, t in lines]
     apart = [g for g, a, b in zip(gaps, head, head[1:]) if not a and not b]
     spaced = sum(apart) >= max(1, 0.04 * len(apart))
     widths = [len(t) for _, _, t in lines]
@@ -136,10 +138,11 @@ def paragraphs(text: str) -> list[Paragraph]:
         kind = "header" if head[i] else "mark" if not _has_content(t) else "note" if len(t) < 80 and _NOTE.search(t) else "text"
         if i and not gaps[i - 1] and kind != "header" and out[-1].kind == "text" and (kind == "text" or spaced):
             before = lines[i - 1][2]
-            word = _WORD.match(t).group()
-            first = 1 if _CJK.match(t) else len(word)
-            full = len(before) + 1 + first > widest - (2 if first == 1 else 0)
-            if out[-1].kind == "text" and (spaced and (len(before) <= 130 or t[0].islower()) or widest <= 130 and full and widest >= 50 and _ends_open(before)):
+            go = spaced and (len(before) <= 130 or t[0].islower())
+            if not go and 50 <= widest <= 130:
+                first = 1 if _CJK.match(t) else len(_WORD.match(t).group())
+                go = len(before) + 1 + first > widest - (2 if first == 1 else 0) and _ends_open(before)
+            if go:
                 out[-1].end = b
                 out[-1].lines += 1
                 continue
@@ -154,20 +157,23 @@ def paragraphs(text: str) -> list[Paragraph]:
 
 def _spans(body: str) -> list[tuple[int, int]]:
     """(open, close) of quotations and brackets that do close; in order of opening, outermost only."""
-    waits: dict[str, list[int]] = {c: [] for c in (*_PAIRS, "„", '"')}  # a stack a sign: no search, so no bound on the depth
+    first = _SPAN_CHARS.search(body)
+    if first is None:
+        return []
+    waits: dict[str, list[int]] = {}  # a stack a sign: no search, so no bound on the depth
     found = []
-    for m in _SPAN_CHARS.finditer(body):
+    for m in _SPAN_CHARS.finditer(body, first.start()):
         c, at = m.group(), m.start()
-        if c == "“" and waits["„"] or c == '"' and waits['"']:
+        if c == "“" and waits.get("„") or c == '"' and waits.get('"'):
             want = "„" if c == "“" else '"'
-        elif c in waits:
-            waits[c].append(at)
+        elif c in _OPENS:
+            waits.setdefault(c, []).append(at)
             continue
-        elif c == "”" and not waits["“"] and waits["„"]:
+        elif c == "”" and not waits.get("“") and waits.get("„"):
             want = "„"
         else:
             want = _CLOSE.get(c)
-        if want and waits[want]:
+        if want and waits.get(want):
             start = waits[want].pop()
             found.append((start, at))
             for w in waits.values():  # what opened inside and still waits never closes
@@ -273,28 +279,34 @@ def right_features(n: str, nn: str) -> tuple[list[str], str, str]:
     return [f"n{n}", f"t{ns}", f"u{nn}", f"nu{n}|{nn}"], n, ns
 
 
-def joint_features(pn: str, ps: str, kind: str, closers: str, gap: bool, n: str, ns: str, script: str, sign: bool) -> list[str]:
-    return ["b", f"m{kind}{script}", f"st{ps}{ns}", f"pt{pn}|{ns}", f"sn{ps}|{n}", f"c{closers[-1:]}{ns}", f"g{gap}{ps}{ns}", f"r{sign}"]
+def shape_features(ps: str, ns: str, kind: str, closer: str, gap: bool, script: str, sign: bool) -> list[str]:
+    return ["b", f"m{kind}{script}", f"st{ps}{ns}", f"c{closer}{ns}", f"g{gap}{ps}{ns}", f"r{sign}"]
+
+
+_left_known, _right_known = functools.lru_cache(50_000)(left_features), functools.lru_cache(50_000)(right_features)
 
 
 def features(before: str, mark: str, closers: str, gap: bool, after: str, sign: bool = False) -> list[str]:
     """All features of a candidate; sign tells whether mark and surroundings follow one of the shapes that `candidates` calls sure."""
-    left, pn, ps, kind = left_features(*_end_tokens(before), mark)
-    right, n, ns = right_features(*_start_token(after))
-    return [*left, *right, *joint_features(pn, ps, kind, closers, gap, n, ns, _script(after.lstrip()[:1]), sign)]
+    left, pn, ps, kind = _left_known(*_end_tokens(before), mark)
+    right, n, ns = _right_known(*_start_token(after))
+    return [*left, *right, *shape_features(ps, ns, kind, closers[-1:], gap, _script(after.lstrip()[:1]), sign), f"pt{pn}|{ns}", f"sn{ps}|{n}"]
 
 
 class Candidate:
     __slots__ = ("at", "sure", "args", "inner")
 
     def __init__(self, at, sure, args, inner=False):
-        self.at, self.sure, self.args, self.inner = at, sure, args, inner
+        self.at = at
+        self.sure = sure
+        self.args = args
+        self.inner = inner
 
 
 def candidates(body: str, inner: bool = False) -> list[Candidate]:
     """Candidates of a paragraph by position. sure is True (the shape leaves no doubt), False (no boundary) or None; the model decides on all but False.
 
-    inner: also those inside brackets and quotations, which are never boundaries (for training).
+    inner: also those that are none beyond doubt, such as those inside brackets and quotations (for training).
     """
     spans = _spans(body)
     opens = {a for a, _ in spans}
@@ -304,14 +316,18 @@ def candidates(body: str, inner: bool = False) -> list[Candidate]:
     k = 0
     size = len(body)
     for m in _MARK.finditer(body):
-        at, mark, end, closers = m.start(), m.group(1), m.end(), m.group(2)
+        at, end = m.span()
+        if at < skip or end >= size:
+            continue
+        nxt = body[end]
+        if not inner and nxt == " " and body[end + 1].islower() and m.group(1) != ";" and not m.group(2):
+            continue  # goes on beyond doubt
+        mark, closers = m.groups()
         if closers and opens:  # a sign that opens what follows does not close this
             for j in range(m.start(2), end):
                 if j in opens and body[j] in '“"':
                     end, closers = j, body[m.start(2) : j]
                     break
-        if at < skip or end >= size:
-            continue
         nxt = body[end]
         if not inner and (nxt in ",;:" or nxt == " " and body[end + 1].islower()):
             continue  # goes on beyond doubt
@@ -327,16 +343,16 @@ def candidates(body: str, inner: bool = False) -> list[Candidate]:
                 out.append(Candidate(end, False, (body[max(0, at - 48) : at], mark, "", True, body[end : end + 60]), True))
             continue
         rest = body[end : end + 60]
-        ahead = rest.lstrip()
+        ahead = rest.lstrip() if blank else rest
         if not ahead:
             continue
         c = ahead[0]
+        none = c.islower() or c in _GOES_ON and not (c in "-–—" and blank and len(ahead) > 1 and ahead[1].isalpha())
+        if none and not inner:
+            continue
         before = body[max(0, at - 48) : at]
         args = (before, mark, closers, blank, rest)
-        if c in _GOES_ON and not (c in "-–—" and blank and len(ahead) > 1 and ahead[1].isalpha()):
-            out.append(Candidate(end, False, args))
-            continue
-        if c.islower():
+        if none:
             out.append(Candidate(end, False, args))
             continue
         cjk = mark[0] in "。！？．" or _CJK.match(c) or _CJK.match(before[-1:] or " ")
@@ -381,36 +397,54 @@ def candidates(body: str, inner: bool = False) -> list[Candidate]:
 
 
 class Model:
-    """Weights by feature; the score of a candidate is their sum."""
+    """Weights by feature; the score of a candidate is their sum.
+
+    Sums of features are kept by all that these features read: the tokens before and the mark, the tokens after, and the shapes of both sides.
+    """
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
         self.left: dict[tuple, tuple] = {}
         self.right: dict[tuple, tuple] = {}
+        self.shapes: dict[tuple, float] = {}
         self.cuts: dict[str, list[tuple[int, int]]] = {}
 
+    def _sum(self, names: list[str]) -> float:
+        get = self.weights.get
+        return sum([get(f, 0.0) for f in names])
+
     def boundary(self, args: tuple, sign: bool = False) -> bool:
-        """Whether the score is positive. The parts of either side are kept by all that they read: two tokens and the mark."""
+        """Whether the score is positive."""
         before, mark, closers, gap, after = args
-        w = self.weights
         key = (*_end_tokens(before), mark)
         left = self.left.get(key)
         if left is None:
             if len(self.left) > 100_000:
                 self.left.clear()
-            names, *rest = left_features(*key)
-            left = self.left[key] = (sum(w.get(f, 0.0) for f in names), *rest)
+            names, pn, ps, kind = left_features(*key)
+            left = self.left[key] = (self._sum(names), pn, ps, kind, {})
         key = _start_token(after)
         right = self.right.get(key)
         if right is None:
             if len(self.right) > 100_000:
                 self.right.clear()
-            names, *rest = right_features(*key)
-            right = self.right[key] = (sum(w.get(f, 0.0) for f in names), *rest)
-        score = left[0] + right[0]
-        for f in joint_features(left[1], left[2], left[3], closers, gap, right[1], right[2], _script(after.lstrip()[:1]), sign):
-            score += w.get(f, 0.0)
-        return score > 0
+            names, n, ns = right_features(*key)
+            right = self.right[key] = (self._sum(names), n, ns, {})
+        one, pn, ps, kind, by_start = left
+        two, n, ns, by_end = right
+        c = after.lstrip()[:1]
+        key = (ps, ns, kind, closers[-1:], gap, "L" if c < "\u0370" else _script(c), sign)
+        three = self.shapes.get(key)
+        if three is None:
+            if len(self.shapes) > 100_000:
+                self.shapes.clear()
+            three = self.shapes[key] = self._sum(shape_features(*key))
+        four, five = by_start.get(ns), by_end.get(ps)
+        if four is None:
+            four = by_start[ns] = self.weights.get(f"pt{pn}|{ns}", 0.0)
+        if five is None:
+            five = by_end[ps] = self.weights.get(f"sn{ps}|{n}", 0.0)
+        return one + two + three + four + five > 0
 
 
 def _cut_in_two(text: str, a: Paragraph, b: Paragraph, model: Model) -> bool:
@@ -487,7 +521,7 @@ def _cut(body: str, model: Model) -> list[tuple[int, int]]:
     """Units of one paragraph."""
     out = []
     last = 0
-    for at in [*(c.at for c in candidates(body) if c.sure is not False and model.boundary(c.args, bool(c.sure))), len(body)]:
+    for at in [*[c.at for c in candidates(body) if c.sure is not False and model.boundary(c.args, bool(c.sure))], len(body)]:
         piece = body[last:at]
         if _has_content(piece):
             out.append((last + len(piece) - len(piece.lstrip()), last + len(piece.rstrip())))
@@ -522,6 +556,7 @@ def labelled(texts: list[str], rng: np.random.Generator, most: int = MOST_ROWS)
     bad: list[tuple] = []
     unsure: list[tuple] = []
     ends_of, inside_of, starts_of, within_of = Counter(), Counter(), Counter(), Counter()
+    known: dict[str, list[Candidate]] = {}  # paragraphs of the sample, many of which repeat
     for t in texts:
         parts = paragraphs(t)
         for i, p in enumerate(parts):
@@ -556,7 +591,10 @@ def labelled(texts: list[str], rng: np.random.Generator, most: int = MOST_ROWS)
                 if last is not None and last.end() == len(body) and (last.group(1) != ";"):
                     ends.append((body[: last.start()][-48:], last.group(1), last.group(2)))
                     ends_of[_end_tokens(body[: last.start()])[0]] += 1
-            for c in candidates(body, inner=True):
+            told = known.get(body)
+            if told is None:
+                told = known[body] = candidates(body, inner=True)
+            for c in told:
                 p_, n_ = _end_tokens(c.args[0])[0], _start_token(c.args[4])[0]
                 inside_of[p_] += 1
                 within_of[n_] += 1
@@ -630,8 +668,10 @@ def training_texts(df: DataFrame, ident: str, text: str, docs: int = TRAIN_DOCS)
     """
     body = F.col(text).cast("string")
     head = F.substring(body, 1, SCRIPT_HEAD)
-    most = F.greatest(*[F.struct(F.length(F.regexp_replace(head, f"[^{span}]+", "")).alias("n"), F.lit(s).alias("s")) for s, span in _SCRIPTS.items()])
-    script = F.when(F.octet_length(head) < 1.3 * F.length(head), "L").otherwise(F.when(most["n"] > 0, most["s"]).otherwise("L"))
+    # the middle one of all letters of these scripts; texts with few of them are not looked at
+    known = F.regexp_replace(head, f"[^{''.join(_SCRIPTS.values())}]+", "")
+    middle = F.substring(known, (F.length(known) / 2 + 1).cast("int"), 1)
+    script = F.when(F.octet_length(head) < 1.3 * F.length(head), "L").otherwise(functools.reduce(lambda rest, e: F.when(middle.rlike(f"[{e[1]}]"), e[0]).otherwise(rest), _SCRIPTS.items(), F.lit("L")))
     some = df.where(body.isNotNull())
     count = {r["s"]: r["count"] for r in some.groupBy(script.alias("s")).count().collect()}
     total = sum(count.values())
