@@ -63,6 +63,7 @@ _DIGITS = re.compile(r"\d+")
 _CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
 _OPENING = "“„«「『(（[《【‹"
 _LEAD = "“„«\"'‘(（[「『¿¡"
+_LEAD_BLANKS = _LEAD + " \u00a0\u202f"
 _GOES_ON = set(",;:،；，、·)]}»”–—-/%&=+|")
 _STRONG = set("!?؟।॥。！？")
 
@@ -216,17 +217,24 @@ def _plain(w: str) -> str:
     return _DIGITS.sub("0", w)
 
 
+def _cjk(c: str) -> bool:
+    """Whether a text starts with a character of the scripts of `_CJK`."""
+    return c > "\u303f" and _CJK.match(c) is not None
+
+
 def _start_token(after: str) -> tuple[str, str]:
     """Normal form of the first and second token of what follows."""
     after = after.lstrip()
     if not after:
         return "", ""
-    lead = after[0] if after[0] in _LEAD else ""
-    rest = after.lstrip(_LEAD + "   ")
-    if _CJK.match(rest):
-        return lead + rest[:2], rest[2:4]
-    if rest and "฀" <= rest[0] <= "๿":
-        return lead + rest[:8].split(" ")[0], ""
+    lead, rest = "", after
+    if after[0] in _LEAD:
+        lead, rest = after[0], after.lstrip(_LEAD_BLANKS)
+    if rest > "\u0e00":
+        if _cjk(rest):
+            return lead + rest[:2], rest[2:4]
+        if rest[0] <= "\u0e7f":
+            return lead + rest[:8].split(" ")[0], ""
     parts = rest[:60].split(None, 2)
     if not parts:
         return lead, ""
@@ -236,16 +244,19 @@ def _start_token(after: str) -> tuple[str, str]:
 def _end_tokens(before: str) -> tuple[str, str]:
     """Last and last but one token of what stands before a mark."""
     tail = before[-48:]
-    if tail and _CJK.match(tail[-1]):
-        return tail[-2:], tail[-4:-2]
-    if tail and "฀" <= tail[-1] <= "๿":
-        return tail[-8:].rsplit(" ", 1)[-1], ""
-    parts = tail.split()
+    c = tail[-1:]
+    if c >= "\u0e00":
+        if _cjk(c):
+            return tail[-2:], tail[-4:-2]
+        if c <= "\u0e7f":
+            return tail[-8:].rsplit(" ", 1)[-1], ""
+    parts = tail.rsplit(None, 2)
     if not parts:
         return "", ""
-    if "." in parts[-1]:
-        parts[-1] = _GLUED.sub("", parts[-1])
-    return parts[-1].lstrip(_LEAD)[-20:], parts[-2].lstrip(_LEAD)[-16:] if len(parts) > 1 else ""
+    last = parts[-1]
+    if "." in last:
+        last = _GLUED.sub("", last)
+    return last.lstrip(_LEAD)[-20:], parts[-2].lstrip(_LEAD)[-16:] if len(parts) > 1 else ""
 
 
 def _script(c: str) -> str:
@@ -355,11 +366,11 @@ def candidates(body: str, inner: bool = False) -> list[Candidate]:
         if none:
             out.append(Candidate(end, False, args))
             continue
-        cjk = mark[0] in "。！？．" or _CJK.match(c) or _CJK.match(before[-1:] or " ")
+        cjk = mark[0] in "。！？．" or _cjk(c) or _cjk(before[-1:])
         if cjk and not blank:
             if (mark[0] in "。！？" or mark[0] == "．" and not nxt.isdigit()) and not closers:
                 out.append(Candidate(end, True, args))
-            elif mark[0] in "!?" and not closers and _CJK.match(before[-1:] or " "):
+            elif mark[0] in "!?" and not closers and _cjk(before[-1:]):
                 out.append(Candidate(end, True, args))
             continue
         if not blank:
@@ -432,7 +443,9 @@ class Model:
             right = self.right[key] = (self._sum(names), n, ns, {})
         one, pn, ps, kind, by_start = left
         two, n, ns, by_end = right
-        c = after.lstrip()[:1]
+        c = after[1:2] if after[:1] == " " else after[:1]
+        if c.isspace():
+            c = after.lstrip()[:1]
         key = (ps, ns, kind, closers[-1:], gap, "L" if c < "\u0370" else _script(c), sign)
         three = self.shapes.get(key)
         if three is None:
