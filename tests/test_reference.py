@@ -441,8 +441,8 @@ def test_engine(spark, tmp_path):
     assert (base["x"], base["y"]) == (5, 10) and spark.table("pts").count() == 3000, "the base table changes too, through the reverse function"
     e.flush_log()
     log = spark.read.parquet(f"{tmp_path}/stats")
-    assert {r["query_type"] for r in log.select("query_type").distinct().collect()} == {"dynamic_box", "tile", "update"} and log.where("fetch_time_ms <= 0").isEmpty()
-    assert log.where("query_type = 'dynamic_box'").agg(F.max("rows_fetched")).first()[0] > 100
+    assert {r["query_type"] for r in log.select("query_type").distinct().collect()} == {"pan", "jump", "tile", "update"} and log.where("fetch_time_ms <= 0").isEmpty()
+    assert log.where("query_type = 'pan'").agg(F.max("rows_fetched")).first()[0] > 100
 
 
 def test_views_of_jumps(spark, tmp_path):

@@ -42,7 +42,7 @@ class Engine:
     def load(self, p: Project, force: bool = False) -> list[tuple[str, int]]:
         """Check a project and build the layers that changed since it was last loaded, by this or an earlier session; returns those built."""
         p.check()
-        kept = None if force else self.project or load_document(self.spark, f"{self.folder}/projects", p.name)
+        kept = None if force else load_document(self.spark, f"{self.folder}/projects", p.name)  # not the project, which may have changed since
         todo = stale_layers(kept, p)
         self.project = p
         self._tiles.clear()
@@ -135,7 +135,7 @@ class Engine:
 
     # fetching
 
-    def dynamic_box(self, canvas: str, mx: float, my: float, view: str, predicates: dict[int, Predicate] | None = None, old: Box | None = None) -> tuple[Box, dict[int, DataFrame]]:
+    def dynamic_box(self, canvas: str, mx: float, my: float, view: str, predicates: dict[int, Predicate] | None = None, old: Box | None = None, kind: str = "pan") -> tuple[Box, dict[int, DataFrame]]:
         """The box around a viewport and the rows of each dynamic, untiled layer; only what the old box lacks for delta layers."""
         began, total = time.time(), 0
         c, v = self.project.canvases[canvas], self.project.views[view]
@@ -148,18 +148,18 @@ class Engine:
             rows = self.written(canvas, i).added(box, old if layer.delta else None)
             out[i], n = self._run(rows.where(to_column((predicates or {}).get(i, Everything()))))
             total += n
-        self._note(canvas, "dynamic_box", began, total)
+        self._note(canvas, kind, began, total)
         return box, out
 
-    def pan(self, canvas: str, mx: float, my: float, view: str) -> dict[int, DataFrame]:
-        """Client state after a pan: fetched only near the edge of what is held, without duplicates."""
+    def pan(self, canvas: str, mx: float, my: float, view: str, kind: str = "pan") -> dict[int, DataFrame]:
+        """Client state after a pan: fetched only near the edge of what is held, without duplicates. A state may be read until the next fetch of its view."""
         v = self.project.views[view]
         key = (canvas, view)
         self._at[view] = (canvas, mx, my)
         held = self._held.get(key)
         if held is not None and not viewport.needs_fetch(mx, my, v.width, v.height, held[0], *self.size(canvas, self._predicates.get(key))):
             return held[1]
-        box, new = self.dynamic_box(canvas, mx, my, view, self._predicates.get(key), old=held[0] if held else None)
+        box, new = self.dynamic_box(canvas, mx, my, view, self._predicates.get(key), old=held[0] if held else None, kind=kind)
         layers = self.project.canvases[canvas].layers
         state = {i: (materialize(viewport.incremental(df, held[1][i], box)) if held and layers[i].delta else df) for i, df in new.items()}
         self._held[key] = (box, state)
@@ -257,7 +257,7 @@ class Engine:
         if j.type == "slide" and t.corner is None:
             v = self.project.views[dest]
             corner = navigation.slide(corner, (v.width, v.height), j.slide_direction)
-        return self.pan(t.canvas, *corner, dest)
+        return self.pan(t.canvas, *corner, dest, "jump")
 
     def zoom(self, view: str, inward: bool, at: tuple[float, float] | None = None) -> dict[int, DataFrame]:
         """Literal zoom of a view: the point `at` of the viewport (its middle, if none is given) stays where it is."""
@@ -272,7 +272,7 @@ class Engine:
         corner = tuple(min(max(0.0, c), max(0.0, whole - part)) for c, whole, part in zip(corner, (b.w, b.h), (v.width, v.height)))
         self._forget((j.dest, view))
         self._fire("zoom", j.dest)
-        return self.pan(j.dest, *corner, view)
+        return self.pan(j.dest, *corner, view, "jump")
 
     # changing
 

@@ -105,7 +105,7 @@ mm AS (SELECT DISTINCT * FROM m)"""
 
 
 
-def _levels() -> str:
+def levels_sql() -> str:
     """All levels of DEEP: hN the heads of level N with rank and position there, kN (id, head) of every base row."""
     source = "pos"
     parts = [_POINTS.replace("960e0", "940e0").replace("20e0) * 2e0", "30e0) * 8e0")]
@@ -130,15 +130,15 @@ ORACLE = {
     "ssv_level_heads": _HEADS + " SELECT id, round(x, 6) AS x, round(y, 6) AS y FROM h",
     "ssv_cluster_aggs": _MEMBERS + " SELECT head, c_mktsegment, count(*) AS n, round(sum(c_acctbal), 4) AS sum, round(min(c_acctbal), 4) AS min, round(max(c_acctbal), 4) AS max, round(sum(c_acctbal * c_acctbal), 4) AS sqrsum FROM mm GROUP BY ALL",
     "ssv_topk": _MEMBERS + " SELECT head, CAST(row_number() OVER (PARTITION BY head ORDER BY pz DESC, id) AS INTEGER) AS place, id FROM mm QUALIFY place <= 3",
-    "ssv_bgrp": _levels() + """, c AS (SELECT level, head, count(*) AS n, sum(c_acctbal) AS s FROM m GROUP BY ALL)
+    "ssv_bgrp": levels_sql() + """, c AS (SELECT level, head, count(*) AS n, sum(c_acctbal) AS s FROM m GROUP BY ALL)
 SELECT level, count(*) AS rough_n, min(n) AS min_n, max(n) AS max_n, round(min(s), 4) AS min_sum_c_acctbal, round(max(s), 4) AS max_sum_c_acctbal FROM c GROUP BY ALL""",
-    "ssv_hull": _levels() + """, d AS (SELECT DISTINCT level, head, c_acctbal AS x, py AS y FROM m), size AS (SELECT level, head, count(*) AS n FROM d GROUP BY ALL),
+    "ssv_hull": levels_sql() + """, d AS (SELECT DISTINCT level, head, c_acctbal AS x, py AS y FROM m), size AS (SELECT level, head, count(*) AS n FROM d GROUP BY ALL),
 a AS (SELECT p.level, p.head, p.x, p.y, atan2(q.y - p.y, q.x - p.x) AS w FROM d p JOIN d q ON p.level = q.level AND p.head = q.head AND (p.x <> q.x OR p.y <> q.y)),
 gap AS (SELECT level, head, x, y, coalesce(lead(w) OVER o, first_value(w) OVER o + 2 * pi()) - w AS g FROM a WINDOW o AS (PARTITION BY level, head, x, y ORDER BY w))
 SELECT level, head, x, y FROM gap GROUP BY ALL HAVING max(g) > pi() + 1e-9
 UNION ALL SELECT level, head, x, y FROM d JOIN size USING (level, head) WHERE n = 1""",
-    "ssv_wire": _levels() + """, c AS (SELECT level, head, count(*)::DOUBLE AS n, sum(c_acctbal) AS s, avg(c_acctbal) AS a FROM m GROUP BY ALL)
+    "ssv_wire": levels_sql() + """, c AS (SELECT level, head, count(*)::DOUBLE AS n, sum(c_acctbal) AS s, avg(c_acctbal) AS a FROM m GROUP BY ALL)
 SELECT level, head, 'count(*)' AS key, n AS v FROM c UNION ALL SELECT level, head, 'sum(c_acctbal)', round(s + 1e-9, 4) FROM c UNION ALL SELECT level, head, 'avg(c_acctbal)', round(a + 1e-9, 4) FROM c""",
-    "ssv_moments": _levels() + "SELECT level, head, count(*) AS n, round(sum(c_acctbal), 4) AS sum_x, round(sum(py), 4) AS sum_y, round(sum(c_acctbal * c_acctbal + py * py), 4) AS xysqrsum FROM m GROUP BY ALL",
+    "ssv_moments": levels_sql() + "SELECT level, head, count(*) AS n, round(sum(c_acctbal), 4) AS sum_x, round(sum(py), 4) AS sum_y, round(sum(c_acctbal * c_acctbal + py * py), 4) AS xysqrsum FROM m GROUP BY ALL",
     "ssv_conservation": "SELECT CAST(l AS INTEGER) AS level, n FROM range(4) AS t(l), (SELECT count(*) AS n FROM customer WHERE c_acctbal IS NOT NULL)",
 }

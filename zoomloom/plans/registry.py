@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from zoomloom.plans import corpus, fetch, pyramids, shows
+from zoomloom.plans import corpus, fetch, pyramids, sessions, shows
 
-MODULES = [fetch, shows, pyramids, corpus]
+MODULES = [fetch, shows, pyramids, sessions, corpus]
 FLAGSHIP = "viewport_box"
 
 
