@@ -158,17 +158,16 @@ def near_pairs_by_key(
         # F.broadcast: fewer than LARGE rows a task, see above. A spot is four reaches wide.
         spot = [F.floor(F.col(c) / F.lit(4.0 * (r or 0.25))) for c, r in (("x", reach_x), ("y", reach_y))]
         tile = [F.least(F.floor((F.col(c) - lo) / side * F.col(g)), F.col(g) - 1).cast("int").alias(t) for c, lo, side, g, t in (("x", x0, side_x, "gx", "tx"), ("y", y0, side_y, "gy", "ty"))]
-        placed = clean.join(F.broadcast(grid), "k").select("ki", *tile, *[c.alias(n) for c, n in zip(spot, ("sx", "sy"))], "i")
-        tiles = placed.groupBy("ki", "tx", "ty").agg(F.count(F.lit(1)).alias("n")).collect()
-        seen = placed.where(F.pmod(F.xxhash64("i"), F.lit(SPOTS)) == 0).groupBy("ki", "tx", "ty", "sx", "sy").agg(F.count(F.lit(1)).alias("s"))
-        # of s records seen, s (s - 1) pairs; a record's candidates lie in 9 of the 16 cells of a spot
-        crowded = seen.where("s > 1").groupBy("ki", "tx", "ty").agg(F.sum(F.col("s") * (F.col("s") - 1) * (SPOTS * SPOTS * 9 / 16)).alias("c")).collect()
-        more = {(r["ki"], r["tx"], r["ty"]): r["c"] for r in crowded}
-        for r in tiles:
+        seen = F.pmod(F.xxhash64("i"), F.lit(SPOTS)) == 0
+        placed = clean.join(F.broadcast(grid), "k").select("ki", *tile, *[F.when(seen, c).alias(n) for c, n in zip(spot, ("sx", "sy"))])
+        counts = placed.groupBy("ki", "tx", "ty", "sx", "sy").agg(F.count(F.lit(1)).alias("s"))  # the records not seen are one row a tile
+        # of s records seen at a spot, s (s - 1) pairs; a record's candidates lie in 9 of the 16 cells of a spot
+        pairs_ = F.sum(F.when(F.col("sx").isNotNull(), F.col("s") * (F.col("s") - 1))) * (SPOTS * SPOTS * 9 / 16)
+        for r in counts.groupBy("ki", "tx", "ty").agg(F.sum("s").alias("n"), pairs_.alias("c")).collect():
             gx, gy = sides[r["ki"]]
             at = first_tile[r["ki"]] + r["tx"] * gy + r["ty"]
             tile_rows[at] = r["n"]
-            tile_n[at] = r["n"] + more.get((r["ki"], r["tx"], r["ty"]), 0.0)
+            tile_n[at] = r["n"] + (r["c"] or 0.0)
     shards, first, bins = pack_pairs(np.concatenate([bucket_loads, np.array(tile_n)]), np.concatenate([bucket_loads, np.array(tile_rows)]), tasks, 2 * ROWS_PER_TASK)
 
     big_keys = pa.array([b[0] for b in big]) if big else None
