@@ -176,6 +176,16 @@ def test_corpus_round_trip(spark, compare, public, name):
     assert counts == {k: len(v) for k, v in ids.items()}
 
 
+def test_very_long_words(public):
+    """Unbroken words of many letters: equal to the public encoder, beside short ones, and in reasonable time."""
+    tk, model = public("byte_bpe_50k"), load_vocabulary("/opt/tokenizers/byte_bpe_50k.tiktoken")
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgrstuvxyz") for _ in range(n)) for n in (20_000, 9_000, 30)] + ["a" * 50_000, "short", "ไทย" * 4_000]
+    flat, off = Encoder("byte_bpe_50k").encode(texts)
+    assert [flat[a:b].tolist() for a, b in zip(off, off[1:])] == [tk.encode_ordinary(t) for t in texts]
+    assert model.decode(model.merge_one(("xy" * 150_000).encode())) == b"xy" * 150_000
+
+
 def test_encoding_edges(spark):
     df = spark.createDataFrame([(1, None, "x"), (None, "", "x"), (2, "a " * 700_000, "x"), (2, "b", "x")], "doc long, words string, ids string")
     got = sorted((r[0] or 0, len(r[1])) for r in encode_corpus(df, "doc", "words").collect())

@@ -5,7 +5,7 @@ Plan
    the public pattern ('s|'t|... | ?letters| ?numbers| ?others|blanks) in array operations.
 2. Words not seen before by this worker are encoded together: their symbols lie in one flat array; each round looks up all
    neighbouring pairs by binary search over sorted pair keys, finds the lowest rank of every word and merges it
-   everywhere, until no word has a known pair left.
+   everywhere, until no word has a known pair left. Words of more than LONG bytes would need very many rounds and are merged by a heap.
 3. Ids of a text are gathered from its words' ids. Nothing is shuffled; the vocabulary file is read on each node from a path
    that is a parameter.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import heapq
 import os
 
 import numpy as np
@@ -26,6 +27,7 @@ from zoomloom.session import check_names, widen
 
 FOLDER = "/opt/tokenizers"
 CHUNK = 1_000_000  # characters worked on at once
+LONG = 8_192  # bytes of a word that is merged by itself
 WORDS = 400_000  # distinct words kept by a worker
 _SHIFT = 20
 _NONE = np.int64(2**62)
@@ -112,8 +114,43 @@ class BytePairs:
             out[i] = any(c.isalpha() or c == "\ufffd" for c in t.decode("utf-8", "replace"))
         return out
 
+    @functools.cached_property
+    def table(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.ranks.tolist()))
+
+    def merge_one(self, word: bytes) -> list[int]:
+        """Ids of one very long word: pairs wait in a heap by rank and place, so the work does not grow with rounds times length."""
+        sym = self.byte_ids[np.frombuffer(word, dtype=np.uint8)].tolist()
+        size, table = len(sym), self.table
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        rank_of = lambda i: table.get(sym[i] << _SHIFT | sym[after[i]]) if sym[i] >= 0 and after[i] < size else None
+        heap = [(r, i) for i in range(size - 1) if (r := rank_of(i)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            if rank_of(i) != rank:
+                continue  # one of the two is part of another symbol by now
+            j = after[i]
+            sym[i], sym[j], after[i] = rank, -1, after[j]
+            if after[j] < size:
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0 and (r := rank_of(k)) is not None:
+                    heapq.heappush(heap, (r, k))
+        return [s for s in sym if s >= 0]
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths) of the words, flat and in order."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if long:
+            own = {i: np.array(self.merge_one(words[i]), dtype=np.int64) for i in long}
+            ids, sizes = self.merge([w for i, w in enumerate(words) if i not in own])
+            every, ends = np.zeros(len(words), dtype=np.int64), np.cumsum(sizes)
+            short = np.array([i for i in range(len(words)) if i not in own], dtype=np.int64)
+            every[short] = sizes
+            every[long] = [len(own[i]) for i in long]
+            parts = dict(zip(short.tolist(), np.split(ids, ends[:-1]) if len(ends) else []))
+            return np.concatenate([own[i] if i in own else parts[i] for i in range(len(words))]), every
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         sym = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
