@@ -68,6 +68,9 @@ class Written:
             raise FileNotFoundError(f"no layer in {path}")
         self.layout, self.side = self.told["layout"], self.told["side"]
 
+    def exists(self) -> bool:
+        return manifest.manifest(self.spark, self.path) is not None
+
     @property
     def stored(self) -> DataFrame:
         return manifest.read_table(self.spark, self.path, self.told)

@@ -32,7 +32,7 @@ _written: dict[tuple, layouts.Written] = {}
 def layer(spark: SparkSession, d: str, layout: str = "box", rows=None) -> layouts.Written:
     """lineitem as a written layer: built once a session from the whole table, then queried as a client would."""
     key = (spark.sparkContext.applicationId, d, layout)
-    if key not in _written:
+    if key not in _written or not _written[key].exists():
         path = f"{shared_dir(spark)}/layer-{layout}-{uuid.uuid4().hex}"
         layouts.write((rows or items)(spark, d), path, Box(0, 0, 10_000, 5_000), layout)
         _written[key] = layouts.Written(spark, path)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from zoomloom.plans import corpus, fetch, pyramids, sessions, shows
+from zoomloom.plans import corpus, fetch, marks, pyramids, sessions, shows
 
-MODULES = [fetch, shows, pyramids, sessions, corpus]
+MODULES = [fetch, shows, marks, pyramids, sessions, corpus]
 FLAGSHIP = "viewport_box"
 
 

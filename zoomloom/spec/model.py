@@ -65,7 +65,7 @@ class Transform:
         return list(self.filterable or self.columns or inferred)
 
     def rows(self, spark) -> DataFrame:
-        df = spark.sql(self.query)
+        df = spark.sql(self.query.rstrip("; \n\t"))
         return self.function(df) if self.function else df
 
 
