@@ -14,7 +14,7 @@ from zoomloom.operators import charts, density, layouts, mutations, pyramid, tab
 from zoomloom.operators.placement import Placement, place
 from zoomloom.operators.pyramid import PyramidSpec, build_pyramid, choose_heads, greedy_sequence, join_heads, mark_size, overlap_threshold
 from zoomloom.operators.viewport import Box
-from zoomloom.sources import manifest, readers, sinks, synthetic
+from zoomloom.sources import dumps, manifest, readers, sinks, synthetic
 from zoomloom.spec import navigation
 from zoomloom.spec.model import LITERAL_IN, LITERAL_OUT, Canvas, Jump, Layer, Project, SpecError, Transform, View, fingerprint, stale_layers, zoom_levels
 from zoomloom.spec.predicates import Both, Either, Equals, Everything, PredicateError, from_json, holds, parse_wire, to_column, to_wire
@@ -355,6 +355,18 @@ def test_rows_and_tables(spark, tmp_path):
     assert {(r["id"], r["v"]) for r in manifest.read_table(spark, folder).collect()} == {(i, 9 if i == 5 else 3) for i in range(100)}
 
 
+def test_dump(spark, tmp_path):
+    (tmp_path / "d.sql").write_text(
+        "-- a dump\nSET x = 1;\nCREATE TABLE public.a (\n    id integer NOT NULL,\n    t text,\n    n numeric(10,2),\n    ok boolean,\n    PRIMARY KEY (id)\n);\n"
+        "COPY public.a (id, t, n) FROM stdin;\n1\tx\\ty\\\\n\t1.50\n2\t\\N\t\\N\n3\t);\t7\n\\.\n"
+        "INSERT INTO a VALUES (4, 'it''s (a), b', NULL, true), (5, 'NULL', -2, false);\nCREATE TABLE none (k int);\nCOPY c (u) FROM stdin;\nCOPY d (v) FROM stdin;\n\\.\n"
+    )
+    found = dumps.load_dump(spark, str(tmp_path / "d.sql"))
+    assert set(found) == {"a", "none", "c"} and found["a"].dtypes == [("id", "int"), ("t", "string"), ("n", "double"), ("ok", "boolean")]
+    assert sorted(map(tuple, found["a"].collect())) == [(1, "x\ty\\n", 1.5, None), (2, None, None, None), (3, ");", 7.0, None), (4, "it's (a), b", None, True), (5, "NULL", -2.0, False)]
+    assert found["none"].count() == 0 and [tuple(r) for r in spark.table("c").collect()] == [("COPY d (v) FROM stdin;",)]
+
+
 def test_shared_folder_is_asked_for(spark):
     from types import SimpleNamespace
 

@@ -14,7 +14,7 @@ from zoomloom.operators import mutations, pyramid, viewport
 from zoomloom.operators.placement import Placement
 from zoomloom.plans import fetch, pyramids, shows
 from zoomloom.session import shared_dir, table
-from zoomloom.sources import readers, sinks, synthetic
+from zoomloom.sources import dumps, readers, sinks, synthetic
 from zoomloom.spec.model import LITERAL_IN, LITERAL_OUT, Canvas, Jump, Layer, Project, Transform, View
 from zoomloom.spec.predicates import Equals
 from zoomloom.spec.templates import ChartTemplate, MapTemplate, PyramidTemplate, TableTemplate, add_chart, add_map, add_pyramid, add_table
@@ -206,6 +206,21 @@ def rows_as_text(spark, d):
     return spark.createDataFrame(rows, "id string, abbr string, city string, rank string")
 
 
+def dump_roundtrip(spark, d):
+    """The suppliers, and beside them the nations, written as a database dump and loaded from it."""
+    folder = f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}"
+    head = ["CREATE TABLE public.supplier_d (", "    s_suppkey bigint NOT NULL,", "    s_name character varying(25),", "    s_nationkey integer,", "    s_acctbal double precision,", "    CONSTRAINT s_pk PRIMARY KEY (s_suppkey)", ");", "COPY public.supplier_d (s_suppkey, s_name, s_nationkey, s_acctbal) FROM stdin;"]
+    tail = ["\\.", 'CREATE TABLE "nation_d" (n_nationkey int, n_name text);']
+    cell = lambda c: F.coalesce(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("\\N"))
+    rows = table(spark, d, "supplier").select(F.lit(1).alias("k"), F.concat_ws("\t", *[cell(c) for c in ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")]).alias("value"))
+    inserts = table(spark, d, "nation").select(F.lit(3).alias("k"), F.concat(F.lit("INSERT INTO nation_d (n_name, n_nationkey) VALUES ('"), F.replace("n_name", F.lit("'"), F.lit("''")), F.lit("', "), F.col("n_nationkey").cast("string"), F.lit(");")).alias("value"))
+    fixed = lambda k, lines: spark.createDataFrame([(k, i, v) for i, v in enumerate(lines)], "k int, i long, value string")
+    every = fixed(0, head).unionByName(rows.withColumn("i", F.lit(0).cast("long"))).unionByName(fixed(2, tail)).unionByName(inserts.withColumn("i", F.lit(0).cast("long")))
+    every.coalesce(1).sortWithinPartitions("k", "i").select("value").write.text(folder)
+    found = dumps.load_dump(spark, folder)
+    return found["supplier_d"].join(found["nation_d"], F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal", "n_name")
+
+
 def column_kinds(spark, d):
     """Names and types of the columns of a table, from its schema."""
     kinds = readers.column_types(table(spark, d, "lineitem"))
@@ -234,7 +249,7 @@ def ssv_hover(spark, d):
     return boxes.select("level", "head", *[F.round(c, 4).alias(c) for c in ("minx", "miny", "maxx", "maxy")])
 
 
-QUERIES = {f.__name__: f for f in (engine_first, engine_pan, engine_zoom, engine_log, engine_jump, engine_table, engine_chart, engine_pyramid, engine_ranges, engine_map, engine_update, changed_rows, leaf_route, mark_thresholds, rows_as_text, column_kinds, kept_documents, number_series, ssv_hover)}
+QUERIES = {f.__name__: f for f in (engine_first, engine_pan, engine_zoom, engine_log, engine_jump, engine_table, engine_chart, engine_pyramid, engine_ranges, engine_map, engine_update, changed_rows, leaf_route, mark_thresholds, rows_as_text, dump_roundtrip, column_kinds, kept_documents, number_series, ssv_hover)}
 
 
 def _box(x0: float, y0: float, x1: float, y1: float) -> str:
@@ -269,6 +284,7 @@ UNION ALL SELECT -c_custkey, 'N', c_custkey % 2 = 0 FROM customer WHERE c_acctba
     "mark_thresholds": """WITH s AS (SELECT CAST(w AS INTEGER) AS w, CAST(h AS INTEGER) AS h, sqrt(4 * (1000 + 2 * w) * (1000 + 2 * h) // 4000 // h // w) AS t FROM range(5, 300, 11) AS a(w), range(5, 300, 13) AS b(h))
 SELECT w, h, greatest(0.2e0, t - 1) AS local, greatest(0.2e0, t) AS distributed FROM s""",
     "rows_as_text": "SELECT CAST(id AS VARCHAR) AS id, coalesce(abbr, '') AS abbr, coalesce(city, '') AS city, coalesce(CAST(rank AS VARCHAR), '') AS rank FROM (SELECT DISTINCT id, abbr, city, rank FROM teams WHERE id IS NOT NULL)",
+    "dump_roundtrip": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey",
     "column_kinds": "SELECT name, type AS kind FROM pragma_table_info('lineitem')",
     "kept_documents": "SELECT n_name, n_regionkey AS region, 2 AS version FROM nation",
     "number_series": "SELECT n, n % 16 AS hash_key FROM range(1, 5001) AS t(n)",
