@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zoomloom.llm.crowds import crowd_members, describe_crowds
