@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from zoomloom.engine import Engine
+from zoomloom.engine import Engine, opacity_by
 from zoomloom.functions import geo, scales
 from zoomloom.functions.hull import convex_hull, hull_points
 from zoomloom.operators import charts, density, layouts, mutations, pyramid, tables, viewport
@@ -280,9 +280,13 @@ def test_scales():
     assert scales.short_number(1234567) == "1.235M" and scales.short_number(0) == "0"
     with pytest.raises(ValueError):
         scales.linear(None, (1, 1), (0, 1))
+    assert density.contour_thresholds(1000, 0) == pytest.approx([1e-4 + i * 0.07 / 6 for i in range(6)]) and density.contour_thresholds(0, 3) == []
 
 
 def test_numbers(spark):
+    back = spark.range(5).select(scales.invert_column(scales.linear(F.col("id"), (0, 4), (10, 90)), (0, 4), (10, 90)).alias("v"))
+    assert [r["v"] for r in back.collect()] == [0.0, 1.0, 2.0, 3.0, 4.0]
+    assert [r["opacity"] for r in opacity_by(spark.range(3), F.col("id") == 1).collect()] == [0.4, 1.0, 0.4]
     df = spark.createDataFrame([("1,234.5x",), ("-7",), ("abc",), (None,)], "t string")
     assert [r[0] for r in df.select(scales.parse_number(F.col("t"))).collect()] == [1234.5, -7.0, 0.0, 0.0]
     d = spark.createDataFrame([(2020, 2, 30), (2017, 10, 17)], "y int, m int, d int")
@@ -341,6 +345,9 @@ def test_rows_and_tables(spark, tmp_path):
     more = mutations.insert_rows(spark.createDataFrame([(1, "a")], "k int, s string"), spark.createDataFrame([(2, 3)], "k int, other int"))
     assert sorted((r["k"], r["s"] or "") for r in more.collect()) == [(1, "a"), (2, "")]
     assert mutations.change_columns(more, {"t": F.lit(1)}, ["s"]).columns == ["k", "t"]
+    sinks.write_table(more, f"{tmp_path}/parts", ["k"])
+    sinks.write_table(more, f"{tmp_path}/parts", ["k"])
+    assert spark.read.parquet(f"{tmp_path}/parts").where("k = 1").count() == 1
     c = readers.Connections(spark)
     with pytest.raises(KeyError):
         c.read("db", "t")

@@ -69,15 +69,20 @@ class Engine:
         if layer.transform is None or layer.indexer in ("chart", "sample"):  # answered from the source
             return
         rows = layer.transform.rows(self.spark)
+        if layer.transform.function:  # a layer's rows are read for their number, for its borders and to be written
+            rows = made = materialize(rows)
+        else:
+            made = None
         if layer.indexer == "numbered":
             t = layer.detail[0]
             rows = tables.cell_position(tables.number_rows(rows, list(t.fields), t.order, list(t.group_by)), t.cell_height, t.heads_height, 0)
         placed = place(rows, layer.placement, layer.static)
         if layer.static:
             manifest.save_table(placed, self.path(canvas, i), layout="static", side=0)
-            return
-        w, h = self.size(canvas)
-        self._write(canvas, i, placed, w, h)
+        else:
+            self._write(canvas, i, placed, *self.size(canvas))
+        if made is not None:
+            discard(made)
 
     def _write(self, canvas: str, i: int, placed: DataFrame, w: float, h: float) -> None:
         layer = self.project.canvases[canvas].layers[i]
@@ -104,6 +109,7 @@ class Engine:
                 if one.indexer == "pyramid" and one.detail[1] == name:
                     own = clusters.where(F.col("level") == one.detail[2]).drop("level", "head")
                     self._write(canvas, i, place(own, one.placement), c.w, c.h)
+        discard(rows, aggs, clusters)
 
     def pyramid_information(self, canvas: str, i: int) -> dict:
         """What the build of a pyramid kept: value ranges of each level, number of levels, theta, mode."""

@@ -1,11 +1,8 @@
-"""Convex hulls: the monotone chain, as a function and as a grouped aggregate."""
+"""Convex hulls: the monotone chain, over points and over arrays of points."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def convex_hull(points) -> list[tuple[float, float]]:
@@ -37,12 +34,3 @@ def hull_points(xy: np.ndarray) -> np.ndarray:
                 inside &= (bx - ax) * (y - ay) - (by - ay) * (x - ax) > 0
             xy = xy[~inside]
     return np.array(convex_hull(xy.tolist()), dtype=np.float64).reshape(-1, 2)
-
-
-POINTS = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-
-
-@F.pandas_udf(POINTS)
-def hull_of(points: pd.Series) -> pd.Series:
-    """Hull of each array of points; hulls of hulls are hulls of all, so it merges."""
-    return points.map(lambda ps: [{"x": a, "y": b} for a, b in convex_hull((p["x"], p["y"]) for p in ps)])
