@@ -16,7 +16,7 @@ from zoomloom.operators.pyramid import PyramidSpec, build_pyramid, choose_heads,
 from zoomloom.operators.viewport import Box
 from zoomloom.sources import dumps, manifest, readers, sinks, synthetic
 from zoomloom.spec import navigation
-from zoomloom.spec.model import LITERAL_IN, LITERAL_OUT, Canvas, Jump, Layer, Project, SpecError, Transform, View, fingerprint, stale_layers, zoom_levels
+from zoomloom.spec.model import LITERAL_IN, LITERAL_OUT, Canvas, Jump, Layer, Project, SpecError, Transform, View, computed, fingerprint, stale_layers, zoom_levels
 from zoomloom.spec.predicates import Both, Either, Equals, Everything, PredicateError, from_json, holds, parse_wire, to_column, to_wire
 from zoomloom.spec.templates import ChartTemplate, MapTemplate, PyramidTemplate, TableTemplate, add_chart, add_map, add_pyramid, add_table
 
@@ -94,6 +94,17 @@ BROKEN = [
     lambda: ChartTemplate("q", "pie", ("a",), "MEDIAN(x)"),
     lambda: ChartTemplate("q", "pie", ("a",), "COUNT(*)", stack=("b",)),
     lambda: ChartTemplate("q", "bar", ("a",), "COUNT(*)", stack=("a",)),
+    lambda: ChartTemplate("q", "bar", ("a",), "SUM(a)"),
+    lambda: ChartTemplate("q", "bar", ("a",), "SUM(b)", aliases=("x",)),
+    lambda: PyramidTemplate(PyramidSpec("i", "x", "y", "z", (0, 1), (0, 1), measures=("m", "n")), "SELECT 1", "radar", radar_extents=((0, 1),)),
+    lambda: computed("my-table", {"x": "a"}),
+    lambda: computed("t", {}),
+    lambda: computed("t", {"x y": "a"}),
+    lambda: computed("t", {"x": "1 + 2"}),
+    lambda: computed("t", {"x": "a", "X": "b"}),
+    lambda: computed("t", {"x": "a; DROP TABLE t"}),
+    lambda: Layer(Transform("q"), layout="heap"),
+    lambda: Layer(Transform("q"), indexer="other"),
     lambda: TableTemplate("t", ("a", "b"), "a", widths=(1,)),
     lambda: TableTemplate("t", ("a",), ""),
     lambda: MapTemplate("s", "r", colors=9),
@@ -141,6 +152,8 @@ def test_navigation():
     assert t.corner == (400.0, 300.0) and t.predicates == (Equals("id", "2"),)
     assert navigation.axis_range((10, 20), 100, -5, 50) == (10, 15)
     assert navigation.slide((0, 0), (10, 20), 90) == (pytest.approx(0), -20)
+    assert navigation.jump_name(j, {"id": 2}) == "semantic_zoom to low"
+    assert [navigation.jump_name(Jump("a", "b", "slide", slide_direction=0, name=n), {"id": 2}) for n in ("on", lambda row: f"to {row['id']}")] == ["on", "to 2"]
 
 
 # viewports
@@ -589,6 +602,14 @@ def test_documents_and_csv(spark, tmp_path):
     assert list(readers.rows_as_text(df)) == [["1", "x;y"], ["2", ""]]
 
 
+def test_computed_transform(spark):
+    spark.createDataFrame([(1, 2.0), (2, None)], "id int, v double").createOrReplaceTempView("raw_t")
+    t = computed("raw_t", {"id": "id", "x": "coalesce(v, 0) * 10"}, filterable=("id",))
+    assert t.columns == ("id", "x") and sorted(map(tuple, t.rows(spark).collect())) == [(1, 20.0), (2, 0.0)]
+    assert computed("SELECT id FROM raw_t WHERE id > 1;", {"y": "id + 1"}).rows(spark).collect() == [(3,)]
+    assert ChartTemplate("q", "bar", ("a",), "SUM(b)").tooltip == ("a", "agg_value") and ChartTemplate("q", "bar", ("a",), "SUM(b)").aliases == ("a", "SUM(b)")
+
+
 def test_updates(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0), (2, "c", 3.0)], "k int, s string, v double")
     ch = spark.createDataFrame([(2, None, "z"), (2, None, "z"), (9, "q", "z")], "k int, s string, other string")

@@ -6,6 +6,7 @@ import dataclasses
 import functools
 import hashlib
 import json
+import re
 import types
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -69,6 +70,27 @@ class Transform:
         return self.function(df) if self.function else df
 
 
+_NAME = re.compile(r"[A-Za-z_]\w*")
+
+
+def computed(source: str, results: dict[str, str], **more) -> Transform:
+    """A transform by expressions: each result column is a SQL expression over the columns of a table, or of a SELECT."""
+    source = source.strip().rstrip("; \n\t")
+    if not re.match(r"SELECT\s", source, re.I) and not re.fullmatch(rf"({_NAME.pattern}\.)?{_NAME.pattern}", source):
+        raise SpecError(f"{source!r} is no SELECT and no name of a table")
+    if not results:
+        raise SpecError("a transform by expressions names its results")
+    for name, expression in results.items():
+        if not _NAME.fullmatch(name):
+            raise SpecError(f"bad name of a column {name!r}")
+        if ";" in expression or not _NAME.search(re.sub(r"'[^']*'", "", expression)):
+            raise SpecError(f"{name!r} is not computed from any column")
+    if len({n.lower() for n in results}) < len(results):
+        raise SpecError("two results of one name")
+    rows = f"({source})" if " " in source else source
+    return Transform(query="SELECT " + ", ".join(f"{e} AS {n}" for n, e in results.items()) + f" FROM {rows}", columns=tuple(results), **more)
+
+
 @dataclass(frozen=True)
 class Layer:
     transform: Transform | None

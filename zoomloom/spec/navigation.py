@@ -24,6 +24,11 @@ def applicable(p: Project, canvas: str, row: dict, args: dict) -> list[Jump]:
     return [j for j in p.jumps if j.source == canvas and (j.selector is None or j.selector(row, args))]
 
 
+def jump_name(j: Jump, row: dict) -> str:
+    """What a jump is called for a clicked row: its own text or function, else where it leads."""
+    return str(j.name(row)) if callable(j.name) else j.name or f"{j.type} to {j.dest}"
+
+
 def layer_predicates(p: Project, j: Jump, row: dict) -> tuple[Predicate, ...]:
     """One predicate a layer of the target; layers the jump does not name take everything."""
     given = j.predicates(row) if j.predicates else {}

@@ -135,7 +135,11 @@ class ChartTemplate:
             raise SpecError(f"bad measure {self.measure!r}")
         if self.stack and self.kind != "bar":
             raise SpecError("only bars are stacked")
-        used = [*self.dimensions, *self.stack, *self.sample]
+        column = MEASURE.match(self.measure).group(2).strip()
+        used = [*self.dimensions, *self.stack, *self.sample, *([column] if column != "*" else [])]
+        if not self.tooltip:  # what the chart shows
+            object.__setattr__(self, "tooltip", (*self.dimensions, "agg_value"))
+            object.__setattr__(self, "aliases", self.aliases or (*self.dimensions, self.measure))
         if len(used) != len(set(used)):
             raise SpecError("the fields of a chart are disjoint")
         if not set(self.text) <= set(self.dimensions):
