@@ -277,7 +277,7 @@ def test_pack_without_partners(spark):
 
 
 def brute_crowds(rows, reach, least):
-    pts = sorted({r for r in rows if None not in r and not any(isinstance(v, float) and math.isnan(v) for v in r)})
+    pts = sorted({r for r in rows if None not in r and all(math.isfinite(v) for v in r)})
     group = {i: i for i in range(len(pts))}
 
     def find(a):
@@ -306,7 +306,8 @@ def test_crowds(spark, tasks):
             rows.append((len(rows), round(x * 8) / 8, round(y * 8) / 8))
     rows += [(len(rows) + i, 500.0, 500.0) for i in range(60)]  # one position
     rows += [(5000 + i, 40.0 * 7 * i, 1000.0) for i in range(9)]  # alone
-    rows += rows[::4] + [(7000, None, 1.0), (7001, float("nan"), 1.0), (None, 1.0, 1.0)]
+    rows += [(6000 + i, 1e22, -3e25) for i in range(6)] + [(6100 + i, 2e18 + 512.0 * i, 0.0) for i in range(3)]  # far away
+    rows += rows[::4] + [(7000, None, 1.0), (7001, float("nan"), 1.0), (None, 1.0, 1.0), (7002, math.inf, 1.0), (7003, 1.0, -math.inf)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "id long, x double, y double, root string")
     got = [tuple(r) for r in crowd_members(df, 10.0, 5, tasks=tasks).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_crowds(rows, 10.0, 5)

@@ -20,7 +20,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -266,8 +266,13 @@ def crowd_members(points: DataFrame, reach: float, least: int, tasks: int | None
     return members.join(sizes, "root").select("cluster_id", "id")
 
 
+def _floor(v: Column) -> Column:
+    """The whole number below v, as a double; doubles that large are whole themselves and would not fit a long."""
+    return F.when(F.abs(v) < 9e15, F.floor(v).cast("double")).otherwise(v)
+
+
 def _celled(df: DataFrame, width: float) -> DataFrame:
-    return df.withColumns({"kx": F.floor(F.col("x") / F.lit(width)).cast("double"), "ky": F.floor(F.col("y") / F.lit(width)).cast("double")})
+    return df.withColumns({"kx": _floor(F.col("x") / F.lit(width)), "ky": _floor(F.col("y") / F.lit(width))})
 
 
 def assign(points: DataFrame, leaves: DataFrame, label: DataFrame, width: float, tasks: int) -> DataFrame:
@@ -338,7 +343,7 @@ def describe_crowds(members: DataFrame, points: DataFrame, typical: int = 3) ->
     width = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("span"), F.lit(1e-9)) / SIDE)))
     sized = own.join(span.select("cluster_id", width.alias("w")), "cluster_id")
     one = {"n": F.lit(1.0), "sx": F.col("x"), "sy": F.col("y"), "ss": F.col("x") * F.col("x") + F.col("y") * F.col("y"), "x0": F.col("x"), "y0": F.col("y"), "x1": F.col("x"), "y1": F.col("y")}
-    cells = sized.withColumns({"kx": F.floor(F.col("x") / F.col("w")).cast("double"), "ky": F.floor(F.col("y") / F.col("w")).cast("double")}).withColumns(one)
+    cells = sized.withColumns({"kx": _floor(F.col("x") / F.col("w")), "ky": _floor(F.col("y") / F.col("w"))}).withColumns(one)
     names = ["kx", "ky", *SUMS, *LOWS, *HIGHS]
     condensed = _merged(cells, "cluster_id", "kx", "ky").groupBy("cluster_id").agg(*[F.collect_list(F.array(*names)).alias("leaves")])
 
