@@ -471,7 +471,11 @@ def test_engine(spark, tmp_path):
     assert e.layer("low", 0).where(F.col("id") == one["id"]).first()["x"] == 5 and e.layer("low", 0).count() == 3000
     base = spark.table("pts").where(F.col("id") == one["id"]).first()
     assert (base["x"], base["y"]) == (5, 10) and spark.table("pts").count() == 3000, "the base table changes too, through the reverse function"
-    e.flush_log()
+    few, e_made = e.pan("top", 0, 0, "v")[0], len(e._made)
+    assert few.count() >= 0 and e_made > 5
+    e.close()
+    with pytest.raises(Exception):
+        few.count()
     log = spark.read.parquet(f"{tmp_path}/stats")
     assert {r["query_type"] for r in log.select("query_type").distinct().collect()} == {"pan", "jump", "tile", "update"} and log.where("fetch_time_ms <= 0").isEmpty()
     assert log.where("query_type = 'pan'").agg(F.max("rows_fetched")).first()[0] > 100

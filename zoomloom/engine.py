@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections import OrderedDict
+from collections import OrderedDict, deque
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from zoomloom.spec.model import LITERAL_IN, LITERAL_OUT, Jump, Layer, Project, f
 from zoomloom.spec.predicates import Everything, Predicate, check_columns, from_json, parse_wire, to_column
 
 CACHED_TILES = 10
+KEPT_FETCHES = 100  # tables of fetches that can still be read; older ones are deleted
 EVENTS = ("pan", "zoom", "jumpstart", "jumpend")
 
 
@@ -35,6 +36,7 @@ class Engine:
         self._predicates: dict[tuple, dict[int, Predicate]] = {}
         self._at: dict[str, tuple[str, float, float]] = {}
         self._entries: list[tuple] = []
+        self._made: deque[DataFrame] = deque()
         self._listeners: dict[str, list] = {}
 
     # building
@@ -47,7 +49,7 @@ class Engine:
         self.project = p
         self._tiles.clear()
         self._layers.clear()
-        self._drop_held()
+        self._held.clear()
         built = set()
         for canvas, i in todo:
             layer = p.canvases[canvas].layers[i]
@@ -136,9 +138,22 @@ class Engine:
         return layer.transform.rows(self.spark).columns if layer.indexer in ("chart", "sample") else self.layer(canvas, i).columns
 
     def _run(self, df: DataFrame) -> tuple[DataFrame, int]:
-        out = materialize(df)
+        out = self._keep(df)
         return out, out.count()
 
+    def _keep(self, df: DataFrame) -> DataFrame:
+        """Run a fetch and keep its rows, as long as a view holds them or few fetches have followed."""
+        out = materialize(df)
+        self._made.append(out)
+        held = {id(t) for _, state in self._held.values() for t in state.values()}
+        for _ in range(len(self._made) - KEPT_FETCHES):
+            old = self._made.popleft()
+            if id(old) in held:
+                self._made.append(old)
+            else:
+                discard(old)
+        return out
+
     # fetching
 
     def dynamic_box(self, canvas: str, mx: float, my: float, view: str, predicates: dict[int, Predicate] | None = None, old: Box | None = None, kind: str = "pan") -> tuple[Box, dict[int, DataFrame]]:
@@ -158,7 +173,7 @@ class Engine:
         return box, out
 
     def pan(self, canvas: str, mx: float, my: float, view: str, kind: str = "pan") -> dict[int, DataFrame]:
-        """Client state after a pan: fetched only near the edge of what is held, without duplicates. A state may be read until the next fetch of its view."""
+        """Client state after a pan: fetched only near the edge of what is held, without duplicates. A state can be read until KEPT_FETCHES further ones."""
         v = self.project.views[view]
         key = (canvas, view)
         self._at[view] = (canvas, mx, my)
@@ -167,10 +182,8 @@ class Engine:
             return held[1]
         box, new = self.dynamic_box(canvas, mx, my, view, self._predicates.get(key), old=held[0] if held else None, kind=kind)
         layers = self.project.canvases[canvas].layers
-        state = {i: (materialize(viewport.incremental(df, held[1][i], box)) if held and layers[i].delta else df) for i, df in new.items()}
+        state = {i: (self._keep(viewport.incremental(df, held[1][i], box)) if held and layers[i].delta else df) for i, df in new.items()}
         self._held[key] = (box, state)
-        if held:
-            discard(*held[1].values(), *[df for i, df in new.items() if df is not state[i]])
         self._fire("pan", canvas)
         return state
 
@@ -258,7 +271,7 @@ class Engine:
             return {i: navigation.highlight(df, t.predicates[i]) for i, df in held.items()}
         dest = j.dest_view or view if j.type == "load" else view
         self._predicates[(t.canvas, dest)] = dict(enumerate(t.predicates))
-        self._forget((t.canvas, dest))
+        self._held.pop((t.canvas, dest), None)
         corner = t.corner or self._at.get(dest, ("", 0.0, 0.0))[1:]
         if j.type == "slide" and t.corner is None:
             v = self.project.views[dest]
@@ -276,7 +289,7 @@ class Engine:
         px, py = at or (v.width / 2, v.height / 2)
         corner = ((x + px) * b.w / a.w - px, (y + py) * b.h / a.h - py)
         corner = tuple(min(max(0.0, c), max(0.0, whole - part)) for c, whole, part in zip(corner, (b.w, b.h), (v.width, v.height)))
-        self._forget((j.dest, view))
+        self._held.pop((j.dest, view), None)
         self._fire("zoom", j.dest)
         return self.pan(j.dest, *corner, view, "jump")
 
@@ -304,18 +317,16 @@ class Engine:
             self.spark.read.parquet(path).createOrReplaceTempView(name)
         self._layers.pop((canvas, i), None)
         self._tiles.clear()
-        self._drop_held()
+        self._held.clear()
         self._note(canvas, "update", began, changes.count())
         return n
 
-    def _forget(self, key: tuple) -> None:
-        held = self._held.pop(key, None)
-        if held:
-            discard(*held[1].values())
-
-    def _drop_held(self) -> None:
-        for key in list(self._held):
-            self._forget(key)
+    def close(self) -> None:
+        """Write what is left of the log and delete the tables of all fetches."""
+        self.flush_log()
+        self._held.clear()
+        discard(*self._made)
+        self._made.clear()
 
     # embedding
 
@@ -337,7 +348,7 @@ class Engine:
     def re_render(self, view: str) -> dict[int, DataFrame]:
         """Fetch a view afresh."""
         canvas, x, y = self._at[view]
-        self._forget((canvas, view))
+        self._held.pop((canvas, view), None)
         return self.pan(canvas, x, y, view)
 
     def on(self, event: str, f) -> None:

@@ -144,6 +144,8 @@ def shape_quadtree(points: DataFrame, total: int, tasks: int, least_side: float)
     fraction = min(1.0, wanted / max(total, 1))
     sample = (points.sample(False, fraction, 7) if fraction < 1 else points).toArrow()
     x, y = sample["x"].to_numpy(), sample["y"].to_numpy()
+    whole = np.isfinite(x) & np.isfinite(y)  # others lie in the outer leaves
+    x, y = x[whole], y[whole]
     tree = Quadtree(x, y, max(8, len(x) // (tasks * 6)), least_side)
     return tree, (tree.count + 1.0) / fraction
 
