@@ -111,6 +111,7 @@ class Engine:
                 if one.indexer == "pyramid" and one.detail[1] == name:
                     own = clusters.where(F.col("level") == one.detail[2]).drop("level", "head")
                     self._write(canvas, i, place(own, one.placement), c.w, c.h)
+        made.release()
         discard(rows, aggs, clusters)
 
     def pyramid_information(self, canvas: str, i: int) -> dict:

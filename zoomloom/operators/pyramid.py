@@ -172,7 +172,7 @@ def choose_heads(points: DataFrame, wide: float, tall: float, prefix: int = PREF
     open_ = points.select("id", "z", "x", "y").withColumns(_cells(F.col("x"), F.col("y"), wide, tall))
     before: DataFrame | None = None
     heads: DataFrame | None = None
-    turn = 0
+    turn, made_in_rounds = 0, []
     while True:
         told = open_.agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u"), F.max("u").alias("u1"), F.min("v").alias("v"), F.max("v").alias("v1")).first()
         tiles = max(1, math.ceil(told["n"] / tile_rows))
@@ -203,11 +203,13 @@ def choose_heads(points: DataFrame, wide: float, tall: float, prefix: int = PREF
             yield from out.append_column("head", pa.array(np.concatenate(is_head))).to_batches(max_chunksize=10_000)
 
         made = materialize(routed.repartition(tiles, "tu", "tv").mapInArrow(settle, columns + ", head boolean"))
+        made_in_rounds.append(made)
         new = made.where("head").drop("head")
         heads = new if heads is None else heads.unionByName(new)
         if made.where(~F.col("head")).isEmpty():
             if before is not None:
                 discard(before)
+            heads._tables = made_in_rounds
             return heads
         h = _spread(new.withColumns(_cells(F.col("x"), F.col("y"), wide, tall))).select("u", "v", F.col("x").alias("hx"), F.col("y").alias("hy"))
         hit = (open_["u"] == h["u"]) & (open_["v"] == h["v"]) & (F.abs(open_["x"] - h["hx"]) <= wide) & (F.abs(open_["y"] - h["hy"]) <= tall)
@@ -233,8 +235,9 @@ class Pyramid:
     The rows are aggregated once, by head of the bottom level; every level above merges these partial results along `lifts`.
     """
 
-    def __init__(self, base: DataFrame, spec: PyramidSpec, heads: dict[int, DataFrame], steps: dict[int, DataFrame]):
+    def __init__(self, base: DataFrame, spec: PyramidSpec, heads: dict[int, DataFrame], steps: dict[int, DataFrame], points: DataFrame):
         self.spec, self._base, self._heads, self._steps = spec, base, heads, steps
+        self._tables = [points, *steps.values(), *[t for h in heads.values() for t in h._tables]]
         self._wide, self._tall = spec.distance * spec.mark_w, spec.distance * spec.mark_h
 
     @property
@@ -251,9 +254,14 @@ class Pyramid:
         out = [chain.select("bottom", F.lit(self.spec.levels).alias("level"), "head")]
         for level in range(self.spec.levels - 1, -1, -1):
             chain = materialize(chain.join(self._steps[level].toDF("head", "up"), "head").select("bottom", F.col("up").alias("head")))
+            self._tables.append(chain)
             out.append(chain.select("bottom", F.lit(level).alias("level"), "head"))
         return _union(out)
 
+    def release(self) -> None:
+        """Delete the tables of the build, when all that is wanted of it has been written elsewhere."""
+        discard(*self._tables)
+
     @property
     def members(self) -> DataFrame:
         """(level, id, head) of every row."""
@@ -295,13 +303,13 @@ def build_pyramid(df: DataFrame, spec: PyramidSpec) -> Pyramid:
         raise ValueError("level, head and bottom are columns of the result")
     base = df.select(spec.id, *used)
     wide, tall = spec.distance * spec.mark_w, spec.distance * spec.mark_h
-    own = materialize(init_points(base, spec))
+    own = points = materialize(init_points(base, spec))
     heads, steps = {}, {}
     for level in range(spec.levels, -1, -1):
         heads[level] = choose_heads(own, wide, tall)
         steps[level] = materialize(join_heads(own, heads[level], wide, tall))
         own = heads[level].select("id", "z", (F.col("x") / spec.zoom).alias("x"), (F.col("y") / spec.zoom).alias("y"))
-    return Pyramid(base, spec, heads, steps)
+    return Pyramid(base, spec, heads, steps, points)
 
 
 def cluster_aggregates(rows: DataFrame, keys: list[str], measures: list[str], x: str, y: str) -> DataFrame:
