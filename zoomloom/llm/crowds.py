@@ -192,7 +192,8 @@ def crowd_members(points: DataFrame, reach: float, least: int, tasks: int | None
     valid = points.select("id", "x", "y").where(F.col("id").isNotNull() & finite)
     width = reach / np.sqrt(8) * (1 - 1e-12)  # two leaves side by side are within reach as a whole
     leaves = materialize(feature_leaves(valid, width).withColumn("leaf", F.monotonically_increasing_id()))
-    total = leaves.count()
+    told = leaves.agg(F.count(F.lit(1)), F.sum("n")).first()
+    total, rows = told[0], told[1] or 0.0
     tasks = tasks or task_count(total, parallelism(spark), LEAVES_PER_TASK)
     tree, load = shape_quadtree(leaves.select(((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y")), total, tasks, 4 * reach)
     bins = pack_units(load, tasks)
@@ -245,23 +246,26 @@ def crowd_members(points: DataFrame, reach: float, least: int, tasks: int | None
             open_[label[a[maybe]]] = True
             open_[label[b[maybe]]] = True
             keep = np.flatnonzero(open_[label] | (size[label] >= least))  # the rest is complete and too small
-            for ask, one, two, n, h, s in ((False, ident[keep], ident[label[keep]], f.n[keep], home[keep], shared[keep]), (True, ident[a[maybe]], ident[b[maybe]], np.zeros(len(maybe)), np.zeros(len(maybe), bool), np.zeros(len(maybe), bool))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), ask)), pa.array(one), pa.array(two), pa.array(n), pa.array(h), pa.array(s)], names=["ask", "a", "b", "n", "home", "shared"])
+            # leaves with their label, then pairs of leaves that only their members can tell about
+            none, no = np.zeros(len(maybe)), np.zeros(len(maybe), bool)
+            for columns in ((np.zeros(len(keep), bool), ident[keep], ident[label[keep]], f.cell_x[keep], f.cell_y[keep], f.n[keep], home[keep], shared[keep]), (~no, ident[a[maybe]], ident[b[maybe]], none, none, none, no, no)):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["ask", "a", "b", "kx", "ky", "n", "home", "shared"])
 
     columns = ", ".join(f"{c} double" for c in ("kx", "ky", *SUMS, *LOWS, *HIGHS)) + ", leaf long"
     routed = leaves.mapInArrow(route, columns + ", home boolean, shared boolean, region int, bin int").repartitionById(tasks, F.col("bin"))
-    local = materialize(routed.mapInArrow(agglomerate, "ask boolean, a long, b long, n double, home boolean, shared boolean"))
+    local = materialize(routed.mapInArrow(agglomerate, "ask boolean, a long, b long, kx double, ky double, n double, home boolean, shared boolean"))
     meet = local.where("not ask and shared").groupBy("a").agg(F.min("b").alias("b"), F.collect_set("b").alias("labels"))
     roots = connected_components(meet.select(F.explode("labels").alias("a"), "b"))
-    label = materialize(local.where("not ask and home").select(F.col("a").alias("leaf"), F.col("b").alias("node"), "n").join(roots, "node", "left").select("leaf", "n", F.coalesce("root", "node").alias("root")))
+    label = materialize(local.where("not ask and home").select(F.col("a").alias("leaf"), F.col("b").alias("node"), "kx", "ky", "n").join(roots, "node", "left").select("leaf", "kx", "ky", "n", F.coalesce("root", "node").alias("root")))
     own = label.select("leaf", "root")
     asked = local.where("ask").select("a", "b").distinct().join(own.toDF("a", "ra"), "a").join(own.toDF("b", "rb"), "b").where("ra <> rb")
     linked = linked_leaves(asked, leaves, valid, reach, width)
     if linked is not None:
         again = connected_components(linked.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        label = materialize(label.join(again.toDF("root", "up"), "root", "left").select("leaf", "n", F.coalesce("up", "root").alias("root")))
+        label = materialize(label.join(again.toDF("root", "up"), "root", "left").select("leaf", "kx", "ky", "n", F.coalesce("up", "root").alias("root")))
     crowded = label.groupBy("root").agg(F.sum("n").alias("rows")).where(F.col("rows") >= least).select("root")
-    members = materialize(assign(valid, leaves, label.join(crowded, "root").select("leaf", "root"), width, tasks))
+    known = materialize(label.join(crowded, "root").select("kx", "ky", "n", "root"))
+    members = materialize(assign(valid, known, width, rows / tasks / 4))
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("cluster_id")).where(F.col("n") >= least)
     return members.join(sizes, "root").select("cluster_id", "id")
 
@@ -275,12 +279,10 @@ def _celled(df: DataFrame, width: float) -> DataFrame:
     return df.withColumns({"kx": _floor(F.col("x") / F.lit(width)), "ky": _floor(F.col("y") / F.lit(width))})
 
 
-def assign(points: DataFrame, leaves: DataFrame, label: DataFrame, width: float, tasks: int) -> DataFrame:
-    """(root, id), each once: every point gets the root of its leaf. Leaves that hold more than a quarter of a task's fair share of the rows are
-    fewer than four a task, so their labels are broadcast; the rows of all others are joined by a shuffle that no leaf can overload."""
-    known = materialize(leaves.join(label, "leaf").select("kx", "ky", "n", "root"))
-    total = leaves.agg(F.sum("n")).first()[0] or 0.0
-    heavy = F.col("n") > max(total / tasks / 4, 1_000)
+def assign(points: DataFrame, known: DataFrame, width: float, many: float) -> DataFrame:
+    """(root, id), each once: every point gets the root of its leaf (kx, ky, n, root). Leaves that hold more than `many` rows, a quarter of a task's
+    fair share, are fewer than four a task, so their labels are broadcast; the rows of all others are joined by a shuffle that no leaf can overload."""
+    heavy = F.col("n") > max(many, 1_000)
     rows = _celled(points, width).select("id", "kx", "ky")
     big = F.broadcast(known.where(heavy).select("kx", "ky", "root"))
     rest = rows.join(big, ["kx", "ky"], "left_anti").join(known.where(~heavy).select("kx", "ky", "root"), ["kx", "ky"])
@@ -297,9 +299,10 @@ def linked_leaves(asked: DataFrame, leaves: DataFrame, points: DataFrame, reach:
     if asked.isEmpty():
         return None
     box = ["x0", "y0", "x1", "y1"]
-    bounds = leaves.select("leaf", *box)
     ends = asked.select(F.col("a").alias("leaf")).union(asked.select(F.col("b").alias("leaf"))).distinct()
-    places = materialize(_celled(points.select("x", "y"), width).join(leaves.join(ends, "leaf", "left_semi").select("kx", "ky", "leaf"), ["kx", "ky"]).select("leaf", "x", "y").distinct())
+    bounds = materialize(leaves.join(ends, "leaf", "left_semi").select("leaf", "kx", "ky", *box))  # mostly few, so Spark knows it may send them to the rows
+    places = materialize(_celled(points.select("x", "y"), width).join(bounds.select("leaf", "kx", "ky"), ["kx", "ky"]).select("leaf", "x", "y").distinct())
+    bounds = bounds.select("leaf", *box)
     found = None
     for _ in range(MAX_ROUNDS):
         width /= FINER
